@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.common import slices, written
@@ -18,9 +18,11 @@ from fathom.llm.shingles import shingle_hashes, shingle_set
 BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 #: Of each minimum one byte is kept as the sketch. Pairs at 0.8 agree in 102 of 128 bytes, with a deviation of 4.5; fewer than this end there.
-SKETCH_LEAST = 70
-#: Members outside a bucket's main component times members: up to this such pairs are listed, beyond it the bucket is divided by further bands.
-PAIRS_LISTED = 1024
+SKETCH_LEAST = 80
+#: Shingles of a block of sets that are compared at once.
+BLOCK_SHINGLES = 1 << 17
+#: Members of a bucket outside its main component: up to FEW any two are candidates; beyond, they must share two bands; beyond MANY, further bands divide them first.
+FEW, MANY = 32, 2048
 #: Rows up to which ids are broadcast (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_IDS = 200_000
 _SEED = 20240
@@ -75,20 +77,81 @@ def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with their labels, in buckets where more than one label is left: (bucket, id, n, label, main, cost)."""
+    """Members outside the largest component of their bucket: (bucket, id, n, main, outside), outside being how many they are there."""
     marked = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    each = marked.groupBy("bucket", "label").agg(F.count_distinct("id").alias("c"))
+    each = marked.groupBy("bucket", "label").agg(F.count("*").alias("c"))
     state = each.groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("k")).where("k > 1")
-    return marked.join(state.select("bucket", F.col("most.label").alias("main"), ((F.col("size") - F.col("most.c")) * F.col("size")).alias("cost")), "bucket")
+    state = state.select("bucket", F.col("most.label").alias("main"), (F.col("size") - F.col("most.c")).alias("outside"))
+    return marked.join(state, "bucket").where("label != main").select("bucket", "id", "n", "main", "outside")
 
 
-def _listed_pairs(opened: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different labels in buckets of bounded cost."""
-    rows = opened.where(F.col("cost") <= PAIRS_LISTED)
-    x = rows.where("label != main").select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = rows.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "main")
-    met = x.join(y, "bucket").where("la != lb and (lb = main or a < b)").where(_alike("na", "nb", percent))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def _outside_pairs(opened: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members outside their bucket's main component that still have different labels, each in the first bucket they share."""
+    rows = opened.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"), "outside").join(reps.select("id", "bands"), "id")
+
+    def met(x: DataFrame, same: Column) -> DataFrame:
+        x, y = x.toDF(*[f"{c}_x" for c in x.columns]), x.toDF(*[f"{c}_y" for c in x.columns])
+        return x.join(y, (F.col("bucket_x") == F.col("bucket_y")) & (F.col("id_x") < F.col("id_y")) & (F.col("label_x") != F.col("label_y")) & _alike("n_x", "n_y", percent) & same).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
+
+    both = F.array_intersect("bands_x", "bands_y")
+    # a linked pair that shares one band shares another with probability 1 - 8e-8
+    pairs = met(rows.where(F.col("outside") <= MANY), (F.array_min(both) == F.col("bucket_x")) & ((F.col("outside_x") <= FEW) | (F.size(both) >= 2)))
+    finer = rows.where(F.col("outside") > MANY).select("*", F.explode("bands").alias("band")).where("band != bucket").withColumn("bucket", F.xxhash64("bucket", "band")).drop("band")
+    return pairs.unionByName(met(finer, F.size(both) >= 2))
+
+
+def _texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text) of the documents with these ids, written. Ids up to BROADCAST_IDS are broadcast, more are joined by shuffle."""
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
+    return written(own.join(ids, "id", "left_semi"), "texts")
+
+
+def _main_links(opened: DataFrame, labels: DataFrame, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
+    """Links from members outside a bucket's main component into that component, one at most for each block of it.
+
+    Members and components are packed into blocks of bounded size, and blocks of one component meet, so rows grow with blocks and
+    not with pairs; inside, each set is held against the others until one is similar.
+    """
+    out = written(opened.select("id", F.col("main").alias("label")).distinct(), "outside")
+    mains = out.select("label").distinct()
+    inside = labels.join(mains, "label").select("id", "label").unionByName(mains.select(F.col("label").alias("id"), "label")).distinct()
+    ids = out.select("id").unionByName(inside.select("id")).distinct()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = [shingle_hashes(x, n) for x in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "n", "set"])
+
+    sets = written(_texts(docs, ids, key, text).mapInArrow(hashed, "id long, n long, set binary"), "sets")
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.join(sets, "id").where("n > 0")
+        number = rows.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("of"))
+        dealt = rows.join(number, "label").withColumn("block", F.pmod(F.xxhash64("id"), "of"))
+        return dealt.groupBy("label", "block").agg(F.collect_list("id").alias(f"ids_{name}"), F.collect_list("set").alias(f"sets_{name}")).drop("block")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in range(batch.num_rows):
+                ids_x, sets_x, ids_y, sets_y = (batch.column(c)[row].as_py() for c in ("ids_x", "sets_x", "ids_y", "sets_y"))
+                sets_y = [np.frombuffer(y, np.uint64) for y in sets_y]
+                flat, sizes = np.concatenate(sets_y), np.array([len(y) for y in sets_y])
+                starts = np.cumsum(sizes) - sizes
+                for i, x in zip(ids_x, sets_x, strict=True):
+                    x = np.frombuffer(x, np.uint64)
+                    at = np.searchsorted(x, flat)
+                    at[at == len(x)] = 0
+                    both = np.add.reduceat((x[at] == flat).astype(np.int64), starts)
+                    hit = np.flatnonzero(100 * both >= percent * (len(x) + sizes - both))
+                    if len(hit):
+                        found.append((i, ids_y[int(hit[0])]))
+            yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], names=["a", "b"])
+
+    met = blocks(out, "x").join(blocks(inside, "y"), "label").select("ids_x", "sets_x", "ids_y", "sets_y")
+    return met.mapInArrow(compared, "a long, b long").where("a != b").distinct()
 
 
 def _by_sketch(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -108,13 +171,7 @@ def _by_sketch(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
     """The pairs whose whole texts' exact shingle sets are similar enough. Only texts in some pair are moved."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    count = ids.count()
-    if not count:
-        return pairs
-    ids = F.broadcast(ids) if count <= BROADCAST_IDS else ids
-    own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null").join(ids, "id", "left_semi")
-    if count <= BROADCAST_IDS:
-        own = written(own, "texts")
+    own = _texts(docs, ids, key, text)
     # by a last, so that one task meets the pairs of a hub one after another
     joined = pairs.join(own.toDF("b", "tb"), "b").join(own.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
 
@@ -138,9 +195,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
 
     Two documents are linked when 100 * intersection >= percent * union of their sets of n-word shingles (fewer words: the whole
     sequence; A-Z lowered). component_id is the least id that links lead to; kept marks that document. Equal sets
-    form one class, and only its least id goes on. Candidates share a band of minima with the bucket's least id; where a
-    bucket still holds several components, the members outside the main one meet the others, after division by further
-    bands if that were many pairs, and hubs follow one another where even that leaves many; no member is dropped.
+    form one class, and only its least id goes on. First each member of a band's bucket meets the bucket's least id; next those
+    outside the bucket's largest component meet that component in blocks; last they meet one another. No member is dropped.
     Candidates pass the sketch, then exact sets. Null or wordless texts are empty and linked with nothing. Rows with a
     null id are linked with nothing: component_id null, kept true. Rows with one id are one document, with
     all their sets. Other columns are not looked at.
@@ -158,34 +214,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
     tried = written(_by_sketch(_hub_pairs(members, percent), reps), "pairs")
     links = written(links.unionByName(_confirmed(tried, docs, n, percent, key, text)), "links")
     labels = written(connected_components(links), "labels")
-    divided = False
-    while True:
-        opened = written(_open(members, labels), "open")
-        if opened.isEmpty():
-            break
-        new = _listed_pairs(opened, percent)
-        rest = opened.where(F.col("cost") > PAIRS_LISTED)
-        if rest.isEmpty():
-            members = None
-        elif not divided:
-            # a linked pair that shares one band shares another with probability 1 - 8e-8
-            others = rest.select("bucket", "id", "n").distinct().join(reps.select("id", F.explode("bands").alias("band")), "id").where("band != bucket")
-            members, divided = written(others.select("id", "n", F.xxhash64("bucket", "band").alias("bucket")), "members"), True
-            new = new.unionByName(_hub_pairs(members, percent))
-        else:
-            # hubs that met all other members leave, and the next least id takes over
-            done = rest.groupBy("bucket").agg(F.min("id").alias("id"))
-            members = written(rest.select("bucket", "id", "n").distinct().join(done, ["bucket", "id"], "left_anti"), "members")
-            new = new.unionByName(_hub_pairs(members, percent))
-        fresh = new.distinct().join(tried, ["a", "b"], "left_anti")
-        found = written(_by_sketch(fresh, reps), "pairs")
-        tried = tried.unionByName(found)
-        confirmed = written(_confirmed(found, docs, n, percent, key, text), "links")
-        if not confirmed.isEmpty():
-            links = links.unionByName(confirmed)
-            labels = written(connected_components(links), "labels")
-        if members is None:
-            break
+    opened = written(_open(members, labels), "open")
+    if not opened.isEmpty():
+        more = written(_confirmed(written(_main_links(opened, labels, docs, n, percent, key, text), "pairs"), docs, n, percent, key, text), "links")
+        links = links.unionByName(more)
+        labels = written(connected_components(links), "labels")
+        fresh = _outside_pairs(opened, labels, reps, percent).distinct().join(tried, ["a", "b"], "left_anti")
+        more = written(_confirmed(written(_by_sketch(fresh, reps), "pairs"), docs, n, percent, key, text), "links")
+        if not more.isEmpty():
+            labels = written(connected_components(links.unionByName(more)), "labels")
     own = classes.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
     joined = live.select("id", "n_shingles", "digest").join(own, "digest").select("id", "n_shingles", "component_id")
     alone = sig.where("digest is null or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
