@@ -46,12 +46,12 @@ def worker_cache(name: str, make: Callable):
     return caches[name]
 
 
-def slices(batch: pa.RecordBatch, text: str):
-    """Parts of a batch of at most SLICE_ROWS rows and about SLICE_BYTES of text."""
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES):
+    """Parts of a batch of at most SLICE_ROWS rows and about `most` bytes of text."""
     start, used = 0, 0
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist() if batch.num_rows else []
     for i, n in enumerate(lengths):
-        if i > start and (used + n > SLICE_BYTES or i - start >= SLICE_ROWS):
+        if i > start and (used + n > most or i - start >= SLICE_ROWS):
             yield batch.slice(start, i - start)
             start, used = i, 0
         used += n

@@ -8,7 +8,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,8 +19,8 @@ PAIRS, VARIETY, REPEATS = 2048, 16, 8
 TERMS = PAIRS + VARIETY + REPEATS
 #: Latent dimensions, labelled rows that the model is fitted on at most, and neighbours that vote.
 DIMS, FIT_ROWS, NEIGHBOURS = 64, 4096, 15
-#: Rows of documents whose cosine products are held at once.
-BLOCK = 512
+#: Bytes of text whose terms and cosine products are held at once; a longer text is a block of its own.
+BLOCK_BYTES = 1 << 20
 
 
 @dataclass
@@ -37,13 +37,14 @@ def term_counts(texts: list[bytes]) -> np.ndarray:
     """Rows of term weights: 1 + ln(count) of each hashed pair of neighbouring bytes, how varied those pairs are for the length, and the share of words that repeat the word before."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int32)
-    doc = np.repeat(np.arange(len(texts)), lengths)
-    hashed = (data[:-1] * 263 + data[1:]) * 40503 >> 4 & (PAIRS - 1) if len(data) else data
-    if len(data):
-        same = doc[:-1] == doc[1:]
-        cells = doc[:-1][same] * PAIRS + hashed[same]
-    else:
-        cells = np.zeros(0, np.int64)
+    cells = np.zeros(0, np.int32)
+    if len(data) > 1:
+        cells = (data[:-1] * 263 + data[1:]) * 40503 >> 4 & (PAIRS - 1)
+        cells += np.repeat(np.arange(len(texts), dtype=np.int32) * PAIRS, lengths)[:-1]
+        inside = np.ones(len(cells), bool)
+        ends = np.cumsum(lengths) - 1  # a text's last byte begins no pair
+        inside[ends[(ends >= 0) & (ends < len(cells))]] = False
+        cells = cells[inside]
     counts = np.bincount(cells, minlength=len(texts) * PAIRS).reshape(len(texts), PAIRS).astype(np.float32)
     out = np.zeros((len(texts), TERMS), np.float32)
     np.log1p(counts, out=out[:, :PAIRS])
@@ -72,13 +73,18 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [(x or "").encode() for x in column.to_pylist()]
 
 
+def held_out(key: str) -> Column:
+    """Rows that no model may learn from: crc32 of the key as text, mod 3, is 1. Null keys are not among them."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
 def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
     """Texts that are not empty, and for each term in how many of them it is; over all rows. The result has TERMS numbers, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(TERMS + 1, np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BLOCK_BYTES):
                 found = term_counts(as_bytes(part.column("text"))) > 0
                 total[:TERMS] += found.sum(0)
                 total[TERMS] += found.any(1).sum()
@@ -92,19 +98,23 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
     return int(out[TERMS]), out[:TERMS]
 
 
-def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "label", fit_rows: int = FIT_ROWS, dims: int = DIMS) -> Model:
-    """A model from document frequencies over all of docs and at most fit_rows of the labelled texts, taken by hash of row.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS, dims: int = DIMS) -> Model:
+    """A model from document frequencies over all of docs and at most fit_rows labelled rows, taken by hash of the key.
 
-    Empty texts and null labels are passed over. The labelled sample comes to the driver as term vectors of fixed size.
+    Rows that are held out (see held_out), without key or label, and texts under two bytes are passed over; of several labels of
+    a key the least holds. The sample comes to the driver as term vectors of fixed size.
     """
     n, df = document_frequencies(docs, text)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
-    sample = labelled.where(F.col(label).isNotNull() & (F.octet_length(text) > 1)).select(F.col(text).alias("text"), F.col(label).cast("double").alias("label"), F.xxhash64(F.lit(5), text, F.monotonically_increasing_id()).alias("h"))
-    chosen = sample.orderBy("h").limit(fit_rows).select("text", "label")
+    own = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("k")).agg(F.min(label).cast("double").alias("label"))
+    known = docs.where(F.octet_length(text) > 1).select(F.col(key).alias("k")).distinct()
+    chosen = own.join(known, "k", "left_semi").orderBy(F.xxhash64(F.lit(5), "k"), "k").limit(fit_rows)
+    # fit_rows keys at most are broadcast, so no text is shuffled
+    chosen = docs.where(F.octet_length(text) > 1).select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "k").select("text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BLOCK_BYTES):
                 counts = term_counts(as_bytes(part.column("text"))).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in counts], pa.binary()), part.column("label")], names=["counts", "label"])
 
@@ -144,7 +154,7 @@ def score_quality(docs: DataFrame, model: Model, text: str = "text", score: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for part in slices(batch, inner):
+            for part in slices(batch, inner, BLOCK_BYTES):
                 texts = as_bytes(part.column(inner))
                 scores = vote(latent(term_counts(texts), own.idf, own.project), own, neighbours)
                 scores[np.fromiter((len(x) < 2 for x in texts), bool, len(texts))] = 0
@@ -152,10 +162,3 @@ def score_quality(docs: DataFrame, model: Model, text: str = "text", score: str
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.clip(scores, 0, 1))], names=schema.names)
 
     return src.mapInArrow(run, schema)
-
-
-def labelled_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
-    """(text, label) of documents that have a label and are not held out (crc32 of the key as text, mod 3, is 1). Of several labels of a key the least holds."""
-    held = F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1
-    own = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("label__"))
-    return docs.where(~held).join(own, key).select("text", F.col("label__").alias("label"))

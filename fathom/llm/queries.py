@@ -15,7 +15,7 @@ from fathom.llm.lines import MIN_SITES, remove_boilerplate
 from fathom.llm.minhash import near_duplicates
 from fathom.llm.packing import pack, words
 from fathom.llm.pieces import encode_pieces
-from fathom.llm.quality import fit, labelled_texts, score_quality
+from fathom.llm.quality import fit, held_out, score_quality
 from fathom.llm.shards import external_shuffle
 
 
@@ -37,10 +37,9 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs, labelled_texts(docs, table(spark, sf_dir, "labels")))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = fit(docs, table(spark, sf_dir, "labels"))
     scored = score_quality(docs, model, keep=["doc_id"])
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
