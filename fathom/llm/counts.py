@@ -41,52 +41,34 @@ class PrefixCounter:
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        of = byte_alphabet()
-        raw = lambda s: bytes(of[c] for c in s)
-        self.vocab = {raw(s) for s in spec["model"]["vocab"] if all(c in of for c in s)}
-        merges = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(merges)}
+        # words are handled in the alphabet of the vocabulary, in which each byte is one character
+        self.alphabet = {b: c for c, b in byte_alphabet().items()}
+        self.vocab = frozenset(spec["model"]["vocab"]).difference(x["content"] for x in spec["added_tokens"])
+        self.merge = Tokenizer.from_file(path).model.tokenize
         self.longest = max(map(len, self.vocab))
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split = regex.compile(SPLIT)
         self.words: dict[str, bytes | tuple] = {}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, int] = {}
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """Plain merging by rank; only for pairs of tokens."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 30))
-            pair = (parts[best], parts[best + 1])
-            if pair not in self.rank:
-                break
-            i, out = 0, []
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(pair[0] + pair[1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
-
-    def follows(self, u: bytes, t: bytes) -> bool:
+    def follows(self, u: str, t: str) -> bool:
         known = self.pairs.get((u, t))
         if known is None:
             if len(self.pairs) >= TABLE_ENTRIES:
                 self.pairs.clear()
-            known = self.pairs[u, t] = self.merged(u + t) == [u, t]
+            both = self.merge(u + t)
+            known = self.pairs[u, t] = len(both) == 2 and both[0].value == u
         return known
 
-    def prefixes(self, data: bytes) -> list[int]:
-        """Tokens of data[:i] for each i from 1 on."""
-        vocab, pairs, counts, last, longest = self.vocab, self.pairs, [0], [b""], self.longest
+    def prefixes(self, data: str) -> list[int]:
+        """Tokens of data[:i] for each i from 1 on; data is in the vocabulary's alphabet."""
+        vocab, pairs, counts, last, longest = self.vocab, self.pairs, [0], [""], self.longest
         for i in range(1, len(data) + 1):
             for j in range(i - longest if i > longest else 0, i):
                 if (t := data[j:i]) in vocab:
@@ -101,7 +83,7 @@ class PrefixCounter:
         """The counts at each byte prefix of a word; bytes where they fit."""
         known = self.words.get(word)
         if known is None:
-            own = self.prefixes(word.encode())
+            own = self.prefixes(word.encode().decode("latin1").translate(self.alphabet))
             known = bytes(own) if own[-1] < 256 else tuple(own)
             if len(word) <= LONG_WORD:
                 if len(self.words) >= TABLE_ENTRIES:
