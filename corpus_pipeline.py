@@ -9,12 +9,12 @@ from fathom.llm.common import table, written
 from fathom.llm.lines import remove_boilerplate
 from fathom.llm.minhash import BROADCAST_IDS, near_duplicates
 from fathom.llm.packing import pack, words
-from fathom.llm.quality import fit, labelled_texts, score_quality
+from fathom.llm.quality import fit, score_quality
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
-    model = fit(docs, labelled_texts(docs, table(spark, sf_dir, "labels")))
+    model = fit(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, model, score="score__").where("score__ >= 0.5").select(docs.columns)
 
 
