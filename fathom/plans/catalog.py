@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from fathom.plans import causal, clusters, curation, fusion, graphs, retrieval, temporal, texts
+
+_PARTS = (retrieval, fusion, temporal, causal, graphs, clusters, curation, texts)
+QUERIES = {name: f for part in _PARTS for name, f in part.query.queries.items()}
+SQL = {name: sql for part in _PARTS for name, sql in part.query.sql.items()}
