@@ -23,7 +23,7 @@ SKETCH_LEAST = 80
 BLOCK_SHINGLES = 1 << 17
 #: Members of a bucket outside its main component: up to FEW any two are candidates; beyond, they must share two bands; beyond MANY, further bands divide them first.
 FEW, MANY = 32, 2048
-#: Rows up to which ids are broadcast (8 bytes each); beyond it they are joined by shuffle.
+#: Rows up to which ids and pairs are broadcast (16 bytes each at most); beyond it they are joined by shuffle.
 BROADCAST_IDS = 200_000
 _SEED = 20240
 
@@ -96,12 +96,32 @@ def _outside_pairs(opened: DataFrame, labels: DataFrame, reps: DataFrame, percen
     both = F.array_intersect("bands_x", "bands_y")
     # a linked pair that shares one band shares another with probability 1 - 8e-8
     pairs = met(rows.where(F.col("outside") <= MANY), (F.array_min(both) == F.col("bucket_x")) & ((F.col("outside_x") <= FEW) | (F.size(both) >= 2)))
-    finer = rows.where(F.col("outside") > MANY).select("*", F.explode("bands").alias("band")).where("band != bucket").withColumn("bucket", F.xxhash64("bucket", "band")).drop("band")
+    large = rows.where(F.col("outside") > MANY)
+    if opened.where(F.col("outside") > MANY).isEmpty():
+        return pairs
+    finer = large.select("*", F.explode("bands").alias("band")).where("band != bucket").withColumn("bucket", F.xxhash64("bucket", "band")).drop("band")
     return pairs.unionByName(met(finer, F.size(both) >= 2))
 
 
+def _by_sketch(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Distinct pairs whose sketches agree well enough."""
+    own = reps.select("id", "sketch")
+    pairs = written(pairs.distinct(), "met")
+    pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs
+    joined = own.toDF("b", "sb").join(pairs, "b").join(own.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, MINIMA) for c in ("sa", "sb"))
+                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= SKETCH_LEAST))
+
+    return joined.mapInArrow(run, "a long, b long")
+
+
 def _texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
     """(id, text) of the documents with these ids, written. Ids up to BROADCAST_IDS are broadcast, more are joined by shuffle."""
+    ids = written(ids, "ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
     return written(own.join(ids, "id", "left_semi"), "texts")
@@ -151,29 +171,17 @@ def _main_links(opened: DataFrame, labels: DataFrame, docs: DataFrame, n: int, p
             yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], names=["a", "b"])
 
     met = blocks(out, "x").join(blocks(inside, "y"), "label").select("ids_x", "sets_x", "ids_y", "sets_y")
-    return met.mapInArrow(compared, "a long, b long").where("a != b").distinct()
-
-
-def _by_sketch(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Distinct pairs whose sketches agree well enough."""
-    own = reps.select("id", "sketch")
-    joined = pairs.distinct().join(own.toDF("b", "sb"), "b").join(own.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, MINIMA) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= SKETCH_LEAST))
-
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(compared, "a long, b long").where("a != b")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
     """The pairs whose whole texts' exact shingle sets are similar enough. Only texts in some pair are moved."""
+    pairs = written(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     own = _texts(docs, ids, key, text)
     # by a last, so that one task meets the pairs of a hub one after another
-    joined = pairs.join(own.toDF("b", "tb"), "b").join(own.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+    pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs
+    joined = own.toDF("b", "tb").join(pairs, "b").join(own.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, set_a = None, set()
@@ -187,7 +195,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, key: str
                 keep.append(100 * both >= percent * (len(set_a) + len(set_b) - both) and both > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    return joined.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,22 +213,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
     live = sig.where("digest is not null and id is not null")
     classes = written(live.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     reps = written(live.join(classes, "digest").where("id = rep").select("id", F.col("n_shingles").alias("n"), "bands", "sketch"), "representatives")
-    twice = live.join(classes, "digest").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b")
-    links = written(twice.select("a", "b").unionByName(twice.select("id", "b").toDF("a", "b")).where("a != b"), "links")
+    # an id with several sets ties their classes together
+    several = live.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x != y").select("id")
+    links = reps.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    if not several.isEmpty():
+        twice = live.join(several, "id").join(classes, "digest").select("id", "rep")
+        links = twice.groupBy("id").agg(F.min("rep").alias("a")).join(twice, "id").select("a", F.col("rep").alias("b")).where("a != b")
+        links = written(links.unionByName(twice.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a != b")), "links")
 
     members = reps.select("id", "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("bucket")
     members = written(members.join(shared, "bucket"), "members")
-    tried = written(_by_sketch(_hub_pairs(members, percent), reps), "pairs")
-    links = written(links.unionByName(_confirmed(tried, docs, n, percent, key, text)), "links")
+    links = written(links.unionByName(_confirmed(_by_sketch(_hub_pairs(members, percent), reps), docs, n, percent, key, text)), "links")
     labels = written(connected_components(links), "labels")
     opened = written(_open(members, labels), "open")
     if not opened.isEmpty():
-        more = written(_confirmed(written(_main_links(opened, labels, docs, n, percent, key, text), "pairs"), docs, n, percent, key, text), "links")
-        links = links.unionByName(more)
-        labels = written(connected_components(links), "labels")
-        fresh = _outside_pairs(opened, labels, reps, percent).distinct().join(tried, ["a", "b"], "left_anti")
-        more = written(_confirmed(written(_by_sketch(fresh, reps), "pairs"), docs, n, percent, key, text), "links")
+        inner = written(_main_links(opened, labels, docs, n, percent, key, text), "pairs")
+        fresh = _by_sketch(_outside_pairs(opened, labels, reps, percent), reps)
+        more = written(_confirmed(inner.unionByName(fresh), docs, n, percent, key, text), "links")
         if not more.isEmpty():
             labels = written(connected_components(links.unionByName(more)), "labels")
     own = classes.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
