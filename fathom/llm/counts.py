@@ -40,6 +40,7 @@ class PrefixCounter:
     """
 
     def __init__(self, path: str):
+        import ahocorasick
         import regex
         from tokenizers import Tokenizer
 
@@ -47,9 +48,19 @@ class PrefixCounter:
             spec = json.load(f)
         # words are handled in the alphabet of the vocabulary, in which each byte is one character
         self.alphabet = {b: c for c, b in byte_alphabet().items()}
-        self.vocab = frozenset(spec["model"]["vocab"]).difference(x["content"] for x in spec["added_tokens"])
+        # finds all tokens that end at each position of a word in one pass
+        self.tokens = ahocorasick.Automaton()
+        for token in frozenset(spec["model"]["vocab"]).difference(x["content"] for x in spec["added_tokens"]):
+            self.tokens.add_word(token, token)
+        self.tokens.make_automaton()
         self.merge = Tokenizer.from_file(path).model.tokenize
-        self.longest = max(map(len, self.vocab))
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
+        self.rank = {m: i for i, m in enumerate(merges)}
+        self.parts = {a + b: (a, b) for a, b in merges}
+        made = {a + b: i for i, (a, b) in enumerate(merges)}
+        # parts come before what they make, and nothing is made in two ways: then merges run in the order of their ranks
+        self.ordered = len(self.parts) == len(merges) and all(made.get(x, -1) < i for i, m in enumerate(merges) for x in m)
+        self.edges: dict[tuple[str, int], tuple] = {}
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split = regex.compile(SPLIT)
@@ -62,21 +73,47 @@ class PrefixCounter:
         if known is None:
             if len(self.pairs) >= TABLE_ENTRIES:
                 self.pairs.clear()
-            both = self.merge(u + t)
-            known = self.pairs[u, t] = len(both) == 2 and both[0].value == u
+            known = self.pairs[u, t] = self.apart(u, t)
+        return known
+
+    def edge(self, token: str, side: int) -> tuple:
+        """What stands at the token's left (0) or right (1) edge while it is being merged, with the rank of the merge that ends that."""
+        known = self.edges.get((token, side))
+        if known is None:
+            out, until, at = [], len(self.rank), token
+            while True:
+                out.append((at, until))
+                if at not in self.parts:
+                    break
+                until, at = self.rank[self.parts[at]], self.parts[at][side]
+            known = self.edges[token, side] = tuple(out)
         return known
 
+    def apart(self, u: str, t: str) -> bool:
+        """Whether u+t encodes to u and t: no merge across the boundary comes up while both its parts stand there.
+
+        Merges run by rank, and from the left at equal rank; so the left part must last beyond the merge's rank, the right one up to it.
+        """
+        if not self.ordered:
+            both = self.merge(u + t)
+            return len(both) == 2 and both[0].value == u
+        rank = self.rank
+        for x, x_until in self.edge(u, 1):
+            for y, y_until in self.edge(t, 0):
+                if (m := rank.get((x, y))) is not None and m < x_until and m <= y_until:
+                    return False
+        return True
+
     def prefixes(self, data: str) -> list[int]:
         """Tokens of data[:i] for each i from 1 on; data is in the vocabulary's alphabet."""
-        vocab, pairs, counts, last, longest = self.vocab, self.pairs, [0], [""], self.longest
-        for i in range(1, len(data) + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                if (t := data[j:i]) in vocab:
-                    if j and not (pairs[pair] if (pair := (last[j], t)) in pairs else self.follows(*pair)):
-                        continue
+        pairs, counts, last, done = self.pairs, [0], [""], -1
+        for end, t in self.tokens.iter(data):
+            if end > done:  # the token that ends here isn't known yet
+                j = end + 1 - len(t)
+                if not j or (pairs[pair] if (pair := (last[j], t)) in pairs else self.follows(*pair)):
                     counts.append(counts[j] + 1)
                     last.append(t)
-                    break
+                    done = end
         return counts[1:]
 
     def word(self, word: str) -> bytes | tuple:
