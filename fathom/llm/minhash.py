@@ -17,12 +17,12 @@ from fathom.llm.shingles import shingle_hashes, shingle_set
 #: Bands of so many minima. A pair at 0.8 shares no band with probability (1 - 0.8**4)**32, below 5e-8.
 BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
-#: Of each minimum one byte is kept as the sketch. Pairs at 0.8 agree in 102 of 128 bytes, with a deviation of 4.5; fewer than this end there.
-SKETCH_LEAST = 80
+#: Of each minimum two bits are kept as the sketch. Pairs at 0.8 agree in 109 of 128 minima there, with a deviation of 4; those that differ in more than this go no further.
+SKETCH_MOST = 41
 #: Shingles of a block of sets that are compared at once.
 BLOCK_SHINGLES = 1 << 17
-#: Members of a bucket outside its main component: up to FEW any two are candidates; beyond, they must share two bands; beyond MANY, further bands divide them first.
-FEW, MANY = 32, 2048
+#: Members of a bucket outside its main component beyond which further bands divide them before they meet.
+MANY = 2048
 #: Rows up to which ids and pairs are broadcast (16 bytes each at most); beyond it they are joined by shuffle.
 BROADCAST_IDS = 200_000
 _SEED = 20240
@@ -42,7 +42,10 @@ def minima(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """(id, n_shingles, digest, bands, sketch) of each row: set size, the set's 128-bit hash, one hash of each band, one byte of each minimum; null for empty sets."""
+    """(id, n_shingles, digest, bands, sketch) of each row: set size, the set's 128-bit hash, one hash of each band, two bits of each minimum; null for empty sets.
+
+    The sketch is four longs: the lowest bits of minima 0 to 63 and 64 to 127, then the next ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _multipliers()
@@ -58,11 +61,12 @@ def signatures(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
                     low = minima(hashes, a, b)
                     digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                     bands.append([xxhash.xxh3_64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), seed=k) - (1 << 63) for k in range(BANDS)])
-                    sketches.append((low & np.uint32(255)).astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "n_shingles", "digest", "bands", "sketch"])
+                    planes = np.concatenate([low & np.uint32(1), low >> np.uint32(1) & np.uint32(1)]).astype(np.uint8)
+                    sketches.append(np.packbits(planes).view(np.int64).tolist())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "n_shingles", "digest", "bands", "sketch"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_shingles long, digest binary, bands array<long>, sketch binary")
+    return rows.mapInArrow(run, "id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
 def _alike(x: str, y: str, percent: int):
@@ -70,53 +74,47 @@ def _alike(x: str, y: str, percent: int):
     return small * 100 >= large * percent
 
 
+def _near(x: str, y: str):
+    """Whether two sketches differ in few enough minima."""
+    p, q = F.col(x), F.col(y)
+    differ = lambda i: F.bit_count(p[i].bitwiseXOR(q[i]).bitwiseOR(p[i + 2].bitwiseXOR(q[i + 2])))
+    return differ(0) + differ(1) <= SKETCH_MOST
+
+
 def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Each bucket's members with its least id: (a, b), a < b, that sizes allow."""
-    hubs = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).where("hub.id != last").select("bucket", "hub")
-    return members.join(hubs, "bucket").where("id != hub.id").where(_alike("n", "hub.n", percent)).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
+    """Each bucket's members with its least id: distinct (a, b), a < b, that sizes and sketches allow."""
+    hubs = members.groupBy("bucket").agg(F.min(F.struct("id", "n", "sketch")).alias("hub")).select("bucket", F.col("hub.id").alias("h"), F.col("hub.n").alias("nh"), F.col("hub.sketch").alias("kh"))
+    x, y = members.alias("x"), hubs.alias("y")
+    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("id") != F.col("h")) & _alike("n", "nh", percent) & _near("sketch", "kh"))
+    return met.select(F.col("h").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members outside the largest component of their bucket: (bucket, id, n, main, outside), outside being how many they are there."""
+    """Members outside the largest component of their bucket: (bucket, id, n, sketch, main, outside), outside being how many they are there."""
     marked = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     each = marked.groupBy("bucket", "label").agg(F.count("*").alias("c"))
     state = each.groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("k")).where("k > 1")
     state = state.select("bucket", F.col("most.label").alias("main"), (F.col("size") - F.col("most.c")).alias("outside"))
-    return marked.join(state, "bucket").where("label != main").select("bucket", "id", "n", "main", "outside")
+    return marked.join(state, "bucket").where("label != main").select("bucket", "id", "n", "sketch", "label", "main", "outside")
 
 
-def _outside_pairs(opened: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members outside their bucket's main component that still have different labels, each in the first bucket they share."""
-    rows = opened.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"), "outside").join(reps.select("id", "bands"), "id")
+def _outside_pairs(opened: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members outside their bucket's main component that have different labels and share two bands, each in the first bucket they share."""
+    rows = opened.select("bucket", "id", "n", "sketch", "label", "outside").join(reps.select("id", "bands"), "id")
+    both = F.array_intersect("bands_x", "bands_y")
 
     def met(x: DataFrame, same: Column) -> DataFrame:
         x, y = x.toDF(*[f"{c}_x" for c in x.columns]), x.toDF(*[f"{c}_y" for c in x.columns])
-        return x.join(y, (F.col("bucket_x") == F.col("bucket_y")) & (F.col("id_x") < F.col("id_y")) & (F.col("label_x") != F.col("label_y")) & _alike("n_x", "n_y", percent) & same).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
+        one = (F.col("bucket_x") == F.col("bucket_y")) & (F.col("id_x") < F.col("id_y")) & (F.col("label_x") != F.col("label_y"))
+        return x.join(y, one & _alike("n_x", "n_y", percent) & _near("sketch_x", "sketch_y") & (F.size(both) >= 2) & same).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
 
-    both = F.array_intersect("bands_x", "bands_y")
-    # a linked pair that shares one band shares another with probability 1 - 8e-8
-    pairs = met(rows.where(F.col("outside") <= MANY), (F.array_min(both) == F.col("bucket_x")) & ((F.col("outside_x") <= FEW) | (F.size(both) >= 2)))
+    # a pair at 0.8 shares exactly one band with probability 1e-6
+    pairs = met(rows.where(F.col("outside") <= MANY), F.array_min(both) == F.col("bucket_x"))
     large = rows.where(F.col("outside") > MANY)
     if opened.where(F.col("outside") > MANY).isEmpty():
         return pairs
     finer = large.select("*", F.explode("bands").alias("band")).where("band != bucket").withColumn("bucket", F.xxhash64("bucket", "band")).drop("band")
-    return pairs.unionByName(met(finer, F.size(both) >= 2))
-
-
-def _by_sketch(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Distinct pairs whose sketches agree well enough."""
-    own = reps.select("id", "sketch")
-    pairs = written(pairs.distinct(), "met")
-    pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs
-    joined = own.toDF("b", "sb").join(pairs, "b").join(own.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, MINIMA) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= SKETCH_LEAST))
-
-    return joined.mapInArrow(run, "a long, b long")
+    return pairs.unionByName(met(finer, F.lit(True)))
 
 
 def _texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
@@ -221,15 +219,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
         links = twice.groupBy("id").agg(F.min("rep").alias("a")).join(twice, "id").select("a", F.col("rep").alias("b")).where("a != b")
         links = written(links.unionByName(twice.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a != b")), "links")
 
-    members = reps.select("id", "n", F.explode("bands").alias("bucket"))
+    members = reps.select("id", "n", "sketch", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("bucket")
     members = written(members.join(shared, "bucket"), "members")
-    links = written(links.unionByName(_confirmed(_by_sketch(_hub_pairs(members, percent), reps), docs, n, percent, key, text)), "links")
+    links = written(links.unionByName(_confirmed(_hub_pairs(members, percent), docs, n, percent, key, text)), "links")
     labels = written(connected_components(links), "labels")
     opened = written(_open(members, labels), "open")
     if not opened.isEmpty():
         inner = written(_main_links(opened, labels, docs, n, percent, key, text), "pairs")
-        fresh = _by_sketch(_outside_pairs(opened, labels, reps, percent), reps)
+        fresh = _outside_pairs(opened, reps, percent)
         more = written(_confirmed(inner.unionByName(fresh), docs, n, percent, key, text), "links")
         if not more.isEmpty():
             labels = written(connected_components(links.unionByName(more)), "labels")
