@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import insort
+from collections import Counter
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +44,6 @@ class Bins:
         return b, 0
 
     def _add(self, b: int, residual: int) -> None:
-        from bisect import insort
-
         insort(self.by_residual[residual], b)
         self.present |= 1 << residual
 
@@ -52,16 +54,15 @@ class Bins:
         self._add(b, residual - length)
 
 
-def pack_group(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Pieces of one group, longest first (then key, piece, cluster), each at the tightest compatible bin."""
-    pieces = pieces.sort_values(["length", "doc_id", "piece", "cluster"], ascending=[False, True, True, True], na_position="first", kind="stable")
+def pack_group(pieces: list[tuple], capacity: int) -> list[tuple[int, int]]:
+    """(bin, start) of each piece (length, source, cluster), taken in the order given, at the tightest compatible bin."""
     bins, source_bits, cluster_bits, out = Bins(capacity), {}, {}, []
-    repeated = set(pieces["cluster"][pieces["cluster"].duplicated(keep=False)].dropna())
-    for length, source, cluster in zip(pieces["length"], pieces["source"], pieces["cluster"], strict=True):
-        source = 0 if pd.isna(source) else source_bits.setdefault(source, 1 << len(source_bits))
-        cluster = cluster_bits.setdefault(cluster, 1 << len(cluster_bits)) if cluster in repeated else 0
-        out.append(bins.place(int(length), source, cluster))
-    return pieces.assign(bin=[b for b, _ in out], start=[s for _, s in out])
+    repeated = {c for c, n in Counter(p[2] for p in pieces).items() if n > 1 and c is not None}
+    for length, source, cluster in pieces:
+        s = 0 if source is None else source_bits.setdefault(source, 1 << len(source_bits))
+        c = cluster_bits.setdefault(cluster, 1 << len(cluster_bits)) if cluster in repeated else 0
+        out.append(bins.place(length, s, c))
+    return out
 
 
 def words(text: str = "text") -> Column:
@@ -84,10 +85,15 @@ def pack(docs: DataFrame, length: Column, cluster: Column, capacity: int = CAPAC
     groups = max(1, -(-int(total) // group))
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "cluster", "piece"), F.lit(groups)))
 
-    def packed(own: pd.DataFrame) -> pd.DataFrame:
-        out = pack_group(own, capacity)
-        return out.assign(bin=out["bin"] + out["group"] * 2**32)[["doc_id", "piece", "length", "bin", "start"]]
+    def packed(own: pa.Table) -> pa.Table:
+        """Longest first, then by key, piece and cluster; null keys first."""
+        order = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("cluster", "ascending")]
+        own = own.take(pc.sort_indices(own, sort_keys=order, null_placement="at_start"))
+        placed = pack_group(list(zip(*(own.column(c).to_pylist() for c in ("length", "source", "cluster")), strict=True)), capacity)
+        first = own.column("group")[0].as_py() << 32
+        columns = [own.column("doc_id"), own.column("piece"), own.column("length"), pa.array([first + b for b, _ in placed], pa.int64()), pa.array([s for _, s in placed], pa.int64())]
+        return pa.table(columns, names=["doc_id", "piece", "length", "bin", "start"])
 
-    placed = dealt.groupBy("group").applyInPandas(packed, "doc_id long, piece int, length long, bin long, start long")
+    placed = dealt.groupBy("group").applyInArrow(packed, "doc_id long, piece int, length long, bin long, start long")
     none = rows.where("whole <= 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("start"))
     return placed.unionByName(none)
