@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import uuid
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one slice that Python holds at a time; long texts are further cut by bytes.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+#: Bytes of an Arrow batch where rows carry whole texts or sets.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +37,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES):
+    """While it holds, jobs hand rows to Python in Arrow batches of about that many bytes; for jobs that run inside only."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import slices, written
+from fathom.llm.common import slices, small_batches, written
 from fathom.llm.components import connected_components
 from fathom.llm.shingles import shingle_hashes, shingle_set
 
@@ -20,7 +20,7 @@ MINIMA = BANDS * ROWS
 #: Of each minimum two bits are kept as the sketch. Pairs at 0.8 agree in 109 of 128 minima there, with a deviation of 4; those that differ in more than this go no further.
 SKETCH_MOST = 41
 #: Shingles of a block of sets that are compared at once.
-BLOCK_SHINGLES = 1 << 17
+BLOCK_SHINGLES = 1 << 15
 #: Members of a bucket outside its main component beyond which further bands divide them before they meet.
 MANY = 2048
 #: Rows up to which ids and pairs are broadcast (16 bytes each at most); beyond it they are joined by shuffle.
@@ -196,17 +196,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, key: str
     return joined.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs.
-
-    Two documents are linked when 100 * intersection >= percent * union of their sets of n-word shingles (fewer words: the whole
-    sequence; A-Z lowered). component_id is the least id that links lead to; kept marks that document. Equal sets
-    form one class, and only its least id goes on. First each member of a band's bucket meets the bucket's least id; next those
-    outside the bucket's largest component meet that component in blocks; last they meet one another. No member is dropped.
-    Candidates pass the sketch, then exact sets. Null or wordless texts are empty and linked with nothing. Rows with a
-    null id are linked with nothing: component_id null, kept true. Rows with one id are one document, with
-    all their sets. Other columns are not looked at.
-    """
+def _labelled(docs: DataFrame, n: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Written signatures, those that take part, classes of equal sets, and labels of classes that have links."""
     sig = written(signatures(docs, n, key, text), "signatures")
     live = sig.where("digest is not null and id is not null")
     classes = written(live.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
@@ -231,6 +222,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
         more = written(_confirmed(inner.unionByName(fresh), docs, n, percent, key, text), "links")
         if not more.isEmpty():
             labels = written(connected_components(links.unionByName(more)), "labels")
+    return sig, live, classes, labels
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs.
+
+    Two documents are linked when 100 * intersection >= percent * union of their sets of n-word shingles (fewer words: the whole
+    sequence; A-Z lowered). component_id is the least id that links lead to; kept marks that document. Equal sets
+    form one class, and only its least id goes on. First each member of a band's bucket meets the bucket's least id; next those
+    outside the bucket's largest component meet that component in blocks; last they meet one another. No member is dropped.
+    Candidates pass the sketch, then exact sets. Null or wordless texts are empty and linked with nothing. Rows with a
+    null id are linked with nothing: component_id null, kept true. Rows with one id are one document, with
+    all their sets. Other columns are not looked at.
+    """
+    with small_batches(docs.sparkSession):
+        sig, live, classes, labels = _labelled(docs, n, percent, key, text)
     own = classes.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
     joined = live.select("id", "n_shingles", "digest").join(own, "digest").select("id", "n_shingles", "component_id")
     alone = sig.where("digest is null or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))

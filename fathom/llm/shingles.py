@@ -8,7 +8,7 @@ import xxhash
 from fathom.llm.common import worker_cache
 
 #: Words whose hashes a worker keeps; a full table is emptied.
-WORD_ENTRIES = 500_000
+WORD_ENTRIES = 200_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
