@@ -55,8 +55,9 @@ def term_counts(texts: list[bytes]) -> np.ndarray:
     out[np.flatnonzero(some), PAIRS + level[some]] = 4.0
     for i, x in enumerate(texts):
         words = x.split()
-        if again := sum(map(eq, words, words[1:])):
-            out[i, PAIRS + VARIETY + min(REPEATS - 1, again * REPEATS // len(words))] = 8.0
+        level = sum(map(eq, words, words[1:])) * REPEATS // max(1, len(words))
+        if level:  # a few repeats are no sign of anything
+            out[i, PAIRS + VARIETY + level] = 8.0
     return out
 
 

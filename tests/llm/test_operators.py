@@ -52,8 +52,8 @@ def test_exact_search_equals_brute_force(spark):
     for block in (4096, 7):
         got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in exact_top_k(df, df.where("vec_id % 10 = 0"), 5, block=block).collect()}
         for i in range(0, 300, 10):
-            s = q @ q[i]
-            s[i] = np.iinfo(np.int64).min
+            s = (q @ q[i]).astype(np.float64)
+            s[i] = -np.inf
             order = np.lexsort((np.arange(300), -s))[:5]
             assert [got[i, k + 1] for k in range(5)] == [(int(j), int(s[j])) for j in order]
 
