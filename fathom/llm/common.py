@@ -49,6 +49,11 @@ def small_batches(spark: SparkSession, size: int = BATCH_BYTES):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def keep_batches_small(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """From now on this session hands rows to Python in Arrow batches of about that many bytes: for operators whose job the caller starts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

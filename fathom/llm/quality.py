@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathom.llm.common import free_name, slices
+from fathom.llm.common import free_name, keep_batches_small, slices
 
 #: Buckets of hashed byte pairs, and pseudo-terms for how varied the pairs of a text are and how often a word follows itself.
 PAIRS, VARIETY, REPEATS = 2048, 16, 8
@@ -105,6 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     Rows that are held out (see held_out), without key or label, and texts under two bytes are passed over; of several labels of
     a key the least holds. The sample comes to the driver as term vectors of fixed size.
     """
+    keep_batches_small(docs.sparkSession)
     n, df = document_frequencies(docs, text)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
     own = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("k")).agg(F.min(label).cast("double").alias("label"))
