@@ -54,8 +54,8 @@ class MemoryStore:
     def store(self, df: DataFrame, operator: str = "system") -> None:
         """Appends memories (content, importance, ids and times given) with their content's hash, and an audit row each."""
         rows = df.withColumn("content_hash", F.sha2("content", 256))
-        fields = [f.split()[0] for f in self.MEMORY.split(", ")]
-        rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in fields]).write.mode("append").parquet(f"{self.root}/memories")
+        fields = [f.split() for f in self.MEMORY.split(", ")]
+        rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in fields]).write.mode("append").parquet(f"{self.root}/memories")
         self.audit(rows.select(F.col("id").alias("target_id"), F.col("created_at").alias("ts")), "store", operator)
 
     def audit(self, targets: DataFrame, operation: str, operator: str) -> None:

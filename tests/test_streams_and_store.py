@@ -18,7 +18,8 @@ def stream_of(spark, tmp_path, rows, schema):
 def drained(spark, df, tmp_path, mode="append"):
     name = f"t{abs(hash(str(tmp_path)))}"
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
+    q.awaitTermination(15)
+    q.stop()
     return spark.table(name)
 
 
