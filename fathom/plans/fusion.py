@@ -122,14 +122,14 @@ def relevance_threshold(spark, d):
     return out.select("id", F.round("relevance", 6).alias("relevance"), "matching")
 
 
-@query(f"with {S}, w(space, w) as (values ('E1', 0.2 / 0.8), ('E5', 0.1 / 0.8), ('E7', 0.4 / 0.8), ('E10', 0.1 / 0.8)) select id, round(sum(w * score) / sum(w), 8) as score from s join w using (space) group by id order by score desc, id limit 10")
+@query(f"with {S}, w(space, w) as (values ('E1', 0.2 / 0.8), ('E5', 0.1 / 0.8), ('E7', 0.4 / 0.8), ('E10', 0.1 / 0.8)) select id, round(sum(w * score) / sum(w), 10) as score from s join w using (space) group by id order by score desc, id limit 10")
 def weight_profile_rescore(spark, d):
     from fathom.functions.profiles import PROFILES, resolve
 
     own = dict(zip((f"E{i}" for i in range(1, 14)), PROFILES["code_search"], strict=True))
     weights = resolve(custom={s: own[s] for s in SPACES})
     out = fuse.weighted_mean(long_scores(spark, d), weights)
-    return out.select("id", F.round("score", 8).alias("score")).orderBy(F.desc("score"), "id").limit(10)
+    return out.select("id", F.round("score", 10).alias("score")).orderBy(F.desc("score"), "id").limit(10)
 
 
 @query(
