@@ -70,6 +70,15 @@ class Scorer:
             for t, w in own.items():
                 self.postings.setdefault(t, []).append((k, w / norm))
 
+    def bound(self, found: list[str]) -> float:
+        """At least the square of a passage's greatest cosine: the weight that template terms have in it; 0 without any."""
+        known = self.idf.keys() & found
+        if not known:
+            return 0.0
+        counts = [(found.count(t), self.idf[t]) for t in known]
+        weight = sum((c * w) ** 2 for c, w in counts)
+        return weight / (weight + (len(found) - sum(c for c, _ in counts)) * self.rest**2)
+
     def best(self, found: list[str]) -> tuple[float, str | None]:
         """The greatest cosine of a passage's terms and its licence; the earlier template of equals."""
         counts = Counter(found)
@@ -107,8 +116,8 @@ def corpus_weights(docs: DataFrame, text: str = "text") -> Scorer:
 def scan_texts(docs: DataFrame, scorer: Scorer, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep's columns (all if None) with notice (licence of the best line, if its cosine is NOTICE or more), cosine, notice_line and file_license.
 
-    Each line of the whole text with a term of the templates that is rare in the corpus (half the greatest weight or more) is a
-    passage, and the text as a whole is one: if that reaches FILE, the row is a licence file.
+    Each line of the whole text with a term of the templates is a passage, whatever the corpus's size and the term's frequency, and
+    the text as a whole is one: if that reaches FILE, the row is a licence file. Only passages that can't beat the best are left out.
     Null and empty texts have none (cosine 0). Of equally good lines the first counts. Taken names get leading underscores.
     """
     src = docs.select(*(docs.columns if keep is None else keep), docs[text].alias(inner := free_name(docs, "text__")))
@@ -118,8 +127,6 @@ def scan_texts(docs: DataFrame, scorer: Scorer, text: str = "text", keep: list[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        least = max(own.idf.values()) / 2
-        rare = frozenset(t for t in VOCABULARY if own.idf[t] >= least)
         for batch in batches:
             for part in slices(batch, inner):
                 out: list[tuple] = []
@@ -127,7 +134,7 @@ def scan_texts(docs: DataFrame, scorer: Scorer, text: str = "text", keep: list[s
                     top, name, at, whole = 0.0, None, None, None
                     lines = list(map(terms, (x or "").split("\n")))
                     for i, found in enumerate(lines):
-                        if not rare.isdisjoint(found):
+                        if own.bound(found) > top * top:
                             cosine, licence = own.best(found)
                             if cosine > top:
                                 top, name, at = cosine, licence, i

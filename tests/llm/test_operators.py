@@ -327,6 +327,14 @@ def test_licenses(spark):
     assert inherit(scan_texts(docs.limit(0), corpus_weights(docs.limit(0)), keep=["doc_id", "path"])).count() == 0
 
 
+def test_license_lines_count_in_a_large_table(spark):
+    """A notice that stands in 1 % of 100,000 documents is found, as in a small table."""
+    texts = F.concat(F.lit("w"), F.col("id").cast("string"), F.when(F.col("id") % 100 == 0, "\nReleased under the MIT License.").otherwise(""))
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), texts.alias("text"))
+    got = scan_texts(docs, corpus_weights(docs), keep=["doc_id"]).groupBy("notice", "notice_line", (F.col("doc_id") % 100 == 0).alias("has")).count().collect()
+    assert sorted((r.has, r.notice, r.notice_line, r["count"]) for r in got) == [(False, None, None, 99_000), (True, "MIT", 1, 1000)]
+
+
 # 10
 
 
