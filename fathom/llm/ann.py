@@ -91,6 +91,16 @@ def _unit(vectors: list[list[float]]) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
+def shortlisted(est: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Positions (queries, n) of each row's n largest estimates; of those equal to the last one, the smallest ids."""
+    short = np.argpartition(-est, n - 1, axis=1)[:, :n]
+    cut = np.take_along_axis(est, short, 1).min(1)
+    for j in np.flatnonzero((est >= cut[:, None]).sum(1) > n):
+        above, equal = np.flatnonzero(est[j] > cut[j]), np.flatnonzero(est[j] == cut[j])
+        short[j] = np.concatenate([above, equal[np.argsort(ids[equal], kind="stable")[: n - len(above)]]])
+    return short
+
+
 def scan(queries: dict, batches: Iterator[pa.RecordBatch], books: dict[int, np.ndarray], k: int, shortlist: int) -> Iterator[pa.RecordBatch]:
     """For each block of the index, each query's k best of the shortlist that lookup tables give."""
     for batch in batches:
@@ -113,7 +123,7 @@ def scan(queries: dict, batches: Iterator[pa.RecordBatch], books: dict[int, np.n
                     for m in range(len(own)):
                         est += tables[m][codes[:, m]]
                     est = (est * factor[:, None]).T
-                    short = np.argpartition(-est, shortlist, axis=1)[:, : shortlist + 1]
+                    short = shortlisted(est, ids, shortlist + 1)
                 else:
                     short = np.broadcast_to(np.arange(len(rows)), (len(part), len(rows)))
                 score = np.array([_exact(x[s], p) for s, p in zip(short, part, strict=True)])

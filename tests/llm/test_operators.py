@@ -92,6 +92,21 @@ def test_ann_recall_and_scores(spark):
     assert hit / 300 >= 0.9
 
 
+def test_ann_ties_go_to_smaller_ids(spark):
+    """A third of the vectors are equal, many more than the shortlist holds."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x[rng.permutation(3000)[:1000]] = x[0]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").orderBy(F.xxhash64("vec_id")).coalesce(1)
+    rows = ann_search(df, df.where("vec_id % 50 = 0"), 10, shortlist=100).collect()
+    d, hit = x.astype(np.float64), 0
+    for i in range(0, 3000, 50):
+        s = np.round(d @ d[i], 9)
+        s[i] = -np.inf
+        hit += len({r.vec_id for r in rows if r.query_id == i} & set(np.lexsort((np.arange(3000), -s))[:10].tolist()))
+    assert hit / 600 >= 0.9
+
+
 # 2
 
 
