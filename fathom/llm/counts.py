@@ -201,12 +201,52 @@ class PrefixCounter:
             base += own[-1]
         return out
 
+    def within(self, text: str, limit: int) -> int | None:
+        """Tokens of a run without special strings, None if they are more than limit."""
+        n = 0
+        for m in self.split.finditer(text):
+            n += self.word(m.group())[-1]
+            if n > limit:
+                return None
+        return n
+
+    def cut_at(self, text: str, limit: int) -> int:
+        """Characters of the longest prefix of a run without special strings within limit tokens: units are walked up to the limit, and only those around it are looked at inside."""
+        units, bases, base, past = [], [], 0, 0
+        for m in self.split.finditer(text):
+            units.append(m.group())
+            bases.append(base)
+            if past:  # one more unit, as its first whitespace may join the unit that crosses the limit
+                units[-1], past = units[-1][:1], past + 1
+                break
+            base += self.word(units[-1])[-1]
+            past = int(base > limit)
+        j = max(0, len(units) - max(past, 1) - 3)
+        fit = [i for i, n in enumerate(self.prefix_counts_plain("".join(units[j:])), 1) if bases[j] + n <= limit] if units else []
+        return sum(map(len, units[:j])) + (fit[-1] if fit else 0)
+
+    def longest_prefix(self, text: str, limit: int) -> int:
+        """Characters of the longest prefix within limit tokens, as the library would count that prefix on its own."""
+        at, left, runs = 0, limit, ["".join(run) for run in self.stretches(text)]
+        for run, after in zip(runs, [*runs[1:], ""], strict=True):
+            if run in self.special:
+                n = 1 if left else None
+                whole = run[:-1]
+            else:
+                # a special string that is cut is text, and goes on with what stands before
+                special = after in self.special
+                n = self.within(run, left - special)
+                whole = run + after[:-1] if special else run
+            if n is None:
+                return at + self.cut_at(whole, left)
+            at, left = at + len(run), left - n
+        return at
+
 
 def count_tokens(df: DataFrame, vocab_path: str, text: str = "text", limit: int = 512, keep: list[str] | None = None) -> DataFrame:
     """keep's columns (all but text if None), n_tokens of the whole text, and the answers of its prefix table to the budget question.
 
-    fits_chars: characters up to the end of the last stretch (a word with what precedes it) within limit tokens; the whole
-    length where the text fits. A null or empty text has 0 tokens. Special strings in a text are their own token, as
+    fits_chars: characters of the longest prefix within limit tokens, wherever it ends; the whole length where the text fits. A null or empty text has 0 tokens. Special strings in a text are their own token, as
     the library has it. Texts of any length are counted whole. New columns get leading underscores where names are taken.
     For the table itself, at every character, see PrefixCounter.prefix_counts.
     """
@@ -221,9 +261,9 @@ def count_tokens(df: DataFrame, vocab_path: str, text: str = "text", limit: int
             for part in slices(batch, inner):
                 totals, fits = [], []
                 for x in part.column(inner).to_pylist():
-                    pieces, counts = own.table(x or "")
+                    counts = own.table(x or "")[1]
                     totals.append(int(counts[-1]) if len(counts) else 0)
-                    fits.append(len(x or "") if totals[-1] <= limit else sum(map(len, pieces[: int(np.searchsorted(counts, limit, "right"))])))
+                    fits.append(len(x or "") if totals[-1] <= limit else own.longest_prefix(x, limit))
                 arrays = [part.column(i) for i, c in enumerate(part.schema.names) if c != inner]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(totals, pa.int64()), pa.array(fits, pa.int64())], names=schema.names)
 

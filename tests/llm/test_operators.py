@@ -324,6 +324,17 @@ def test_prefix_counts_equal_the_library():
         assert list(counter.prefix_counts(t)) == [len(model.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
 
 
+def test_fits_chars_is_the_longest_prefix(spark):
+    """Also where spaces are irregular or absent, and the limit falls inside a unit or a special string."""
+    counter = PrefixCounter(BPE)
+    odd = ["word " * 50 + " " + "word " * 50, " lead " + "word " * 60, "word " * 40 + "\n" + "word " * 40, "    x = 1\n" * 40, "日本語の文章です" * 40, "a" * 300]
+    texts = [t for t in ODD if t and len(t) < 100] + odd + random_texts(14, 200)
+    for limit in (0, 1, 2, 5, 8, 40):
+        want = [int(np.flatnonzero(counter.prefix_counts(t) <= limit)[-1]) for t in texts]
+        got = {r.doc_id: r.fits_chars for r in count_tokens(docs_of(spark, texts), BPE, limit=limit).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 # 8
 
 
