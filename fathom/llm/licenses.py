@@ -53,6 +53,8 @@ def terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
+#: Terms of a passage of several lines at most: twice those of the longest template.
+PASSAGE = 2 * max(len(terms(text)) for _, text in _FLAT)
 VOCABULARY = frozenset(t for _, text in _FLAT for t in terms(text))
 
 
@@ -93,6 +95,27 @@ class Scorer:
         k = min(sums, key=lambda k: (-round(sums[k], 12), k))
         return min(1.0, sums[k] / norm), _FLAT[k][0]
 
+    def passage(self, lines: list[tuple[int, list[str], float]], least: float) -> tuple[float, str | None, int | None]:
+        """The best run of two lines or more with a cosine over `least`, its licence and first line, from (line, terms, bound).
+
+        Runs hold PASSAGE terms at most. A run's squared cosine is at most the sum of its lines' bounds, so only runs with enough of them are scored.
+        """
+        top, name, at = least, None, None
+        for i, (line, found, bound) in enumerate(lines):
+            if not bound:
+                continue
+            run, total = list(found), bound
+            for _, more, own in lines[i + 1 :]:
+                if len(run) + len(more) > PASSAGE:
+                    break
+                run += more
+                total += own
+                if own and total > top * top:
+                    cosine, licence = self.best(run)
+                    if round(cosine, 9) > round(top, 9):
+                        top, name, at = cosine, licence, line
+        return top, name, at
+
 
 def corpus_weights(docs: DataFrame, text: str = "text") -> Scorer:
     """A scorer with document frequencies of the templates' terms over all texts that are not empty. The result is as large as the templates' vocabulary."""
@@ -117,7 +140,8 @@ def scan_texts(docs: DataFrame, scorer: Scorer, text: str = "text", keep: list[s
     """keep's columns (all if None) with notice (licence of the best line, if its cosine is NOTICE or more), cosine, notice_line and file_license.
 
     Each line of the whole text with a term of the templates is a passage, whatever the corpus's size and the term's frequency, and
-    the text as a whole is one: if that reaches FILE, the row is a licence file. Only passages that can't beat the best are left out.
+    so are runs of lines (a wrapped notice; comment marks are no terms) that reach NOTICE and beat each line: notice_line is the first
+    of them. The text as a whole is one: if that reaches FILE, the row is a licence file. Only passages that can't beat the best are left out.
     Null and empty texts have none (cosine 0). Of equally good lines the first counts. Taken names get leading underscores.
     """
     src = docs.select(*(docs.columns if keep is None else keep), docs[text].alias(inner := free_name(docs, "text__")))
@@ -133,11 +157,17 @@ def scan_texts(docs: DataFrame, scorer: Scorer, text: str = "text", keep: list[s
                 for x in part.column(inner).to_pylist():
                     top, name, at, whole = 0.0, None, None, None
                     lines = list(map(terms, (x or "").split("\n")))
+                    bounds = list(map(own.bound, lines))
                     for i, found in enumerate(lines):
-                        if own.bound(found) > top * top:
+                        if bounds[i] > top * top:
                             cosine, licence = own.best(found)
                             if cosine > top:
                                 top, name, at = cosine, licence, i
+                    if sum(bounds) > NOTICE * NOTICE:
+                        full = [p for p in zip(range(len(lines)), lines, bounds, strict=True) if p[1]]
+                        cosine, licence, start = own.passage(full, max(top, NOTICE))
+                        if start is not None:
+                            top, name, at = cosine, licence, start
                     if at is not None:
                         cosine, licence = own.best(list(chain.from_iterable(lines)))
                         whole = licence if cosine >= FILE else None

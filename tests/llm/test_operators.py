@@ -361,6 +361,21 @@ def test_license_lines_count_in_a_large_table(spark):
     assert sorted((r.has, r.notice, r.notice_line, r["count"]) for r in got) == [(False, None, None, 99_000), (True, "MIT", 1, 1000)]
 
 
+def test_wrapped_license_headers(spark):
+    """A notice over several comment lines above code counts as one passage."""
+    import textwrap
+
+    from fathom.llm.licenses import TEMPLATES
+
+    rng = random.Random(15)
+    long = [(k, t) for k in ("MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause", "MPL-2.0") for t in TEMPLATES[k] if len(t) > 100]
+    texts = ["\n".join([f"// {words(rng, 4)}", "//", *[f"// {x}" for x in textwrap.wrap(t, 40, break_long_words=False, break_on_hyphens=False)], "", *[words(rng, 8) for _ in range(40)]]) for _, t in long]
+    docs = docs_of(spark, texts + [words(rng, 30) + " the of and\nin to this" for _ in range(300)])
+    got = {r.doc_id: r for r in scan_texts(docs, corpus_weights(docs), keep=["doc_id"]).collect()}
+    assert [(got[i].notice, got[i].notice_line, got[i].cosine) for i in range(len(long))] == [(k, 2, 1.0) for k, _ in long]
+    assert all(r.notice is None for i, r in got.items() if i >= len(long))
+
+
 # 10
 
 
