@@ -19,9 +19,9 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 #: Of each minimum two bits are kept as the sketch. Pairs at 0.8 agree in 109 of 128 minima there, with a deviation of 4; those that differ in more than this go no further.
 SKETCH_MOST = 41
-#: Shingles of a block of sets that are compared at once.
-BLOCK_SHINGLES = 1 << 15
-#: Members of a bucket outside its main component beyond which further bands divide them before they meet.
+#: Cells that count in how many sets a shingle is, for an order with the rare ones first; any order is exact.
+CELLS = 1 << 18
+#: Sets that share a prefix shingle beyond which they are dealt to blocks.
 MANY = 2048
 #: Rows up to which ids and pairs are broadcast (16 bytes each at most); beyond it they are joined by shuffle.
 BROADCAST_IDS = 200_000
@@ -74,11 +74,16 @@ def _alike(x: str, y: str, percent: int):
     return small * 100 >= large * percent
 
 
-def _near(x: str, y: str):
-    """Whether two sketches differ in few enough minima."""
+def _apart(x: str, y: str) -> Column:
+    """Minima in which two sketches differ."""
     p, q = F.col(x), F.col(y)
     differ = lambda i: F.bit_count(p[i].bitwiseXOR(q[i]).bitwiseOR(p[i + 2].bitwiseXOR(q[i + 2])))
-    return differ(0) + differ(1) <= SKETCH_MOST
+    return differ(0) + differ(1)
+
+
+def _near(x: str, y: str) -> Column:
+    """Whether two sketches differ in few enough minima."""
+    return _apart(x, y) <= SKETCH_MOST
 
 
 def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -90,93 +95,131 @@ def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members outside the largest component of their bucket: (bucket, id, n, sketch, main, outside), outside being how many they are there."""
-    marked = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    """(id, label) of the classes in buckets that hold several components: members outside a bucket's largest component, and all classes of those components."""
+    marked = members.select("bucket", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     each = marked.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-    state = each.groupBy("bucket").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("k")).where("k > 1")
-    state = state.select("bucket", F.col("most.label").alias("main"), (F.col("size") - F.col("most.c")).alias("outside"))
-    return marked.join(state, "bucket").where("label != main").select("bucket", "id", "n", "sketch", "label", "main", "outside")
+    state = each.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("most.label").alias("main"))
+    outside = written(marked.join(state, "bucket").where("label != main").select("id", "label", "main").distinct(), "outside")
+    mains = outside.select(F.col("main").alias("label")).distinct()
+    inside = labels.join(mains, "label").select("id", "label").unionByName(mains.select(F.col("label").alias("id"), "label"))
+    return outside.select("id", "label").unionByName(inside).distinct()
+
+
+def _texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """ids with the text of the documents that have them. Ids up to BROADCAST_IDS are broadcast, more are joined by shuffle."""
+    ids = written(ids, "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null and text is not null")
+    return own.join(ids, "id")
 
 
-def _outside_pairs(opened: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members outside their bucket's main component that have different labels and share two bands, each in the first bucket they share."""
-    rows = opened.select("bucket", "id", "n", "sketch", "label", "outside").join(reps.select("id", "bands"), "id")
-    both = F.array_intersect("bands_x", "bands_y")
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of a column of sets, and where each set begins in them (one more than sets)."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64) if offsets[-1] > offsets[0] else np.zeros(0, np.uint64)
+    return data, (offsets - offsets[0]) // 8
 
-    def met(x: DataFrame, same: Column) -> DataFrame:
-        x, y = x.toDF(*[f"{c}_x" for c in x.columns]), x.toDF(*[f"{c}_y" for c in x.columns])
-        one = (F.col("bucket_x") == F.col("bucket_y")) & (F.col("id_x") < F.col("id_y")) & (F.col("label_x") != F.col("label_y"))
-        return x.join(y, one & _alike("n_x", "n_y", percent) & _near("sketch_x", "sketch_y") & (F.size(both) >= 2) & same).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
 
-    # a pair at 0.8 shares exactly one band with probability 1e-6
-    pairs = met(rows.where(F.col("outside") <= MANY), F.array_min(both) == F.col("bucket_x"))
-    large = rows.where(F.col("outside") > MANY)
-    if opened.where(F.col("outside") > MANY).isEmpty():
-        return pairs
-    finer = large.select("*", F.explode("bands").alias("band")).where("band != bucket").withColumn("bucket", F.xxhash64("bucket", "band")).drop("band")
-    return pairs.unionByName(met(finer, F.lit(True)))
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-def _texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, text) of the documents with these ids, written. Ids up to BROADCAST_IDS are broadcast, more are joined by shuffle."""
-    ids = written(ids, "ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    return written(own.join(ids, "id", "left_semi"), "texts")
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """In how many sets each of CELLS cells of hashes is met: CELLS numbers, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            total += np.bincount(_cells(_flat(batch.column("set"))[0]), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+
+    found = sets.select("set").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return out
 
 
-def _main_links(opened: DataFrame, labels: DataFrame, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
-    """Links from members outside a bucket's main component into that component, one at most for each block of it.
+def _least_sizes(n: int, percent: int) -> tuple[int, int]:
+    """Shingles, in a global order, among which a set of n meets each similar set that is not larger, and each that is not smaller.
 
-    Members and components are packed into blocks of bounded size, and blocks of one component meet, so rows grow with blocks and
-    not with pairs; inside, each set is held against the others until one is similar.
+    Similar sets x and y have 100 * both >= percent * (|x| + |y| - both). With |y| >= |x| so at least 2p/(100+p) of x and p/100 of
+    y are in both, and of what is in both, the first in the order is within the rest and one of either.
     """
-    out = written(opened.select("id", F.col("main").alias("label")).distinct(), "outside")
-    mains = out.select("label").distinct()
-    inside = labels.join(mains, "label").select("id", "label").unionByName(mains.select(F.col("label").alias("id"), "label")).distinct()
-    ids = out.select("id").unionByName(inside.select("id")).distinct()
+    return n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, id, n, label, sketch, short): of each set the shingles rarest among all these sets that _least_sizes asks for; short ones meet larger sets."""
+    rank = sets.sparkSession.sparkContext.broadcast(frequencies(sets))  # CELLS numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                sets = [shingle_hashes(x, n) for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "n", "set"])
+            rows, tokens, short = [], [], []
+            flat, at = _flat(batch.column("set"))
+            for i in range(batch.num_rows):
+                own = flat[at[i] : at[i + 1]]
+                long, few = _least_sizes(len(own), percent)
+                first = np.lexsort((own, rank.value[_cells(own)]))[:long]
+                rows.append(np.full(len(first), i)), tokens.append(own[first].view(np.int64)), short.append(np.arange(len(first)) < few)
+            if rows:
+                part = batch.select(["id", "n", "label", "sketch"]).take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *part.columns, pa.array(np.concatenate(short))], names=["token", "id", "n", "label", "sketch", "short"])
+
+    return sets.mapInArrow(run, "token long, id long, n long, label long, sketch array<long>, short boolean")
 
-    sets = written(_texts(docs, ids, key, text).mapInArrow(hashed, "id long, n long, set binary"), "sets")
 
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        rows = rows.join(sets, "id").where("n > 0")
-        number = rows.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("of"))
-        dealt = rows.join(number, "label").withColumn("block", F.pmod(F.xxhash64("id"), "of"))
-        return dealt.groupBy("label", "block").agg(F.collect_list("id").alias(f"ids_{name}"), F.collect_list("set").alias(f"sets_{name}")).drop("block")
+def _candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, la, lb, apart) of sets of different labels that share a prefix shingle and whose sizes and sketches allow it; a pair may come more than once.
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Shingles of more than MANY sets are dealt to a square of blocks, so a task meets bounded parts of them.
+    """
+    busy = written(rows.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > MANY).select("token", F.ceil(F.col("c") / MANY).cast("int").alias("of")), "busy")
+    busy = F.broadcast(busy) if busy.count() <= BROADCAST_IDS else busy
+    dealt = rows.join(busy, "token", "left").withColumn("of", F.coalesce("of", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("of") - 1))
+    x = dealt.where("short").withColumn("other", others).select("token", F.col("own").alias("i"), F.col("other").alias("j"), "id", "n", "label", "sketch")
+    y = dealt.withColumn("other", others).select("token", F.col("other").alias("i"), F.col("own").alias("j"), "id", "n", "label", "sketch")
+    x, y = x.toDF("token", "i", "j", *[f"{c}_x" for c in x.columns[3:]]), y.toDF("token", "i", "j", *[f"{c}_y" for c in y.columns[3:]])
+    met = x.join(y, ["token", "i", "j"]).where("(n_x < n_y or (n_x = n_y and id_x < id_y)) and label_x != label_y").where((F.col("n_x") * 100 >= F.col("n_y") * percent) & _near("sketch_x", "sketch_y"))
+    swap = F.col("label_x") > F.col("label_y")
+    of = lambda c: (F.when(swap, F.col(f"{c}_y")).otherwise(F.col(f"{c}_x")), F.when(swap, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y")))
+    return met.select(of("id")[0].alias("a"), of("id")[1].alias("b"), of("label")[0].alias("la"), of("label")[1].alias("lb"), _apart("sketch_x", "sketch_y").alias("apart"))
+
+
+def _rest_links(opened: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
+    """Links between different components of opened, by an exact prefix filter over their whole sets.
+
+    Of two components the pair with the nearest sketches is verified first, as one link joins them; only where it fails are
+    their other pairs.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for row in range(batch.num_rows):
-                ids_x, sets_x, ids_y, sets_y = (batch.column(c)[row].as_py() for c in ("ids_x", "sets_x", "ids_y", "sets_y"))
-                sets_y = [np.frombuffer(y, np.uint64) for y in sets_y]
-                flat, sizes = np.concatenate(sets_y), np.array([len(y) for y in sets_y])
-                starts = np.cumsum(sizes) - sizes
-                for i, x in zip(ids_x, sets_x, strict=True):
-                    x = np.frombuffer(x, np.uint64)
-                    at = np.searchsorted(x, flat)
-                    at[at == len(x)] = 0
-                    both = np.add.reduceat((x[at] == flat).astype(np.int64), starts)
-                    hit = np.flatnonzero(100 * both >= percent * (len(x) + sizes - both))
-                    if len(hit):
-                        found.append((i, ids_y[int(hit[0])]))
-            yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], names=["a", "b"])
-
-    met = blocks(out, "x").join(blocks(inside, "y"), "label").select("ids_x", "sets_x", "ids_y", "sets_y")
-    return met.mapInArrow(compared, "a long, b long").where("a != b")
+            for part in slices(batch, "text"):
+                sets = [shingle_hashes(x, n).tobytes() for x in part.column("text").to_pylist()]
+                # an id may have other texts, of other classes
+                mine = pa.array([xxhash.xxh3_128_digest(x) == d for x, d in zip(sets, part.column("digest").to_pylist(), strict=True)], pa.bool_())
+                yield part.select(["id", "n", "label", "sketch"]).append_column("set", pa.array(sets, pa.binary())).filter(mine)
+
+    own = _texts(docs, opened.join(reps.select("id", "n", "sketch", "digest"), "id"), key, text).select("id", "n", "label", "sketch", "digest", "text")
+    sets = written(own.mapInArrow(hashed, "id long, n long, label long, sketch array<long>, set binary"), "sets")
+    rows = written(_prefixes(sets, percent), "prefixes")
+    met = _candidates(rows, percent)
+    nearest = written(met.groupBy("la", "lb").agg(F.min(F.struct("apart", "a", "b")).alias("m")).select("la", "lb", "m.a", "m.b"), "nearest")
+    links = written(_confirmed(nearest.select("a", "b"), docs, n, percent, key, text), "links")
+    failed = written(nearest.join(links, ["a", "b"], "left_anti"), "failed")
+    if failed.isEmpty():
+        return links
+    rest = met.join(failed.select("la", "lb"), ["la", "lb"], "left_semi").select("a", "b").distinct().join(failed.select("a", "b"), ["a", "b"], "left_anti")
+    return links.unionByName(_confirmed(rest, docs, n, percent, key, text))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
     """The pairs whose whole texts' exact shingle sets are similar enough. Only texts in some pair are moved."""
     pairs = written(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    own = _texts(docs, ids, key, text)
+    own = written(_texts(docs, ids, key, text), "texts")
     # by a last, so that one task meets the pairs of a hub one after another
     pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs
     joined = own.toDF("b", "tb").join(pairs, "b").join(own.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
@@ -201,7 +244,7 @@ def _labelled(docs: DataFrame, n: int, percent: int, key: str, text: str) -> tup
     sig = written(signatures(docs, n, key, text), "signatures")
     live = sig.where("digest is not null and id is not null")
     classes = written(live.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    reps = written(live.join(classes, "digest").where("id = rep").select("id", F.col("n_shingles").alias("n"), "bands", "sketch"), "representatives")
+    reps = written(live.join(classes, "digest").where("id = rep").select("id", F.col("n_shingles").alias("n"), "bands", "sketch", "digest"), "representatives")
     # an id with several sets ties their classes together
     several = live.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x != y").select("id")
     links = reps.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
@@ -217,9 +260,7 @@ def _labelled(docs: DataFrame, n: int, percent: int, key: str, text: str) -> tup
     labels = written(connected_components(links), "labels")
     opened = written(_open(members, labels), "open")
     if not opened.isEmpty():
-        inner = written(_main_links(opened, labels, docs, n, percent, key, text), "pairs")
-        fresh = _outside_pairs(opened, reps, percent)
-        more = written(_confirmed(inner.unionByName(fresh), docs, n, percent, key, text), "links")
+        more = written(_rest_links(opened, reps, docs, n, percent, key, text), "links")
         if not more.isEmpty():
             labels = written(connected_components(links.unionByName(more)), "labels")
     return sig, live, classes, labels
@@ -230,8 +271,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
 
     Two documents are linked when 100 * intersection >= percent * union of their sets of n-word shingles (fewer words: the whole
     sequence; A-Z lowered). component_id is the least id that links lead to; kept marks that document. Equal sets
-    form one class, and only its least id goes on. First each member of a band's bucket meets the bucket's least id; next those
-    outside the bucket's largest component meet that component in blocks; last they meet one another. No member is dropped.
+    form one class, and only its least id goes on. First each member of a band's bucket meets the bucket's least id; next the
+    components of buckets that hold several meet by an exact prefix filter over their sets' rarest shingles. No member is dropped.
     Candidates pass the sketch, then exact sets. Null or wordless texts are empty and linked with nothing. Rows with a
     null id are linked with nothing: component_id null, kept true. Rows with one id are one document, with
     all their sets. Other columns are not looked at.
