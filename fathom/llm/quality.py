@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from operator import eq
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,20 +11,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathom.llm.common import free_name, keep_batches_small, slices
+from fathom.llm.common import free_name, slices, small_batches
 
-#: Buckets of hashed byte pairs, and pseudo-terms for how varied the pairs of a text are and how often a word follows itself.
-PAIRS, VARIETY, REPEATS = 2048, 16, 8
-TERMS = PAIRS + VARIETY + REPEATS
+#: Buckets of hashed byte pairs and of hashed words, and pseudo-terms for how varied the pairs of a text are and how often a word follows itself.
+PAIRS, WORDS, VARIETY, REPEATS = 2048, 2048, 16, 8
+TERMS = PAIRS + WORDS + VARIETY + REPEATS
 #: Latent dimensions, labelled rows that the model is fitted on at most, and neighbours that vote.
 DIMS, FIT_ROWS, NEIGHBOURS = 64, 4096, 15
-#: Bytes of text whose terms and cosine products are held at once; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+#: Scales of pseudo-terms that fitting chooses among, and labelled rows that it compares them on at most.
+SCALES, SCALE_ROWS = (0.0, 1.0, 2.0, 4.0, 8.0, 16.0), 1024
+#: Bytes of text whose terms and cosine products are held at once, and bytes of a long text whose terms are.
+BLOCK_BYTES, WINDOW = 1 << 20, 1 << 18
+_GOLDEN = 0x9E3779B97F4A7C15
+_POWERS = np.array([pow(0x100000001B3, i, 1 << 64) for i in range(1, 65)], np.uint64)
+_WORD_BYTE = np.ones(256, bool)
+_WORD_BYTE[[9, 10, 11, 12, 13, 32]] = False
 
 
-@dataclass
-class Model:
-    """What scoring needs, of fixed size: weights of terms, their latent projection, labelled vectors and labels."""
+class Model(NamedTuple):
+    """What scoring needs, of fixed size, as plain arrays: weights of terms, their latent projection, labelled vectors and labels."""
 
     idf: np.ndarray
     project: np.ndarray
@@ -33,31 +37,72 @@ class Model:
     labels: np.ndarray
 
 
+def raw_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each hashed byte pair and each hashed word by text, and (words, words that repeat the one before) by text. Texts are joined by spaces for it."""
+    n = len(texts)
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    ends = np.cumsum(np.fromiter((len(x) + 1 for x in texts), np.int64, n)) - 1  # the space after each text
+    counts, words = np.zeros((n, PAIRS + WORDS), np.float32), np.zeros((n, 2), np.int64)
+    if len(data) <= n:
+        return counts, words
+    width = PAIRS + WORDS
+    wide = data.astype(np.int32)
+    cells = (wide[:-1] * 263 + wide[1:]) * 40503 >> 4 & (PAIRS - 1)
+    inside = np.ones(len(cells), bool)
+    inside[ends[ends < len(cells)]] = inside[ends[ends > 0] - 1] = False
+    owner = np.repeat(np.arange(n), np.diff(ends, prepend=-1))
+    flat = [(cells + owner[:-1] * width)[inside]]
+    word = _WORD_BYTE[data]
+    starts = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
+    if len(starts):
+        begun = np.repeat(starts, np.diff(starts, append=len(data)))
+        place = np.arange(starts[0], len(data)) - begun
+        parts = np.where(word[starts[0] :], (data[starts[0] :].astype(np.uint64) + np.uint64(1)) * _POWERS[place & 63], np.uint64(0))
+        hashes = np.add.reduceat(parts, starts - starts[0])
+        own = owner[starts]
+        flat.append(PAIRS + (hashes * np.uint64(_GOLDEN) >> np.uint64(53)).astype(np.int64) + own * width)
+        words[:, 0] = np.bincount(own, minlength=n)
+        again = (hashes[1:] == hashes[:-1]) & (own[1:] == own[:-1])
+        words[:, 1] = np.bincount(own[1:][again], minlength=n)
+    return np.bincount(np.concatenate(flat), minlength=n * width).reshape(n, width).astype(np.float32), words
+
+
+def windows(text: bytes) -> Iterator[bytes]:
+    """Parts of a long text of WINDOW bytes at most, which overlap in one byte, white space if there is any."""
+    at = 0
+    while True:
+        part = text[at : at + WINDOW]
+        if at + WINDOW < len(text):
+            end = max(part.rfind(b" "), part.rfind(b"\n"), part.rfind(b"\t"))
+            part = part[: end + 1] if end > 0 else part
+        yield part
+        at += len(part)
+        if at >= len(text):
+            return
+        at -= 1
+
+
 def term_counts(texts: list[bytes]) -> np.ndarray:
-    """Rows of term weights: 1 + ln(count) of each hashed pair of neighbouring bytes, how varied those pairs are for the length, and the share of words that repeat the word before."""
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int32)
-    cells = np.zeros(0, np.int32)
-    if len(data) > 1:
-        cells = (data[:-1] * 263 + data[1:]) * 40503 >> 4 & (PAIRS - 1)
-        cells += np.repeat(np.arange(len(texts), dtype=np.int32) * PAIRS, lengths)[:-1]
-        inside = np.ones(len(cells), bool)
-        ends = np.cumsum(lengths) - 1  # a text's last byte begins no pair
-        inside[ends[(ends >= 0) & (ends < len(cells))]] = False
-        cells = cells[inside]
-    counts = np.bincount(cells, minlength=len(texts) * PAIRS).reshape(len(texts), PAIRS).astype(np.float32)
+    """Rows of terms: ln(1 + count) of each hashed pair of neighbouring bytes and of each hashed word; 1 at how varied those pairs are for the length, and at the share of words that repeat the word before.
+
+    A text over WINDOW bytes is counted window by window; a word longer than that is counted in parts.
+    """
+    counts, words = raw_counts([x if len(x) <= WINDOW else b"" for x in texts])
+    for i, x in enumerate(texts):
+        if len(x) > WINDOW:
+            for part in windows(x):
+                c, w = raw_counts([part])
+                counts[i] += c[0]
+                words[i] += w[0]
     out = np.zeros((len(texts), TERMS), np.float32)
-    np.log1p(counts, out=out[:, :PAIRS])
-    total, kinds = counts.sum(1), (counts > 0).sum(1)
-    # distinct pairs against the square root of the length: repetition and long junk lie low
+    np.log1p(counts, out=out[:, : PAIRS + WORDS])
+    total, kinds = counts[:, :PAIRS].sum(1), (counts[:, :PAIRS] > 0).sum(1)
+    # distinct pairs against the square root of the length
     level = np.clip((kinds / np.sqrt(np.maximum(total, 1)) * 1.5).astype(int), 0, VARIETY - 1)
     some = total > 0
-    out[np.flatnonzero(some), PAIRS + level[some]] = 4.0
-    for i, x in enumerate(texts):
-        words = x.split()
-        level = sum(map(eq, words, words[1:])) * REPEATS // max(1, len(words))
-        if level:  # a few repeats are no sign of anything
-            out[i, PAIRS + VARIETY + level] = 8.0
+    out[np.flatnonzero(some), PAIRS + WORDS + level[some]] = 1.0
+    share = words[:, 1] * REPEATS // np.maximum(1, words[:, 0])
+    out[np.flatnonzero(some), PAIRS + WORDS + VARIETY + share[some]] = 1.0
     return out
 
 
@@ -92,54 +137,103 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["term", "n"])
 
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    with small_batches(docs.sparkSession):
+        rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(TERMS + 1, np.int64)
     for term, n in rows:
         out[term] = n
     return int(out[TERMS]), out[:TERMS]
 
 
+def projection(weighted: np.ndarray, dims: int) -> np.ndarray:
+    """The leading right singular vectors, by subspace iteration from a fixed start."""
+    k = min(dims, *weighted.shape)
+    start = np.random.default_rng(13).normal(size=(weighted.shape[1], min(k + 16, *weighted.shape))).astype(np.float32)
+    q = np.linalg.qr(weighted @ start)[0]
+    for _ in range(4):
+        q = np.linalg.qr(weighted @ np.linalg.qr(weighted.T @ q)[0])[0]
+    return np.ascontiguousarray(np.linalg.svd(q.T @ weighted, full_matrices=False)[2][:k].T)
+
+
+def learned_scales(counts: np.ndarray, labels: np.ndarray, idf: np.ndarray, dims: int, neighbours: int = NEIGHBOURS) -> tuple[float, float]:
+    """Scales of the two kinds of pseudo-terms, one after the other: those with the least squared error when each labelled row is scored by the others."""
+    counts, labels = counts[:SCALE_ROWS], labels[:SCALE_ROWS]
+    best = [1.0, 1.0]
+    if len(labels) < 3 or labels.min() == labels.max():
+        return 1.0, 1.0
+
+    def error(scales: list[float]) -> float:
+        own = weights(idf, *scales)
+        weighted = unit(counts * own)
+        x = unit(weighted @ projection(weighted, dims))
+        products = x @ x.T
+        np.fill_diagonal(products, -1)
+        scores = vote_products(products, labels, neighbours)
+        side = labels >= 0.5
+        return float(((scores - labels)[side] ** 2).mean() + ((scores - labels)[~side] ** 2).mean())
+
+    for kind in (0, 1):
+        tried = {scale: error([*best[:kind], scale, *best[kind + 1 :]]) for scale in SCALES}
+        best[kind] = min(tried, key=lambda v: (round(tried[v], 6), v))
+    return best[0], best[1]
+
+
+def weights(idf: np.ndarray, variety: float, repeats: float) -> np.ndarray:
+    """Weights of all terms: idf of pairs and words; of the two kinds of pseudo-terms idf less 1, so that what all texts have is nothing, times the given scale."""
+    out = idf.copy()
+    for at, end, scale in ((PAIRS + WORDS, PAIRS + WORDS + VARIETY, variety), (PAIRS + WORDS + VARIETY, TERMS, repeats)):
+        out[at:end] = scale * (idf[at:end] - 1)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS, dims: int = DIMS) -> Model:
     """A model from document frequencies over all of docs and at most fit_rows labelled rows, taken by hash of the key.
 
     Rows that are held out (see held_out), without key or label, and texts under two bytes are passed over; of several labels of
-    a key the least holds. The sample comes to the driver as term vectors of fixed size.
+    a key the least holds. The sample comes to the driver as term vectors of fixed size, fit_rows at most also where keys repeat.
     """
-    keep_batches_small(docs.sparkSession)
     n, df = document_frequencies(docs, text)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
     own = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("k")).agg(F.min(label).cast("double").alias("label"))
     known = docs.where(F.octet_length(text) > 1).select(F.col(key).alias("k")).distinct()
     chosen = own.join(known, "k", "left_semi").orderBy(F.xxhash64(F.lit(5), "k"), "k").limit(fit_rows)
     # fit_rows keys at most are broadcast, so no text is shuffled
-    chosen = docs.where(F.octet_length(text) > 1).select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "k").select("text", "label")
+    chosen = docs.where(F.octet_length(text) > 1).select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "k").select(F.xxhash64(F.lit(5), "k").alias("h"), F.xxhash64("text").alias("t"), "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", BLOCK_BYTES):
                 counts = term_counts(as_bytes(part.column("text"))).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in counts], pa.binary()), part.column("label")], names=["counts", "label"])
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("t"), pa.array([c.tobytes() for c in counts], pa.binary()), part.column("label")], names=["h", "t", "counts", "label"])
 
-    rows = chosen.mapInArrow(run, "counts binary, label double").collect()
+    with small_batches(docs.sparkSession):
+        rows = chosen.mapInArrow(run, "h long, t long, counts binary, label double").orderBy("h", "t", "label").limit(fit_rows).collect()
     if not rows:
         return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32))
-    counts = np.frombuffer(b"".join(bytes(r[0]) for r in rows), np.float16).reshape(len(rows), TERMS).astype(np.float32)
-    weighted = unit(counts * idf)
-    _, vectors = np.linalg.eigh(weighted.T @ weighted)  # the right singular vectors, least first
-    project = np.ascontiguousarray(vectors[:, ::-1][:, : min(dims, len(rows))]).astype(np.float32)
-    return Model(idf, project, latent(counts, idf, project), np.array([r[1] for r in rows], np.float32))
+    counts = np.frombuffer(b"".join(bytes(r.counts) for r in rows), np.float16).reshape(len(rows), TERMS).astype(np.float32)
+    known = np.array([r.label for r in rows], np.float32)
+    idf = weights(idf, *learned_scales(counts, known, idf, dims))
+    project = projection(unit(counts * idf), dims)
+    return Model(idf, project, latent(counts, idf, project), known)
+
+
+def vote_products(products: np.ndarray, labels: np.ndarray, neighbours: int) -> np.ndarray:
+    """Scores from cosines to labelled rows: the nearest ones' labels, weighted by a power of the similarity. Cosines count to six digits; all that equal the last one's vote."""
+    products = np.round(products, 6)
+    k = min(neighbours, len(labels))
+    least = np.partition(products, products.shape[1] - k, axis=1)[:, products.shape[1] - k]
+    weight = np.where(products >= np.maximum(least, 0)[:, None], products, 0)
+    for _ in range(3):
+        weight *= weight
+    total = weight.sum(1, dtype=np.float64)
+    return np.divide((weight @ labels).astype(np.float64), total, out=np.zeros(len(products)), where=total > 0)
 
 
 def vote(x: np.ndarray, model: Model, neighbours: int) -> np.ndarray:
-    """Scores of latent vectors: labels of the nearest labelled vectors by exact cosine, weighted by a power of the similarity."""
+    """Scores of latent vectors by the labelled vectors nearest by exact cosine."""
     if not len(model.labels):
         return np.full(len(x), 0.5)
-    products = x @ model.vectors.T
-    k = min(neighbours, len(model.labels))
-    near = np.argpartition(-products, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(products, near, 1), 0).astype(np.float64) ** 8
-    total = weight.sum(1)
-    return np.divide((weight * model.labels[near]).sum(1), total, out=np.zeros(len(x)), where=total > 0)
+    return vote_products(x @ model.vectors.T, model.labels, neighbours)
 
 
 def score_quality(docs: DataFrame, model: Model, text: str = "text", score: str = "score", neighbours: int = NEIGHBOURS, keep: list[str] | None = None) -> DataFrame:
@@ -147,14 +241,15 @@ def score_quality(docs: DataFrame, model: Model, text: str = "text", score: str
 
     Only the text is looked at, whole. Null, empty and one-byte texts have no pair of bytes and so no neighbours: they score 0.
     With no labelled row at all every other text scores 0.5. Equal texts score alike. A taken name gets an underscore.
+    Run it under small_batches: whole Arrow batches are in a worker's memory.
     """
     src = docs.select(*(docs.columns if keep is None else keep), docs[text].alias(inner := free_name(docs, "text__")))
     score = free_name(src, score)
     schema = T.StructType([*src.drop(inner).schema.fields, T.StructField(score, T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FIT_ROWS * DIMS + TERMS * (DIMS + 1) numbers
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # plain arrays, which workers without this package can read: at most FIT_ROWS * DIMS + TERMS * (DIMS + 1) numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = Model(*shared.value)
         for batch in batches:
             for part in slices(batch, inner, BLOCK_BYTES):
                 texts = as_bytes(part.column(inner))
