@@ -5,54 +5,85 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathom.llm.common import free_name, utf8_bytes
+from fathom.llm.common import free_name, utf8_bytes, written
 
-#: Cells that rows are hashed to; neighbouring cells make up a bucket. Their counts are what the driver gathers, whatever the input.
-CELLS = 1 << 14
 #: Bytes that a bucket should hold, and so the memory that a shuffling task needs.
 BUCKET_BYTES = 16 << 20
+#: Buckets up to which their places are broadcast (20 bytes each), and buckets whose counts are summed as one number for the driver.
+BROADCAST_BUCKETS, RUN = 200_000, 8192
 
 
-def external_shuffle(df: DataFrame, n_shards: int, seed: int = 17, key: str = "doc_id", text: str = "text", cells: int = CELLS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _mixed(df: DataFrame, seed: int) -> Column:
+    """A seeded hash of all columns that can be hashed; nulls count as a value of their own."""
+    own = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType)]
+    quoted = [F.col(f"`{c}`") for c in own]
+    return F.xxhash64(F.lit(seed), *quoted, *[c.isNull() for c in quoted])
+
+
+def _spread_copies(rows: DataFrame, columns: list[str], mixed: str, size: str, most: int) -> DataFrame:
+    """rows, of which those that are equal in all columns and together over `most` bytes get a hash of their own each, by the copy's number.
+
+    Only hashes are counted for it; hot rows are then grouped, copies being summed before the shuffle, and dealt out again.
+    """
+    hot = written(rows.groupBy(mixed).agg(F.sum(size).alias("b"), F.count("*").alias("n")).where((F.col("b") > most) & (F.col("n") > 1)).select(mixed), "hot")
+    if hot.isEmpty():
+        return rows
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_BUCKETS else hot
+    copy = free_name(rows, "copy__")
+    names = [F.col(f"`{c}`") for c in columns]
+    counted = rows.join(hot, mixed, "left_semi").groupBy(*names, size, mixed).agg(F.count("*").alias(copy))
+    dealt = counted.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy)))).withColumn(mixed, F.xxhash64(mixed, copy)).drop(copy)
+    return rows.join(hot, mixed, "left_anti").select(dealt.columns).unionByName(dealt)
+
+
+def external_shuffle(df: DataFrame, n_shards: int, seed: int = 17, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """df with size (UTF-8 bytes of the text, 0 for null, plus 8), shard (0 to n_shards - 1) and slot (from 0, gapless in each shard).
 
-    First pass: seeded hashes of key and text scatter rows to cells, whose counts and bytes are summed; runs of cells
-    that fit into bucket_bytes become buckets. Second pass: each bucket is sorted by hash and Fisher-Yates shuffled with
+    First pass: seeded hashes of whole rows scatter them to as many buckets as their summed bytes fill at two thirds (a multiple of
+    the shuffle partitions, so that tasks hold equally many). Second pass: each bucket is sorted by hash and Fisher-Yates shuffled with
     a generator seeded by the bucket. Buckets follow one another in one global order; the row at place p goes to
-    shard p mod n_shards and slot p div n_shards, so counts differ by one at most. The result depends on rows, seed and
-    parameters only, not on partitions or retries. Null keys and texts hash like a value of their own. Rows with
-    equal key and text share a bucket, as they can't be told apart; equal texts under different keys spread. Taken names get
-    leading underscores. An empty table stays empty.
+    shard p mod n_shards and slot p div n_shards, so counts differ by one at most. The result depends on rows, seed, parameters
+    and the number of shuffle partitions only, not on how rows are dealt or retried. Null keys and texts hash like a value of their own. Equal texts spread by
+    their key; rows equal in all columns by their number, once their copies exceed an eighth of a bucket (rows with
+    map columns, which can't be grouped, excepted). Taken names get leading underscores. An empty table stays empty.
     """
-    spark, taken = df.sparkSession, df
-    size, shard, slot = (free_name(taken, c) for c in ("size", "shard", "slot"))
-    cell, base, mixed, bucket = (free_name(taken, c) for c in ("cell__", "base__", "mixed__", "bucket__"))
-    text_hash = F.xxhash64(F.lit(seed), F.col(text), F.col(text).isNull())
-    rows = df.withColumns({size: utf8_bytes(text) + 8, mixed: F.xxhash64(text_hash, F.col(key), F.col(key).isNull())}).withColumn(cell, F.pmod(F.col(mixed), F.lit(cells)).cast("int"))
-    # at most `cells` rows reach the driver and come back as a broadcast table
-    found = sorted(tuple(r) for r in rows.groupBy(cell).agg(F.count("*").alias("n"), F.sum(size).alias("b")).collect())
-    layout, at, number, start, held = [], 0, -1, 0, None
-    for c, n, b in found:
-        if held is None or held + b > bucket_bytes:
-            number, start, held = number + 1, at, 0
-        held += b
+    spark = df.sparkSession
+    size, shard, slot = (free_name(df, c) for c in ("size", "shard", "slot"))
+    base, mixed, bucket = (free_name(df, c) for c in ("base__", "mixed__", "bucket__"))
+    rows = df.withColumns({size: utf8_bytes(text) + 8, mixed: _mixed(df, seed)})
+    whole = rows.agg(F.sum(size)).first()[0] or 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = parts * max(1, -(-int(whole) * 3 // (2 * bucket_bytes * parts)))
+    if not any(isinstance(f.dataType, T.MapType | T.VariantType) for f in df.schema.fields):
+        rows = _spread_copies(rows, df.columns, mixed, size, bucket_bytes // 8)
+    rows = rows.withColumn(bucket, F.pmod(F.col(mixed), F.lit(buckets)).cast("int"))
+    # the first place of each bucket: sums of RUN buckets come to the driver, the rest is summed within a run
+    counts = written(rows.groupBy(bucket).agg(F.count("*").alias("n")), "counts")
+    run = F.floor(F.col(bucket) / RUN)
+    starts, at = [], 0
+    for r, n in sorted(tuple(x) for x in counts.groupBy(run.alias("r")).agg(F.sum("n").alias("n")).collect()):
+        starts.append((r, at))
         at += n
-        layout.append((c, number, start))
-    places = spark.createDataFrame(layout, f"{cell} int, {bucket} int, {base} long")
-    placed = rows.join(F.broadcast(places), cell).drop(cell)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("r").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.withColumn("r", run).withColumn("before", before).join(F.broadcast(spark.createDataFrame(starts, "r long, start long")), "r").select(bucket, (F.col("start") + F.col("before")).alias(base))
+    if buckets <= BROADCAST_BUCKETS:
+        # tasks get every parts-th bucket, so none gets more than another
+        placed = rows.join(F.broadcast(places), bucket).repartitionById(parts, F.col(bucket))
+    else:
+        placed = rows.join(places, bucket)
     schema = T.StructType([f for f in placed.schema.fields if f.name not in (mixed, base, bucket)] + [T.StructField(shard, T.IntegerType()), T.StructField(slot, T.LongType())])
 
     def shuffled(group: pa.Table) -> pa.Table:
-        order = pc.sort_indices(group, sort_keys=[(mixed, "ascending"), (size, "ascending")]).to_numpy().copy()
+        order = pc.sort_indices(group, sort_keys=[(mixed, "ascending"), (size, "ascending")]).to_pylist()
         rng = np.random.default_rng([seed, group.column(bucket)[0].as_py()])
-        for i in range(len(order) - 1, 0, -1):  # Fisher-Yates
-            j = int(rng.integers(0, i + 1))
+        draws = rng.integers(0, np.arange(len(order), 1, -1)).tolist()
+        for i, j in zip(range(len(order) - 1, 0, -1), draws, strict=True):  # Fisher-Yates
             order[i], order[j] = order[j], order[i]
-        group = group.take(pa.array(order))
+        group = group.take(pa.array(order, pa.int64()))
         place = group.column(base)[0].as_py() + np.arange(len(order))
         out = group.drop_columns([mixed, base, bucket])
         return out.append_column(shard, pa.array((place % n_shards).astype(np.int32))).append_column(slot, pa.array(place // n_shards))
@@ -61,6 +92,8 @@ def external_shuffle(df: DataFrame, n_shards: int, seed: int = 17, key: str = "d
 
 
 def write_shards(shuffled: DataFrame, path: str, shard: str = "shard", slot: str = "slot") -> None:
-    """Parquet folders shard=0, shard=1, ..., each in the order of its slots."""
-    n = shuffled.agg(F.max(shard)).first()[0]
-    shuffled.repartition(max(1, (n or 0) + 1), shard).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+    """Parquet folders shard=0, shard=1, ...: a file for each task and shard, its rows in the order of their slots. Nothing is shuffled for it.
+
+    An empty table writes no shard; null and repeated rows are rows like others.
+    """
+    shuffled.sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
