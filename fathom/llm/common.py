@@ -19,13 +19,12 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), a folder of this machine is set first."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under spark.checkpoint.dir. Where that is unset, a local session (tests) gets a folder of this machine; on a cluster that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-        if not root:
-            root = tempfile.mkdtemp(prefix="fathom-")
-            spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="fathom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/fathom-{uuid.uuid4().hex}"
 
@@ -49,11 +48,6 @@ def small_batches(spark: SparkSession, size: int = BATCH_BYTES):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def keep_batches_small(spark: SparkSession, size: int = BATCH_BYTES) -> None:
-    """From now on this session hands rows to Python in Arrow batches of about that many bytes: for operators whose job the caller starts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,6 +31,19 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check_vocabulary(spec: dict) -> None:
+    """ValueError where a vocabulary file asks for another split, normalisation or handling of special strings than is done here."""
+    before = spec.get("pre_tokenizer") or {}
+    parts = before.get("pretokenizers", [before])
+    split = [p["pattern"].get("Regex") for p in parts if p.get("type") == "Split"]
+    levels = [p for p in parts if p.get("type") == "ByteLevel"]
+    same = split == [SPLIT] or (not split and len(levels) == 1 and levels[0].get("use_regex", True))
+    if spec["model"].get("type", "BPE") != "BPE" or spec.get("normalizer") or not levels or not same or any(p.get("add_prefix_space") for p in levels):
+        raise ValueError("not a byte-level vocabulary with the split that prefix counts know")
+    if any(x.get(flag) for x in spec["added_tokens"] for flag in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("special strings that take in what stands around them are not known to prefix counts")
+
+
 class PrefixCounter:
     """Counts of tokens at every byte prefix of a word (a unit of the split), by dynamic programming.
 
@@ -46,6 +59,7 @@ class PrefixCounter:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_vocabulary(spec)
         # words are handled in the alphabet of the vocabulary, in which each byte is one character
         self.alphabet = {b: c for c, b in byte_alphabet().items()}
         # finds all tokens that end at each position of a word in one pass

@@ -47,12 +47,13 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "
     lines = spread_lines(docs, key, text, site)
     flagged = written(boilerplate(lines, min_sites), "boilerplate")
     gone = lines.join(flagged.withColumnRenamed("first", "kept"), ["h1", "h2"]).where("first != kept")
-    drops = gone.groupBy(F.col("first.k").alias("k__"), F.col("first.t").alias("t__")).agg(F.collect_set("first.pos").alias("drop__"))
+    k, t, drop, own_t = (free_name(docs, c) for c in ("k__", "t__", "drop__", "t_own__"))
+    drops = gone.groupBy(F.col("first.k").alias(k), F.col("first.t").alias(t)).agg(F.collect_set("first.pos").alias(drop))
     total, removed = free_name(docs, "n_lines"), free_name(docs, "n_removed")
-    own = docs.withColumn("t_own__", F.xxhash64(text))
-    joined = own.join(drops, own[key].eqNullSafe(drops["k__"]) & (own["t_own__"] == drops["t__"]), "left")
+    own = docs.withColumn(own_t, F.xxhash64(text))
+    joined = own.join(drops, own[key].eqNullSafe(drops[k]) & (own[own_t] == drops[t]), "left")
     split = F.split(F.col(text), "\n", -1)
-    left = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("drop__", i)), "\n")
+    left = F.array_join(F.filter(split, lambda _, i: ~F.array_contains(drop, i)), "\n")
     size = F.when(F.col(text).isNull(), 0).otherwise(F.size(split))
-    names = [F.when(F.col("drop__").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in docs.columns]
-    return joined.select(*names, size.cast("long").alias(total), F.coalesce(F.size("drop__"), F.lit(0)).cast("long").alias(removed))
+    names = [F.when(F.col(drop).isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in docs.columns]
+    return joined.select(*names, size.cast("long").alias(total), F.coalesce(F.size(drop), F.lit(0)).cast("long").alias(removed))

@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm.ann import ann_search
-from fathom.llm.common import table, utf8_bytes
+from fathom.llm.common import small_batches, table, utf8_bytes, written
 from fathom.llm.counts import count_tokens
 from fathom.llm.exact_search import exact_top_k
 from fathom.llm.licenses import corpus_weights, inherit, scan_texts
 from fathom.llm.lines import MIN_SITES, remove_boilerplate
 from fathom.llm.minhash import near_duplicates
-from fathom.llm.packing import pack, words
+from fathom.llm.packing import pack, same_words, token_lengths
 from fathom.llm.pieces import encode_pieces
 from fathom.llm.quality import fit, held_out, score_quality
 from fathom.llm.shards import external_shuffle
@@ -38,7 +38,8 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    scored = score_quality(docs, model, keep=["doc_id"])
+    with small_batches(spark):
+        scored = written(score_quality(docs, model, keep=["doc_id"]), "scores")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -74,8 +75,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return pack(docs, words("text"), F.xxhash64("text"))
+    """Bins of 2,048 tokens; texts that differ in case and white space alone are copies."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", same_words().alias("cluster"))
+    counted = token_lengths(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack(counted, F.col("n_tokens"), F.col("cluster"))
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_line_dedup, op3_shards, op4_quality, op5_ann, op6_minhash, op7_pieces, op8_licenses, op9_token_counts, op10_packing)}

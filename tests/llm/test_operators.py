@@ -14,13 +14,14 @@ from fathom.llm import common, components, lines, packing, pieces, quality
 from fathom.llm.ann import ann_search
 from fathom.llm.counts import PrefixCounter, count_tokens
 from fathom.llm.exact_search import exact_top_k, scan
-from fathom.llm.licenses import corpus_weights, inherit, scan_texts
+from fathom.llm.licenses import FILE, NOTICE, corpus_weights, full_texts, inherit, lines_of, notices, scan_texts, terms
 from fathom.llm.minhash import near_duplicates
 from fathom.llm.pieces import encode_pieces
 from fathom.llm.shards import external_shuffle, write_shards
 from fathom.llm.shingles import shingle_set
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BPE, SP = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "\n\n", "a", "  two  spaces ", "tab\tand\r\nlines", "<|endoftext|>", "x <|endoftext|> y", "don't 'l we'll", "é ü 日本 😀", "▁mark ▁▁", "a" * 3000, "\x00\x01", "1234 5678"]
 
@@ -174,6 +175,23 @@ def test_shards_are_even_and_gapless(spark, n):
     assert all(r._size == len((texts[r.doc_id] or "").encode()) + 8 for r in rows)
 
 
+def test_shards_of_one_row_many_times(spark):
+    """100,000 copies of a row are dealt to many buckets, none over its size by much."""
+    docs = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("the same text").alias("text")).unionByName(docs_of(spark, ["a", None]).select("doc_id", "text"))
+    out = external_shuffle(docs, 7, bucket_bytes=1 << 16)
+    counts = {r.shard: (r.n, r.lo, r.hi, r.d) for r in out.groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.count_distinct("slot").alias("d")).collect()}
+    assert sum(n for n, *_ in counts.values()) == 100_002 and all(lo == 0 and hi == n - 1 and d == n for n, lo, hi, d in counts.values())
+    assert max(n for n, *_ in counts.values()) - min(n for n, *_ in counts.values()) <= 1
+    parts = out.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert max(r["count"] for r in parts) < 40_000
+
+
+def test_shards_take_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "x", 5, {"a": 1}), (1, "x", 5, {"a": 1}), (None, None, None, None)], "doc_id long, text string, bucket__ int, slot map<string,int>")
+    out = external_shuffle(docs, 2)
+    assert out.columns == ["doc_id", "text", "bucket__", "slot", "size", "shard", "_slot"] and sorted((r.shard, r._slot) for r in out.collect()) == [(0, 0), (0, 1), (1, 0)]
+
+
 def test_shards_repeat_and_differ_by_seed(spark, tmp_path):
     docs = docs_of(spark, [f"t{i}" for i in range(300)])
     place = lambda df, seed: {r.doc_id: (r.shard, r.slot) for r in external_shuffle(df, 5, seed=seed, bucket_bytes=500).collect()}
@@ -209,12 +227,60 @@ def test_quality_vote_equals_brute_force():
     rng = np.random.default_rng(7)
     v, x = quality.unit(rng.normal(size=(50, 6))), quality.unit(rng.normal(size=(9, 6)))
     y = rng.integers(0, 2, 50).astype(float)
+    v[7] = v[3]  # both vote where the fifth place is theirs
     got = quality.vote(x, quality.Model(None, None, v, y), 5)
     for i in range(9):
         c = v @ x[i]
-        near = np.argsort(-c)[:5]
+        near = np.round(c, 6) >= np.sort(np.round(c, 6))[-5]
         w = np.maximum(c[near], 0) ** 8
-        assert got[i] == pytest.approx((w * y[near]).sum() / w.sum())
+        assert got[i] == pytest.approx((w * y[near]).sum() / w.sum(), abs=1e-4)
+
+
+def test_quality_bounds_the_sample_by_rows(spark):
+    """One key with very many rows brings no more than the sample's size to the driver."""
+    docs = spark.range(3000).select(F.lit(0).cast("long").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    model = quality.fit(docs, spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int"), fit_rows=50)
+    assert len(model.labels) == 50
+
+
+def test_quality_terms_of_long_texts(monkeypatch):
+    """Windows of a long text add up to its terms, and texts side by side don't mix."""
+    rng = random.Random(21)
+    texts = [words(rng, 900).encode(), b"", b"x", "日本語 テキスト ".encode() * 90, b"same same same word", b"\n\n"]
+    whole = np.concatenate([quality.term_counts([t]) for t in texts])
+    assert np.array_equal(quality.term_counts(texts), whole)
+    monkeypatch.setattr(quality, "WINDOW", 100)
+    assert np.array_equal(quality.term_counts(texts), whole)
+
+
+OFF_PATH = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[2]").config(map={{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2", "spark.checkpoint.dir": {folder!r}}}).getOrCreate()
+def seen(batches):
+    import importlib.util
+    for b in batches:
+        yield b.slice(0, 0) if importlib.util.find_spec("fathom") is None else b
+assert spark.range(3).mapInArrow(seen, "id long").count() == 0, "workers see the package"
+from fathom.llm import licenses, minhash, quality
+docs = spark.createDataFrame([(i, f"text number {{i}} with words", "a/b") for i in range(40)] + [(40, "Released under the MIT License.", "a/c")], "doc_id long, text string, path string")
+labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+assert quality.score_quality(docs, quality.fit(docs, labels)).count() == 41
+assert licenses.inherit(licenses.scan_texts(docs, licenses.corpus_weights(docs), keep=["doc_id", "path"])).where("notice = 'MIT'").count() == 1
+assert minhash.near_duplicates(docs).count() == 41
+"""
+
+
+def test_workers_need_no_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", OFF_PATH.format(root=root, folder=str(tmp_path / "shared"))], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
 
 
 # 6
@@ -263,6 +329,38 @@ def test_near_duplicates_equal_brute_force(spark, seed, n):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows.values())
 
 
+def test_near_duplicates_of_a_template(spark):
+    """Texts that share seven tenths meet nowhere; those that share more are linked across components."""
+    rng = random.Random(22)
+    base = [f"b{i}" for i in range(165)]
+    texts = [" ".join(base + [f"u{k}x{i}" for i in range(35)]) for k in range(150)]
+    for k in range(0, 40, 4):  # chains: each is near the one before, and less so to the first
+        own = texts[k].split()
+        for step in range(3):
+            own = [f"c{k}s{step}n{rng.randrange(10**6)}" if rng.random() < 0.07 else w for w in own]
+            texts.append(" ".join(own))
+    want, _ = components_by_hand(texts, 1)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs_of(spark, texts), n=1).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) > 130
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_prefix_filter_alone_finds_all_pairs(spark, seed, monkeypatch):
+    """Every similar pair of sets meets, also where shingles are dealt to blocks."""
+    from fathom.llm import minhash
+
+    monkeypatch.setattr(minhash, "MANY", 5)
+    texts = [t for t in near_texts(seed) if t and t.split()]
+    docs = docs_of(spark, texts)
+    reps = minhash.signatures(docs, 2, "doc_id", "text").select("id", F.col("n_shingles").alias("n"), "sketch", "digest")
+    first = reps.groupBy("digest").agg(F.min("id").alias("id")).join(reps.drop("digest"), "id")
+    opened = first.select("id", F.col("id").alias("label"))
+    links = {(r.a, r.b) for r in minhash._rest_links(opened, first, docs, 2, 80, "doc_id", "text").collect()}
+    sets = {r.id: shingle_set(texts[r.id], 2) for r in first.collect()}
+    want = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert {(min(p), max(p)) for p in links} == want
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(None, "a b c d", "x"), (3, "a b c d", "x"), (3, "a b c d", "x"), (2, "a b c d", "x"), (7, "p q r s", "x"), (7, "a b c d", "x"), (9, "p q r s", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
@@ -376,6 +474,51 @@ def test_wrapped_license_headers(spark):
     assert all(r.notice is None for i, r in got.items() if i >= len(long))
 
 
+def best_by_hand(text, n, df, templates, run_of=None):
+    """Greatest cosine over all lines and runs of lines (or of the whole text if run_of is None) to the templates."""
+    vocabulary = {t for _, x in templates for t in terms(x)}
+    weight = lambda t: (np.log((1 + n) / (1 + df.get(t, 0))) if t in vocabulary else np.log(1 + n)) + 1
+    lines = lines_of(text)
+    if run_of is None:
+        passages = [(0, [t for line in lines for t in line])]
+    else:
+        passages = [(i, [t for line in lines[i : j + 1] for t in line]) for i in range(len(lines)) for j in range(i, len(lines)) if i == j or sum(map(len, lines[i : j + 1])) <= run_of]
+    out = (0.0, None)
+    for _, own in passages:
+        x = {t: c * weight(t) for t, c in Counter(own).items()}
+        for name, template in templates:
+            y = {t: c * weight(t) for t, c in Counter(terms(template)).items()}
+            both = sum(x[t] * y[t] for t in x.keys() & y.keys())
+            if both:
+                c = both / np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+                if c > out[0] + 1e-9:
+                    out = (c, name)
+    return out
+
+
+def test_license_cosines_equal_brute_force(spark):
+    rng = random.Random(23)
+    pool = [t for _, x in notices() for t in x.split()] + [f"w{i}" for i in range(200)]
+    texts = ["\n".join(" ".join(rng.choice(pool) for _ in range(rng.randrange(0, 9))) for _ in range(rng.randrange(1, 7))) for _ in range(60)]
+    texts += [f"// {words(rng, 3)}\n{x[: len(x) // 2]}\n# {x[len(x) // 2 :]}\n{words(rng, 20)}" for _, x in notices()] + [None, ""]
+    texts += [x for _, x in full_texts()[:4]] + [full_texts()[0][1][:9000], full_texts()[-1][1]]
+    docs = docs_of(spark, texts)
+    df, n = Counter(), sum(bool(t) for t in texts)
+    for t in texts:
+        df.update(set(terms(t or "")))
+    longest = 2 * max(len(terms(x)) for _, x in notices())
+    got = {r.doc_id: r for r in scan_texts(docs, corpus_weights(docs), keep=["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        if len(t or "") < 2000:
+            top, name = best_by_hand(t, n, df, notices(), longest)
+            assert got[i].notice == (name if top >= NOTICE else None), (t, got[i], top, name)
+            assert top < NOTICE or got[i].cosine == pytest.approx(top, abs=1e-8)
+        top, name = best_by_hand(t, n, df, notices() + full_texts())
+        assert got[i].file_license == (name if top >= FILE else None)
+    assert [got[i].file_license for i in range(len(texts) - 6, len(texts))] == [*[k for k, _ in full_texts()[:4]], "Apache-2.0", "AGPL-3.0"]
+    assert len({k for k, _ in notices()}) >= 20
+
+
 # 10
 
 
@@ -401,7 +544,7 @@ def test_packing_equals_brute_force(spark):
     texts = [words(rng, rng.randrange(0, 120)) for _ in range(150)] + ["same words here"] * 5
     sources = [None if rng.random() < 0.2 else f"s{rng.randrange(9)}" for _ in texts]
     docs = docs_of(spark, texts, sources)
-    rows = packing.pack(docs, packing.words(), F.xxhash64("text"), capacity=50, group=10_000).collect()
+    rows = packing.pack(docs, F.regexp_count("text", F.lit(r"\S+")), F.xxhash64("text"), capacity=50, group=10_000).collect()
     cluster = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("text").alias("h")).collect()}
     parts = [(min(50, len(t.split()) - k), i, k // 50, sources[i], cluster[i]) for i, t in enumerate(texts) for k in range(0, len(t.split()), 50)]
     assert sorted((r.doc_id, r.piece, r.bin, r.start) for r in rows if r.bin is not None) == packed_by_hand(parts, 50)
@@ -410,14 +553,27 @@ def test_packing_equals_brute_force(spark):
 
 def test_packing_groups_keep_everything(spark):
     docs = docs_of(spark, [f"a b c {i}" for i in range(500)] + [None], [f"s{i % 5}" for i in range(501)])
-    rows = packing.pack(docs, packing.words(), F.xxhash64("text"), capacity=20, group=50).collect()
+    rows = packing.pack(docs, F.regexp_count("text", F.lit(r"\S+")), F.xxhash64("text"), capacity=20, group=50).collect()
     assert sum(r.length for r in rows) == 2000 and len({r.doc_id for r in rows}) == 501
     used = Counter()
     for r in rows:
         if r.bin is not None:
             used[r.bin] += r.length
     assert max(used.values()) <= 20
-    assert packing.pack(docs.limit(0), packing.words(), F.xxhash64("text")).count() == 0
+    assert packing.pack(docs.limit(0), F.regexp_count("text", F.lit(r"\S+")), F.xxhash64("text")).count() == 0
+
+
+def test_token_lengths_equal_counts(spark):
+    texts = [t for t in ODD + random_texts(24) if "<|endoftext|>" not in (t or "")]
+    docs = docs_of(spark, texts).withColumn("n_tokens", F.lit(1))
+    counter = PrefixCounter(BPE)
+    got = {r.doc_id: r._n_tokens for r in packing.token_lengths(docs, RANKS).collect()}
+    assert [got[i] for i in range(len(texts))] == [int(counter.table(t)[1][-1]) if t else 0 for t in texts]
+
+
+def test_counts_refuse_other_vocabularies():
+    with pytest.raises(ValueError, match="vocabulary"):
+        PrefixCounter(public_tokenizers.path("word_bpe_49k.json"))
 
 
 # queries and pipeline
@@ -464,3 +620,26 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in seen[2].collect()} == set(range(60))
     assert {r.doc_id for r in seen[3].collect()} == set(range(60))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[3].count()
+    # each stage's rows against a plain version, on its own input
+    accepted = sorted(seen[0].collect(), key=lambda r: r.doc_id)
+    plain = lines_by_hand([r.text for r in accepted], [r.source for r in accepted], 10)
+    cleaned = sorted(seen[1].collect(), key=lambda r: r.doc_id)
+    assert [(r.doc_id, r.text, r.n_chars) for r in cleaned] == [(r.doc_id, t, len(t)) for r, t in zip(accepted, plain, strict=True) if t.strip() or r.text == t]
+    labels, _ = components_by_hand([r.text for r in cleaned], 5)
+    kept = sorted(seen[2].collect(), key=lambda r: r.doc_id)
+    assert [r.doc_id for r in kept] == [r.doc_id for i, r in enumerate(cleaned) if labels[i] == i]
+    counter = PrefixCounter(BPE)
+    parts = []
+    for r in kept:
+        n = int(counter.table(r.text)[1][-1])
+        parts += [(min(2048, n - at), r.doc_id, at // 2048, r.source, r.text) for at in range(0, n, 2048)]
+    packed = [(r.doc_id, r.piece, r.bin, r.start) for r in seen[3].collect()]
+    assert sorted(packed) == packed_by_hand(parts, 2048)
+
+
+def test_line_stage_takes_names_from_the_operator(spark):
+    import corpus_pipeline
+
+    docs = docs_of(spark, [f"own {i}\nshared" for i in range(12)] + ["alone"], [f"s{i}" for i in range(13)]).withColumn("n_removed", F.lit(9)).withColumn("n_chars", F.lit(4).cast("long"))
+    got = {r.doc_id: (r.text, r.n_chars, r.n_removed) for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    assert got[0] == ("own 0\nshared", 4, 9) and got[1] == ("own 1", 5, 9) and got[12] == ("alone", 4, 9)
