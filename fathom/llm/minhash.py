@@ -140,48 +140,48 @@ def frequencies(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def _least_sizes(n: int, percent: int) -> tuple[int, int]:
-    """Shingles, in a global order, among which a set of n meets each similar set that is not larger, and each that is not smaller.
-
-    Similar sets x and y have 100 * both >= percent * (|x| + |y| - both). With |y| >= |x| so at least 2p/(100+p) of x and p/100 of
-    y are in both, and of what is in both, the first in the order is within the rest and one of either.
-    """
-    return n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+def _prefix(n: int, percent: int) -> int:
+    """Shingles of a set of n, first in a global order, among which it meets each similar set: at least percent of it are in both, and of those one is within the rest and one."""
+    return n - -(-percent * n // 100) + 1
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, id, n, label, sketch, short): of each set the shingles rarest among all these sets that _least_sizes asks for; short ones meet larger sets."""
+    """(token, id, n, label, sketch, place): of each set the shingles rarest among all these sets that _least_sizes asks for, with their place in that order."""
     rank = sets.sparkSession.sparkContext.broadcast(frequencies(sets))  # CELLS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, tokens, short = [], [], []
+            rows, tokens, places = [], [], []
             flat, at = _flat(batch.column("set"))
             for i in range(batch.num_rows):
                 own = flat[at[i] : at[i + 1]]
-                long, few = _least_sizes(len(own), percent)
-                first = np.lexsort((own, rank.value[_cells(own)]))[:long]
-                rows.append(np.full(len(first), i)), tokens.append(own[first].view(np.int64)), short.append(np.arange(len(first)) < few)
+                first = np.lexsort((own, rank.value[_cells(own)]))[: _prefix(len(own), percent)]
+                rows.append(np.full(len(first), i)), tokens.append(own[first].view(np.int64)), places.append(np.arange(len(first)))
             if rows:
                 part = batch.select(["id", "n", "label", "sketch"]).take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *part.columns, pa.array(np.concatenate(short))], names=["token", "id", "n", "label", "sketch", "short"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *part.columns, pa.array(np.concatenate(places))], names=["token", "id", "n", "label", "sketch", "place"])
 
-    return sets.mapInArrow(run, "token long, id long, n long, label long, sketch array<long>, short boolean")
+    return sets.mapInArrow(run, "token long, id long, n long, label long, sketch array<long>, place long")
 
 
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, la, lb, apart) of sets of different labels that share a prefix shingle and whose sizes and sketches allow it; a pair may come more than once.
+    """(a, b, la, lb, apart) of sets of different labels that share a prefix shingle and whose sizes, places and sketches allow it; a pair may come more than once.
 
+    Similar sets have 100 * both >= percent * (|x| + |y| - both). All they share comes at or after the first shared shingle, so there
+    must be that many from its place on in either; a set with more shingles of its own before it is passed over.
     Shingles of more than MANY sets are dealt to a square of blocks, so a task meets bounded parts of them.
     """
     busy = written(rows.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > MANY).select("token", F.ceil(F.col("c") / MANY).cast("int").alias("of")), "busy")
     busy = F.broadcast(busy) if busy.count() <= BROADCAST_IDS else busy
     dealt = rows.join(busy, "token", "left").withColumn("of", F.coalesce("of", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("of") - 1))
-    x = dealt.where("short").withColumn("other", others).select("token", F.col("own").alias("i"), F.col("other").alias("j"), "id", "n", "label", "sketch")
-    y = dealt.withColumn("other", others).select("token", F.col("other").alias("i"), F.col("own").alias("j"), "id", "n", "label", "sketch")
+    # of the smaller set the place must leave 2p/(100+p) of it
+    first = F.expr(f"(n - place) * {100 + percent} >= n * {2 * percent}")
+    x = dealt.where(first).withColumn("other", others).select("token", F.col("own").alias("i"), F.col("other").alias("j"), "id", "n", "label", "sketch", "place")
+    y = dealt.withColumn("other", others).select("token", F.col("other").alias("i"), F.col("own").alias("j"), "id", "n", "label", "sketch", "place")
     x, y = x.toDF("token", "i", "j", *[f"{c}_x" for c in x.columns[3:]]), y.toDF("token", "i", "j", *[f"{c}_y" for c in y.columns[3:]])
-    met = x.join(y, ["token", "i", "j"]).where("(n_x < n_y or (n_x = n_y and id_x < id_y)) and label_x != label_y").where((F.col("n_x") * 100 >= F.col("n_y") * percent) & _near("sketch_x", "sketch_y"))
+    left = F.expr(f"least(n_x - place_x, n_y - place_y) * {100 + percent} >= (n_x + n_y) * {percent}")
+    met = x.join(y, ["token", "i", "j"]).where("(n_x < n_y or (n_x = n_y and id_x < id_y)) and label_x != label_y").where((F.col("n_x") * 100 >= F.col("n_y") * percent) & left & _near("sketch_x", "sketch_y"))
     swap = F.col("label_x") > F.col("label_y")
     of = lambda c: (F.when(swap, F.col(f"{c}_y")).otherwise(F.col(f"{c}_x")), F.when(swap, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y")))
     return met.select(of("id")[0].alias("a"), of("id")[1].alias("b"), of("label")[0].alias("la"), of("label")[1].alias("lb"), _apart("sketch_x", "sketch_y").alias("apart"))
