@@ -104,8 +104,10 @@ def token_lengths(docs: DataFrame, ranks_path: str, text: str = "text", keep: li
 
 
 def same_words(text: str = "text") -> Column:
-    """A cluster of texts that are equal but for case and white space; null where there are no words."""
-    own = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    """A cluster of texts that are equal but for case and white space; null where there is nothing else."""
+    own = F.lower(F.col(text))
+    for c in " \n\r\t":
+        own = F.replace(own, F.lit(c), F.lit(""))
     return F.when(own != "", F.xxhash64(own))
 
 
