@@ -89,3 +89,9 @@ def forgetting(hours: Column, accesses: Column, importance: Column) -> Column:
 
 def consolidation(importance: Column, kept: Column, access_rate: Column) -> Column:
     return 0.4 * importance + 0.3 * (1 - kept) + 0.3 * F.least(access_rate, F.lit(1.0))
+
+
+def anchored(scores: Column, how: str = "average") -> Column:
+    """Nearness to several anchors as one score: min (near to all), max (near to any) or average."""
+    mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores)
+    return {"min": F.array_min(scores), "max": F.array_max(scores), "average": mean}[how]

@@ -130,3 +130,44 @@ def divergence(scores: DataFrame, low: dict[str, float]) -> DataFrame:
     """(id, space, score, severity) of scores under the space's low threshold, from (id, space, score); spaces without one never diverge."""
     limit = F.coalesce(*[F.when(F.col("space") == s, F.lit(t)) for s, t in low.items()])
     return scores.where(F.col("score") < limit).select("id", "space", "score", severity(F.col("score")).alias("severity"))
+
+
+def topic_profiles(topics: DataFrame, memberships: DataFrame) -> DataFrame:
+    """(topic, space, strength) from (id, topic) and (id, space, cluster): the share of a topic's members in its greatest cluster of the space; 0 if it has one cluster there and over two members."""
+    live = memberships.where("cluster >= 0").join(topics, "id")
+    n = live.groupBy("topic", "space", "cluster").agg(F.count("*").alias("n"))
+    members = topics.groupBy("topic").agg(F.count("*").alias("members"))
+    each = n.groupBy("topic", "space").agg(F.max("n").alias("n"), F.count("*").alias("k")).join(members, "topic")
+    return each.select("topic", "space", F.when((F.col("k") == 1) & (F.col("members") > 2), 0.0).otherwise(F.col("n") / F.col("members")).alias("strength"))
+
+
+def merged_topics(profiles: DataFrame, sizes: DataFrame, least: float = 0.9) -> DataFrame:
+    """(topic, into): topics by falling size, each taken in by the first larger one whose profile (topic, space, strength) has a cosine of `least` or more; kept ones map to themselves.
+
+    Each step depends on the ones before, so one task goes over the profiles: thirteen numbers a topic, and topics have two members or more.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spaces = [s for s in CATEGORY]
+    wide = profiles.groupBy("topic").agg(*[F.coalesce(F.max(F.when(F.col("space") == s, F.col("strength"))), F.lit(0.0)).alias(s) for s in spaces]).join(sizes, "topic")
+
+    def merged(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["n", "topic"], ascending=[False, True])
+        x = own[spaces].to_numpy()
+        norm = np.sqrt((x * x).sum(1))
+        unit = np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0)
+        kept: list[int] = []
+        into = []
+        for i in range(len(x)):
+            near = unit[kept] @ unit[i] if kept else np.zeros(0)
+            hit = np.flatnonzero(near >= least - 1e-12)
+            if len(hit):
+                into.append(kept[int(hit[0])])
+            else:
+                kept.append(i)
+                into.append(i)
+        names = own["topic"].to_numpy()
+        return pd.DataFrame({"topic": names, "into": names[into]})
+
+    return wide.groupBy(F.lit(0).alias("one")).applyInPandas(merged, "topic long, into long")

@@ -87,3 +87,29 @@ def lineage(parents: DataFrame, start: int, depth: int) -> DataFrame:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def last_state(events: DataFrame, key: str, status: str, order: list[str]) -> DataFrame:
+    """The status and order columns of each key's last row."""
+    return events.groupBy(key).agg(F.max_by(F.struct(status, *order), F.struct(*order)).alias("r")).select(key, "r.*")
+
+
+def units_by_prefix(units: DataFrame, name: str, prefixes: list[str]) -> DataFrame:
+    """Code units whose name begins with one of the prefixes; the filter reaches the scan."""
+    keep = F.lit(False)
+    for p in prefixes:
+        keep = keep | F.col(name).startswith(p)
+    return units.where(keep)
+
+
+def unit_fingerprint(name: Column, signature: Column) -> Column:
+    return F.sha2(F.concat(F.lower(name), F.lit("|"), signature), 256)
+
+
+def within_intervals(spans: DataFrame, points: DataFrame, by: list[str], low: str, high: str, at: str, hours: float) -> DataFrame:
+    """Points within [low, high) of spans of one group, spans being `hours` long at most. Both meet in buckets of that width, a span in those it touches, so no group meets as a whole."""
+    width = hours * 3600 * 1e6
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / width)
+    x = spans.withColumn("bucket", F.explode(F.sequence(bucket(low), bucket(high))))
+    y = points.withColumn("bucket", bucket(at))
+    return x.join(y, [*by, "bucket"]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("bucket")

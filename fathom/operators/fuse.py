@@ -127,3 +127,11 @@ def space_correlation(ranked: DataFrame, spaces: list[str]) -> DataFrame:
     row = wide(ranked, spaces).agg(*[F.corr(a, b).alias(f"{a}_{b}") for a, b in pairs])
     entries = F.array(*[F.struct(F.lit(a).alias("space_a"), F.lit(b).alias("space_b"), F.col(f"{a}_{b}").alias("r")) for a, b in pairs])
     return row.select(F.inline(entries))
+
+
+def multi_utl(semantic: Column, coherence: Column, phi: float = 0.0, lambda_s: float = 1.0, lambda_c: float = 1.0, w_e: float = 1.0, tau: list[float] | None = None) -> Column:
+    """Sigmoid of 2 * weighted semantic changes * weighted coherence changes * w_e * cos(phi); weights are even unless tau is given."""
+    import math
+
+    t = F.lit(tau or [1 / 13] * 13).cast("array<double>")
+    return dense.sigmoid(2 * lambda_s * dense.dot(semantic, t) * lambda_c * dense.dot(coherence, t) * w_e * math.cos(phi))

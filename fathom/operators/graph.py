@@ -152,3 +152,124 @@ def directed(score: Column, source_kind: Column, target_kind: Column) -> Column:
     """cause to effect 1.2, effect to cause 0.8, else 1; within 0..1."""
     factor = F.when((source_kind == "cause") & (target_kind == "effect"), 1.2).when((source_kind == "effect") & (target_kind == "cause"), 0.8).otherwise(1.0)
     return dense.clamp(score * factor)
+
+
+# Typed edges from plain scores, steering, contexts
+
+#: Which space names the edge where fewer than three agree, the first that does (fixed values).
+FIRST_AGREEING = (("E7", "code_related"), ("E11", "entity_shared"), ("E5", "causal_chain"), ("E8", "graph_connected"), ("E10", "paraphrase_aligned"), ("E6", "keyword_overlap"), ("E13", "keyword_overlap"))
+
+
+def edges_by_count(pairs: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """(a, b, agreeing, edge_type, weight) from (space, a, b, score): three spaces that agree make multi_agreement with their mean, else the first of the list names the edge and weighs it. Temporal spaces don't count."""
+    limit = F.coalesce(*[F.when(F.col("space") == s, F.lit(t)) for s, t in thresholds.items()])
+    near = pairs.where(~F.col("space").isin("E2", "E3", "E4") & (F.col("score") >= limit))
+    each = near.groupBy("a", "b").agg(F.count_distinct("space").alias("agreeing"), F.avg("score").alias("mean"), *[F.max(F.when(F.col("space") == s, F.col("score"))).alias(s) for s in SPACES])
+    many = F.col("agreeing") >= 3
+    kind = F.when(many, "multi_agreement")
+    weight = F.when(many, F.col("mean"))
+    for s, name in FIRST_AGREEING:
+        kind, weight = kind.when(F.col(s).isNotNull(), name), weight.when(F.col(s).isNotNull(), dense.clamp(F.col(s)))
+    return each.select("a", "b", "agreeing", kind.otherwise("semantic_similar").alias("edge_type"), weight.otherwise(dense.clamp(F.coalesce("E1", F.lit(0.0)))).alias("weight"))
+
+
+def steered(old: Column, reward: Column) -> Column:
+    """A steering reward added up, within -1..1."""
+    return dense.clamp(old + reward, -1.0, 1.0)
+
+
+def overlap(a: Column, b: Column, same_domain: Column | None = None, same_mechanism: Column | None = None) -> Column:
+    """How much two contexts' sets share: 0.7 of the mean of Jaccard and containment in the smaller, 0.15 for one domain and for one mechanism if that mean is over 0.1. Both empty 0.5, one empty 0.1."""
+    both, union, least = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)), F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
+    mean = 0.5 * both / union + 0.5 * both / least
+    bonus = lambda c: F.lit(0.0) if c is None else F.when((mean > 0.1) & c, 0.15).otherwise(0.0)
+    value = dense.clamp(0.7 * mean + bonus(same_domain) + bonus(same_mechanism))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 0.5).when((F.size(a) == 0) | (F.size(b) == 0), 0.1).otherwise(value)
+
+
+def by_connectivity(score: Column, shared: Column, weight: float, seeks_source: Column, is_source: Column) -> Column:
+    """A score blended with a context's overlap; what a question for sources finds as a source counts 1.2 times."""
+    return (score * (1 - weight) + shared * weight) * F.when(seeks_source & is_source, 1.2).otherwise(1.0)
+
+
+# Cause and effect, hierarchies, depth first
+
+
+def effects(edges: DataFrame, node: int) -> DataFrame:
+    return edges.where(F.col("a") == node).select(F.col("b").alias("id"), "weight")
+
+
+def causes(edges: DataFrame, node: int) -> DataFrame:
+    return edges.where(F.col("b") == node).select(F.col("a").alias("id"), "weight")
+
+
+def ancestors(up: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """(start, id, depth): what each start reaches over up (child, parent), itself at 0; each at its least depth. Only the frontier is joined."""
+    seen = written(starts.select("start", F.col("start").alias("id"), F.lit(0).alias("depth")).distinct(), "seen")
+    front = seen
+    for depth in range(1, hops + 1):
+        step = front.join(up, F.col("id") == F.col("child")).select("start", F.col("parent").alias("id")).distinct()
+        front = written(step.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(depth)), "front")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
+def common_ancestors(pairs: DataFrame, up: DataFrame, levels: DataFrame, hops: int) -> DataFrame:
+    """(a, b, id, depth_a, depth_b): the deepest common ancestor of each pair by levels (id, level), the least id of equals."""
+    starts = pairs.select(F.col("a").alias("start")).unionByName(pairs.select(F.col("b").alias("start"))).distinct()
+    above = written(ancestors(up, starts, hops), "above")
+    x, y = above.toDF("a", "id", "depth_a"), above.toDF("b", "id", "depth_b")
+    met = pairs.select("a", "b").join(x, "a").join(y, ["b", "id"]).join(levels, "id")
+    best = met.groupBy("a", "b").agg(F.max(F.struct("level", -F.col("id"), "depth_a", "depth_b")).alias("m"))
+    return best.select("a", "b", (-F.col("m.col2")).alias("id"), F.col("m.depth_a").alias("depth_a"), F.col("m.depth_b").alias("depth_b"))
+
+
+def entailed(edges: DataFrame, nodes: DataFrame, start: int, aperture: float, hops: int, down: bool = True, least: float = 0.0) -> DataFrame:
+    """(id, depth, membership): nodes (id, point) within hops of start that its cone holds (or whose cones hold it) with a membership of `least` or more."""
+    row = nodes.where(F.col("id") == start).select(F.col("point").cast("array<double>")).first()
+    if row is None:
+        raise LookupError("no such node")
+    q = F.lit([float(x) for x in row[0]]).cast("array<double>")
+    reached = bfs(edges, edges.sparkSession.createDataFrame([(start,)], "id long"), hops).where(F.col("id") != start)
+    angle = dense.cone_angle(q, "point") if down else dense.cone_angle("point", q)
+    return reached.join(nodes, "id").select("id", "depth", dense.cone_membership(angle, aperture).alias("membership")).where(F.col("membership") >= least)
+
+
+def depth_first(edges: DataFrame, start: int, hops: int, most: int = 10_000) -> DataFrame:
+    """(place, id, depth): nodes in the order of a depth-first walk over (a, b), neighbours by id, within hops of start, `most` at most.
+
+    The order is sequential by nature: the reachable part is found in parallel, and one task walks it. A part of more than 20 * most edges
+    raises an error, as no bounded task could hold it.
+    """
+    spark = edges.sparkSession
+    near = written(bfs(edges, spark.createDataFrame([(start,)], "id long"), hops).select(F.col("id").alias("a")), "near")
+    part = written(edges.join(near, "a").select("a", "b").distinct(), "part")
+    if part.count() > 20 * most:
+        raise ValueError("too many edges within reach for one walk; take fewer hops or more nodes")
+
+    def walk(own):
+        import pandas as pd
+
+        after: dict[int, list[int]] = {}
+        for a, b in sorted(zip(own["a"].tolist(), own["b"].tolist(), strict=True)):
+            after.setdefault(a, []).append(b)
+        order, seen, stack = [], set(), [(start, 0)]
+        while stack and len(order) < most:
+            at, depth = stack.pop()
+            if at in seen:
+                continue
+            seen.add(at)
+            order.append((len(order), at, depth))
+            if depth < hops:
+                stack += [(b, depth + 1) for b in reversed(after.get(at, ())) if b not in seen]
+        return pd.DataFrame(order, columns=["place", "id", "depth"])
+
+    lone = spark.createDataFrame([(start, start)], "a long, b long")  # a start without edges is walked, too
+    return part.unionByName(lone).groupBy(F.lit(0).alias("one")).applyInPandas(walk, "place long, id long, depth int")
+
+
+def checked_pairs(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """(a, b, confidence) of given pairs: the weight of their mark in marked (a, b, weight), 0 without one."""
+    return pairs.join(marked, ["a", "b"], "left").select("a", "b", F.coalesce("weight", F.lit(0.0)).alias("confidence"))

@@ -48,17 +48,21 @@ def domain_adjusted(score: Column, match: Column, net: float) -> Column:
     return dense.clamp(score * (1 + net + F.when(match, 0.1).otherwise(0.0)))
 
 
-def theta_pairs(df: DataFrame, key: str, vector: str, compare: Callable[[np.ndarray, np.ndarray], np.ndarray], keep: Callable[[np.ndarray], np.ndarray] | None = None, best: int = 0, block: int = 2048) -> DataFrame:
+def theta_pairs(df: DataFrame, key: str, vector: str, compare: Callable[[np.ndarray, np.ndarray], np.ndarray], keep: Callable[[np.ndarray], np.ndarray] | None = None, best: int = 0, block: int = 2048, target: str | None = None) -> DataFrame:
     """(a, b, score) for pairs of rows: those that `keep` accepts, with a < b, or the `best` of each a (both directions).
 
     Rows are dealt to a square grid of blocks by hash, each row once to every cell of its row and its column: a task holds two
-    blocks of about `block` vectors, whatever the input, and scores them with one matrix product. Only kept pairs leave it.
+    blocks of about `block` vectors, whatever the input, and scores them with one matrix product. Only kept pairs leave it. Without
+    `best` a block meets only those of its number or a greater one, and rows go to half of the cells. target: another vector for the second of a pair.
     """
-    rows = df.select(F.col(key).alias("id"), dense.vec(vector).alias("vec")).where("id is not null and vec is not null")
+    rows = df.select(F.col(key).alias("id"), dense.vec(vector).alias("vec"), dense.vec(target or vector).alias("other")).where("id is not null and vec is not null and other is not null")
     side = max(1, -(-rows.count() // block))
     dealt = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(side)).cast("int"))
-    cells = lambda part, cell: dealt.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("h"), "g").select("id", "vec", F.lit(part).alias("part"), cell.alias("cell"))
-    both = cells(0, F.col("g") * side + F.col("h")).unionByName(cells(1, F.col("h") * side + F.col("g")))
+    # a pair that is kept once is found in the cell of the lesser block and the greater one
+    first, last = (F.lit(0), F.lit(side - 1)) if best else (F.col("g"), F.lit(side - 1))
+    left = dealt.withColumn("h", F.explode(F.sequence(first, last))).select("id", "vec", F.lit(0).alias("part"), (F.col("g") * side + F.col("h")).alias("cell"))
+    right = dealt.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(side - 1) if best else F.col("g")))).select("id", F.col("other").alias("vec"), F.lit(1).alias("part"), (F.col("h") * side + F.col("g")).alias("cell"))
+    both = left.unionByName(right)
 
     def scored(own: pd.DataFrame) -> pd.DataFrame:
         left, right = own[own["part"] == 0], own[own["part"] == 1]
@@ -75,7 +79,9 @@ def theta_pairs(df: DataFrame, key: str, vector: str, compare: Callable[[np.ndar
             real = np.isfinite(found[i, j])
             i, j = i[real], j[real]
         else:
-            i, j = np.nonzero(keep(found) & (a[:, None] < b[None, :]))
+            inside = int(own["cell"].iloc[0]) // side == int(own["cell"].iloc[0]) % side
+            i, j = np.nonzero(keep(found) & ((a[:, None] < b[None, :]) if inside else (a[:, None] != b[None, :])))
+            return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "score": found[i, j]})
         return pd.DataFrame({"a": a[i], "b": b[j], "score": found[i, j]})
 
     pairs = both.groupBy("cell").applyInPandas(scored, "a long, b long, score double")

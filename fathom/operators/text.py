@@ -7,21 +7,14 @@ from pyspark.sql import functions as F
 
 from fathom.functions.dense import col
 
-#: Words that are no keywords (fixed values).
-STOP_WORDS = ("a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "were", "be", "been", "this", "that", "it", "as", "not", "what", "how", "which", "who")
-#: Names by kind (fixed values).
-ENTITIES = {
-    "ProgrammingLanguage": ("rust", "python", "java", "scala", "go", "sql"),
-    "Framework": ("spark", "django", "react", "tokio"),
-    "Database": ("postgres", "redis", "duckdb", "rocksdb"),
-    "Cloud": ("aws", "azure", "gcp"),
-    "Company": ("anthropic", "google", "microsoft"),
-}
-#: Signs of a language of code (fixed values).
-CODE_SIGNS = {"rust": r"\bfn \w+|\bimpl \w+|\blet mut\b", "python": r"\bdef \w+\(|\bimport \w+", "javascript": r"\bfunction\b|\bconst \w+ =|=>|\bvar \w+", "sql": r"(?i)\bselect\b.+\bfrom\b", "html": r"(?i)<html|<div|<p>"}
-#: Phrases of a question for causes or for effects (fixed values).
-CAUSE_SIGNS, EFFECT_SIGNS = ("why", "cause", "because", "reason", "due to", "led to", "root cause"), ("effect", "result", "consequence", "impact", "what happens", "lead to", "outcome")
+from fathom.functions.lexicon import (
+    CAUSE_SIGNS, CODE_SIGNS, COMMON_WORDS, DOMAIN_SIGNS, EFFECT_SIGNS, ENTITIES, NEGATIONS, PRODUCES_SIGNS, RELATION_SIGNS, RESULTS_SIGNS, SOURCE_SIGNS, STOP_WORDS, TARGET_SIGNS,
+)
+
 CODE_WORDS, ENTITY_WORDS = ("function", "class", "method", "implement", "struct", "code"), ("who", "entity", "person", "company", "organization")
+#: Characters before a phrase in which a negation counts, and what an expanded question gets (fixed values).
+NEGATION_REACH = 15
+EXPANSIONS = {"cause": (("cause", "reason", "why"), " cause reason root source"), "effect": (("effect", "result", "happen"), " effect result consequence outcome")}
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 200, overlap: int = 50) -> DataFrame:
@@ -60,16 +53,41 @@ def sentence_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return each.select("id", "chunk", F.col("b.start").alias("start_word"), F.col("b.end").alias("end_word"), F.array_join(F.slice("w", F.col("b.start") + 1, F.col("b.end") - F.col("b.start")), " ").alias("text"))
 
 
+def _literals(words) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def _count(text: Column, signs) -> Column:
+    """How many of the signs a text contains."""
+    return F.size(F.filter(_literals(signs), lambda p: F.contains(text, p)))
+
+
 def keywords(text: Column | str) -> Column:
-    """Lower-case words of two letters or more that are no stop words, each once, in order."""
-    own = F.filter(F.split(F.lower(col(text)), "[^a-z0-9_]+"), lambda w: F.length(w) >= 2)
-    return F.array_except(F.array_distinct(own), F.array(*map(F.lit, STOP_WORDS)))
+    """Lower-case words of letters, digits, _ and - of two bytes or more that are no stop words, each once, as first seen."""
+    own = F.filter(F.split(F.lower(col(text)), r"[^\p{L}\p{N}_-]+"), lambda w: F.octet_length(w) >= 2)
+    return F.array_except(F.array_distinct(own), _literals(STOP_WORDS))
+
+
+def mentions(text: Column | str) -> Column:
+    """Words, less marks around them, that may name something: with a capital, all capitals and digits, with _ or - inside, or known; in order, repeated.
+
+    Words under two bytes and common ones are none.
+    """
+    bare = F.transform(F.split(col(text), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}_-]+|[^\p{L}\p{N}_-]+$", ""))
+    sign = lambda w: w.rlike(r"^\p{Lu}|^[\p{Lu}\p{N}]+$|[_-]") | F.lower(w).isin([n for own in ENTITIES.values() for n in own])
+    return F.filter(bare, lambda w: (F.octet_length(w) >= 2) & ~F.lower(w).isin(list(COMMON_WORDS)) & sign(w))
 
 
 def entities(text: Column | str) -> Column:
-    """Known names in a text, sorted."""
-    names = F.array(*[F.lit(n) for own in ENTITIES.values() for n in own])
-    return F.array_sort(F.array_intersect(F.array_distinct(F.split(F.lower(col(text)), "[^a-z0-9]+")), names))
+    """What a text may name, in lower case, each once, as first seen."""
+    return F.array_distinct(F.transform(mentions(text), F.lower))
+
+
+def entity_links(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, entity, surface, kind, confidence): what each row names, as first written; kinds that are known have confidence 1, others 0.5."""
+    rows = docs.select(F.col(key).alias("id"), F.posexplode(mentions(text)).alias("pos", "surface")).withColumn("entity", F.lower("surface"))
+    each = rows.groupBy("id", "entity").agg(F.min_by("surface", "pos").alias("surface")).withColumn("kind", kind_of("entity"))
+    return each.withColumn("confidence", F.when(F.col("kind") == "Unknown", 0.5).otherwise(1.0))
 
 
 def capitalised(text: Column | str, least: int = 4) -> Column:
@@ -80,33 +98,105 @@ def capitalised(text: Column | str, least: int = 4) -> Column:
 
 def kind_of(entity: Column | str) -> Column:
     out = None
-    for kind, names in ENTITIES.items():
+    for kind, names in reversed(ENTITIES.items()):
         out = F.when(col(entity).isin(*names), kind) if out is None else out.when(col(entity).isin(*names), kind)
     return out.otherwise("Unknown")
 
 
+def code_scores(text: Column | str) -> Column:
+    """Signs of each language of code in a text, 3 at most."""
+    t = F.lower(col(text))
+    return F.array(*[F.least(_count(t, signs), F.lit(3)) for signs in CODE_SIGNS.values()])
+
+
 def code_language(text: Column | str) -> Column:
-    out = None
-    for name, sign in CODE_SIGNS.items():
-        out = F.when(col(text).rlike(sign), name) if out is None else out.when(col(text).rlike(sign), name)
-    return out.otherwise("text")
+    """The language with most signs (a third each, 1 at most), the later of equals; null without any."""
+    names = _literals(CODE_SIGNS)
+    best = F.array_max(F.transform(code_scores(text), lambda n, i: n * 100 + i))
+    return F.when(best >= 100, F.element_at(names, (best % 100 + 1).cast("int")))
+
+
+def code_confidence(text: Column | str) -> Column:
+    return F.array_max(code_scores(text)) / 3
 
 
 def _has(text: Column, signs: tuple[str, ...]) -> Column:
     return text.rlike(r"\b(" + "|".join(signs) + ")")
 
 
+def _affirmed(text: Column, signs) -> Column:
+    """How many signs a text has whose first place has no negation shortly before it."""
+    def here(p: Column) -> Column:
+        at = F.instr(text, p)
+        start = F.greatest(F.lit(1), at - NEGATION_REACH)
+        return (at > 0) & ~F.substr(text, start, at - start + 1).rlike("|".join(NEGATIONS))
+
+    return F.size(F.filter(_literals(signs), here))
+
+
+def _larger(a: Column, b: Column, one: str, two: str, tie: str = "unknown") -> Column:
+    return F.when(a > b, one).when(b > a, two).when(a > 0, tie).otherwise("unknown")
+
+
 def intent(text: Column | str) -> Column:
-    """cause, effect or unknown; a negated phrase ("not because") doesn't count."""
-    t = F.regexp_replace(F.lower(col(text)), r"\b(not|no|never)\s+\w+", " ")
-    cause, effect = _has(t, CAUSE_SIGNS), _has(t, EFFECT_SIGNS)
-    return F.when(cause & ~effect, "cause").when(effect & ~cause, "effect").otherwise("unknown")
+    """Whether a question seeks a cause or an effect, by phrases that are not negated; a tie of some is cause, none unknown."""
+    t = F.lower(col(text))
+    return _larger(_affirmed(t, CAUSE_SIGNS), _affirmed(t, EFFECT_SIGNS), "cause", "effect", "cause")
+
+
+def content_direction(text: Column | str) -> Column:
+    """Whether a content tells of a cause or of an effect; a tie is unknown."""
+    t = F.lower(col(text))
+    return _larger(_count(t, PRODUCES_SIGNS), _count(t, RESULTS_SIGNS), "cause", "effect")
+
+
+def graph_intent(text: Column | str) -> Column:
+    """Whether a question seeks sources (what uses it) or targets (what it uses); a tie of some is source."""
+    t = F.lower(col(text))
+    return _larger(_count(t, SOURCE_SIGNS), _count(t, TARGET_SIGNS), "source", "target", "source")
+
+
+def expanded(text: Column | str, direction: Column) -> Column:
+    """A question with fixed terms of its direction behind it, unless it has one of them."""
+    t = col(text)
+    out = F.when(F.lit(False), t)
+    for kind, (present, more) in EXPANSIONS.items():
+        out = out.when((direction == kind) & (_count(F.lower(t), present) == 0), F.concat(t, F.lit(more)))
+    return out.otherwise(t)
+
+
+def domain(text: Column | str) -> Column:
+    """code, legal, academic or general: two signs at least, code before the others only with the most, legal before academic with more than code."""
+    t = F.lower(col(text))
+    code, legal, academic = (_count(t, [p.lower() for p in DOMAIN_SIGNS[k]]) for k in ("code", "legal", "academic"))
+    return F.when((code >= 2) & (code > legal) & (code > academic), "code").when((legal >= 2) & (legal > code), "legal").when((academic >= 2) & (academic > code), "academic").otherwise("general")
+
+
+def domain_of_pair(a: Column, b: Column) -> Column:
+    """The domain of two texts' domains: the one they share or the one that isn't general."""
+    return F.when(a == b, a).when(a == "general", b).when(b == "general", a).otherwise("general")
+
+
+def relation_kinds(text: Column | str) -> Column:
+    """Kinds of relations of which a text has a sign, in the order of the list."""
+    t = F.lower(col(text))
+    found = [F.when(_count(t, signs) > 0, F.lit(kind)) for kind, signs in RELATION_SIGNS.items()]
+    return F.array_compact(F.array(*found))
+
+
+def lexical_boost(text: Column | str) -> Column:
+    """How much exact terms matter for a question, 0.5 to 2: paths of code, versions, acronyms and names raise it."""
+    t = col(text)
+    path = F.contains(t, F.lit("::")) | F.contains(t, F.lit("->")) | (F.contains(t, F.lit(".")) & t.rlike("fn |impl |struct |trait "))
+    version, acronym, name = t.rlike(r"(^|\s)v[0-9]|[0-9]+\.[0-9]+"), t.rlike(r"(^|\s)[A-Z]{2,}(\s|$)"), t.rlike(r"\s[A-Z][a-z]+")
+    part = lambda c, v: F.when(c, v).otherwise(0.0)
+    return F.least(F.lit(2.0), F.greatest(F.lit(0.5), 1.0 + part(path, 0.5) + part(version, 0.3) + part(acronym, 0.3) + part(name, 0.2)))
 
 
 def route(text: Column | str) -> Column:
     """Type of a query: code, causal, entity or general."""
     t = F.lower(col(text))
-    return F.when(_has(t, CODE_WORDS), "code").when(_has(t, CAUSE_SIGNS + EFFECT_SIGNS), "causal").when(_has(t, ENTITY_WORDS), "entity").otherwise("general")
+    return F.when(_has(t, CODE_WORDS), "code").when(intent(text) != "unknown", "causal").when(_has(t, ENTITY_WORDS), "entity").otherwise("general")
 
 
 def content_hash(text: Column | str) -> Column:

@@ -63,18 +63,6 @@ def asymmetric_graph_similarity(spark, d):
     return retrieve.knn(halves(spark, d), dense.clamp(F.greatest(F.col("ce") * 1.2, F.col("ec") * 0.8)), 10, "id", least=0.1)
 
 
-_SIGNS = "|".join(text.CAUSE_SIGNS)
-_EFFECTS = "|".join(text.EFFECT_SIGNS)
-_TEXT = "(select *, regexp_replace(lower(text), '\\b(not|no|never)\\s+\\w+', ' ', 'g') as t from {})"
-
-
-@query(
-    f"with x as (select conv_id, turn, regexp_matches(t, '\\b({_SIGNS})') as c, regexp_matches(t, '\\b({_EFFECTS})') as e from {_TEXT.format('conversations')}) select conv_id, turn, case when c and not e then 'cause' when e and not c then 'effect' else 'unknown' end as intent from x"
-)
-def causal_intent(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", text.intent("text").alias("intent"))
-
-
 @query(f"with {V} select id, case when c > e * 1.05 then 'cause' when e > c * 1.05 then 'effect' else 'unknown' end as direction from (select id, list_var_pop(v[1:32]) as c, list_var_pop(v[33:64]) as e from v)")
 def vector_direction(spark, d):
     c, e = dense.variance(cause()), dense.variance(effect())

@@ -29,17 +29,6 @@ def chunk_sentences(spark, d):
 
 
 _NAMES = r"list_filter(regexp_split_to_array(text, '[^\p{L}]+'), lambda x: regexp_matches(x, '^[A-Z][a-z]{3,}$'))"
-_STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
-
-
-@query(f"select conv_id, turn, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 2 and x not in ({_STOPS})))) as keywords from conversations")
-def extract_keywords(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_sort(text.keywords("text")).alias("keywords"))
-
-
-@query(f"select doc_id, list_sort(list_distinct({_NAMES})) as entities from documents where lang = 'en'")
-def extract_entities(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", text.capitalised("text").alias("entities"))
 
 
 @query(f"with e as (select item_id, list_distinct({_NAMES}) as e from benchmark) select a.item_id as a, b.item_id as b, round(len(list_intersect(a.e, b.e)) / len(list_distinct(list_concat(a.e, b.e))), 6) as score from e a join e b on a.item_id < b.item_id where len(list_intersect(a.e, b.e)) > 0")
@@ -59,19 +48,6 @@ def trigram_similarity(spark, d):
     return own.where("item_id <> 0").select("item_id", F.round(sets.jaccard("g", F.lit(list(row.g) if row else []).cast("array<string>")), 6).alias("score"))
 
 
-@query("select page_id, case when regexp_matches(html, '\\bfn \\w+|\\bimpl \\w+|\\blet mut\\b') then 'rust' when regexp_matches(html, '\\bdef \\w+\\(|\\bimport \\w+') then 'python' when regexp_matches(html, '\\bfunction\\b|\\bconst \\w+ =|=>|\\bvar \\w+') then 'javascript' when regexp_matches(html, '(?i)\\bselect\\b.+\\bfrom\\b') then 'sql' when regexp_matches(html, '(?i)<html|<div|<p>') then 'html' else 'text' end as language from pages")
-def language_detect(spark, d):
-    return table(spark, d, "pages").select("page_id", text.code_language("html").alias("language"))
-
-
-_CAUSAL = "|".join(text.CAUSE_SIGNS + text.EFFECT_SIGNS)
-
-
-@query(f"select conv_id, turn, case when regexp_matches(lower(text), '\\b({'|'.join(text.CODE_WORDS)})') then 'code' when regexp_matches(lower(text), '\\b({_CAUSAL})') then 'causal' when regexp_matches(lower(text), '\\b({'|'.join(text.ENTITY_WORDS)})') then 'entity' else 'general' end as kind from conversations")
-def query_route(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", text.route("text").alias("kind"))
-
-
 @query(f"select event_id, round((case when age < 3600 then 1.3 when age < 86400 then 1.2 when age < 604800 then 1.1 when age < 2592000 then 1.0 else 0.8 end)::double * (case when value >= 5 then 1.5 when value >= 2.5 then 1.2 when value >= 1 then 1.0 else 0.8 end)::double, 6) as priority, case when value >= 2.5 then 'cluster' when value >= 1 then 'single' else 'none' end as category from (select *, {AGE} as age from events)")
 def priority_rank(spark, d):
     from fathom.functions import temporal as t
@@ -162,12 +138,12 @@ def auc_roc(spark, d):
     return metrics.auc(rows, "n_chars", "quality").select(F.round("auc", 6).alias("auc"))
 
 
-_PH = ", ".join(f"round({f}(2 * pi() * (((epoch_us(ts) // 1000000) % {p}) / {p})), 6)" for p in encode.PERIODS for f in ("sin", "cos"))
+_PH = ", ".join(f"round({f}(2 * pi() * (((epoch_us(ts) // 1000000) % {p}) / {p})), 6) + 0.0" for p in encode.PERIODS for f in ("sin", "cos"))
 
 
 @query(f"select event_id, [{_PH}] as features from events")
 def periodic_features(spark, d):
-    return table(spark, d, "events").select("event_id", F.transform(encode.phase_features("ts"), lambda x: F.round(x, 6)).alias("features"))
+    return table(spark, d, "events").select("event_id", F.transform(encode.phase_features("ts"), lambda x: F.round(x, 6) + 0.0).alias("features"))
 
 
 @query("select conv_id, turn, [" + ", ".join(f"round({f}(turn / {10000.0 ** (2 * i / 8)}), 6)" for i in range(4) for f in ("sin", "cos")) + "] as features from conversations")

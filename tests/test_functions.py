@@ -162,7 +162,7 @@ def test_chunks(spark):
 
 def test_intent(spark):
     assert one(spark, text.intent(F.lit("why did it fail"))) == "cause"
-    assert one(spark, text.intent(F.lit("what is the impact"))) == "effect"
+    assert one(spark, text.intent(F.lit("what is the impact of it"))) == "effect"
     assert one(spark, text.intent(F.lit("not because"))) == "unknown"
 
 

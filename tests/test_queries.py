@@ -27,7 +27,7 @@ def text_of(v):
     if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
         return "null"
     if isinstance(v, float):
-        return repr(round(v, 9) + 0.0)
+        return repr(round(v, 9))
     if isinstance(v, list | tuple | np.ndarray):
         return "[" + ",".join(map(text_of, v)) + "]"
     return repr(float(v)) if isinstance(v, int) and not isinstance(v, bool) else str(v)
