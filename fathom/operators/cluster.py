@@ -7,25 +7,63 @@ from pyspark.sql import functions as F
 
 from fathom.functions import dense
 from fathom.functions.profiles import CATEGORY, MOST_AGREEMENT, TOPIC_AGREEMENT
-from fathom.operators.graph import both_ways, components
+from fathom.operators.graph import components
 from fathom.operators.tables import written
 
 
-def core_distances(distances: DataFrame, k: int = 2) -> DataFrame:
-    """(id, core): distance to the k-th nearest, from (a, b, d) that has each pair once."""
-    w = Window.partitionBy("a").orderBy("d", "b")
-    return both_ways(distances).withColumn("n", F.row_number().over(w)).where(F.col("n") == k).select(F.col("a").alias("id"), F.col("d").alias("core"))
+#: Nodes up to which the last edges of a spanning forest meet in one task (some hundred bytes each); beyond it rounds of joins find it.
+ONE_TASK_NODES = 1_000_000
 
 
-def mutual_reachability(distances: DataFrame, core: DataFrame) -> DataFrame:
-    """(a, b, d) with d raised to either core distance."""
+def core_distances(nearest: DataFrame, k: int = 2) -> DataFrame:
+    """(id, core): distance to the k-th nearest, from (a, b, d, rank), each row's nearest ones."""
+    return nearest.where(F.col("rank") == k).select(F.col("a").alias("id"), F.col("d").alias("core"))
+
+
+def mutual_reachability(nearest: DataFrame, core: DataFrame) -> DataFrame:
+    """(a, b, d), a < b, of the pairs in nearest (a, b, d), with d raised to either core distance."""
+    pairs = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d").groupBy("a", "b").agg(F.min("d").alias("d"))
     one, two = core.toDF("a", "ca"), core.toDF("b", "cb")
-    return distances.join(one, "a").join(two, "b").select("a", "b", F.greatest("d", "ca", "cb").alias("d"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", F.greatest("d", "ca", "cb").alias("d"))
+
+
+def _forest(batches, more: tuple = ()):
+    """Kruskal over the edges of one task, in the order (d, a, b): an edge that closes a circle is in no least forest, whatever other tasks hold."""
+    import numpy as np
+    import pyarrow as pa
+
+    parts = [(b.column("a").to_numpy(), b.column("b").to_numpy(), b.column("d").to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    a, b, d = (np.concatenate(c) for c in zip(*parts, strict=True))
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    keep = []
+    for i in np.lexsort((b, a, d)).tolist():
+        x, y = root(int(a[i])), root(int(b[i]))
+        if x != y:
+            up[x] = y
+            keep.append(i)
+    yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(d[keep])], names=["a", "b", "d"])
 
 
 def spanning_tree(edges: DataFrame) -> DataFrame:
-    """(a, b, d) of the minimum spanning forest by Borůvka rounds: each component takes its least edge, order (d, a, b)."""
-    edges = written(edges.select("a", "b", "d"), "edges")
+    """(a, b, d) of the minimum spanning forest, edges ordered by (d, a, b).
+
+    Each task first drops what closes circles among its own edges. Of few nodes, one task goes over what is left; of more, Borůvka
+    rounds do: each component takes its least edge. The order makes the forest one and the same.
+    """
+    schema = "a long, b long, d double"
+    edges = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("d").cast("double")).mapInArrow(_forest, schema), "edges")
+    nodes = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct().count()
+    if nodes <= ONE_TASK_NODES:
+        return edges.repartition(1).mapInArrow(_forest, schema)
     tree: DataFrame | None = None
     labels: DataFrame | None = None
     while True:
@@ -43,13 +81,21 @@ def spanning_tree(edges: DataFrame) -> DataFrame:
 
 
 def gap_threshold(tree: DataFrame, least_gap: float = 0.02, floor: float = 0.03) -> float:
-    """Where to cut: below the largest jump between neighbouring edge lengths if that is least_gap or more, else the third quartile; floor at least."""
-    w = Window.orderBy("d", "a", "b")
-    gaps = tree.withColumn("before", F.lag("d").over(w)).withColumn("gap", F.col("d") - F.col("before"))
-    row = gaps.agg(F.max(F.struct("gap", -F.col("d"), "before")).alias("m"), F.percentile("d", F.lit(0.75)).alias("q")).first()
-    if row.m is None or row.q is None:
+    """Where to cut: below the largest jump between neighbouring edge lengths if that is least_gap or more, else the third quartile; floor at least. The lower of equal jumps counts.
+
+    Lengths are dealt by range; jumps within a range are found there, those between ranges from their ends, two numbers a range.
+    """
+    parts = int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(tree.select("d").repartitionByRange(parts, "d").withColumn("p", F.spark_partition_id()), "lengths")
+    w = Window.partitionBy("p").orderBy("d")
+    inner = dealt.withColumn("before", F.lag("d").over(w)).where("before is not null").groupBy("p").agg(F.max(F.struct((F.col("d") - F.col("before")).alias("gap"), (-F.col("before")).alias("low"))).alias("m"))
+    jumps = [(r.m.gap, r.m.low) for r in inner.collect()]
+    ends = sorted((r.lo, r.hi) for r in dealt.groupBy("p").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).collect())
+    jumps += [(nxt[0] - own[1], -own[1]) for own, nxt in zip(ends, ends[1:])]
+    if not jumps:
         return floor
-    cut = row.m[2] if row.m[0] is not None and row.m[0] >= least_gap else row.q
+    gap, low = max(jumps)
+    cut = -low if gap >= least_gap else dealt.agg(F.percentile("d", F.lit(0.75))).first()[0]
     return max(cut, floor)
 
 
@@ -60,14 +106,35 @@ def cut_clusters(nodes: DataFrame, tree: DataFrame, cut: float, least_size: int
     return labels.join(sizes, "label").select("id", F.when(F.col("n") >= least_size, F.col("label")).otherwise(-1).alias("cluster"))
 
 
-def silhouette(distances: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(id, cluster, silhouette): noise left out; members of one-member clusters have 0."""
-    live = clusters.where("cluster >= 0")
-    pairs = both_ways(distances).join(live.toDF("a", "ca"), "a").join(live.toDF("b", "cb"), "b")
-    means = pairs.groupBy("a", "ca", "cb").agg(F.avg("d").alias("m"))
-    each = means.groupBy("a", "ca").agg(F.max(F.when(F.col("ca") == F.col("cb"), F.col("m"))).alias("own"), F.min(F.when(F.col("ca") != F.col("cb"), F.col("m"))).alias("other"))
-    value = F.when(F.col("own").isNull() | F.col("other").isNull(), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))
-    return each.select(F.col("a").alias("id"), F.col("ca").alias("cluster"), value.alias("silhouette"))
+def silhouette(vectors: DataFrame, clusters: DataFrame, block: int = 2048) -> DataFrame:
+    """(id, cluster, silhouette) by cosine distance of vectors (id, v): noise left out; members of one-member clusters have 0.
+
+    Blocks meet in cells, which leave a sum for each row and cluster instead of pairs.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from fathom.operators.retrieve import grid, matrix_cosine
+
+    live = vectors.join(clusters.where("cluster >= 0"), "id").select("id", "cluster", "v")
+    cells, _ = grid(live, block, half=False)
+
+    def sums(own: pd.DataFrame) -> pd.DataFrame:
+        p, q = own[own["part"] == 0], own[own["part"] == 1]
+        if not len(p) or not len(q):
+            return pd.DataFrame({"id": [], "cluster": [], "other": [], "s": [], "n": []})
+        a, b = p["id"].to_numpy(), q["id"].to_numpy()
+        d = np.round(1 - matrix_cosine(np.stack(p["v"].to_numpy()), np.stack(q["v"].to_numpy())), 6)
+        real = a[:, None] != b[None, :]
+        kinds, at = np.unique(q["cluster"].to_numpy(), return_inverse=True)
+        one = np.eye(len(kinds))[at]
+        s, n = np.where(real, d, 0) @ one, real.astype(float) @ one
+        return pd.DataFrame({"id": np.repeat(a, len(kinds)), "cluster": np.repeat(p["cluster"].to_numpy(), len(kinds)), "other": np.tile(kinds, len(a)), "s": s.ravel(), "n": n.ravel()})
+
+    means = cells.groupBy("cell").applyInPandas(sums, "id long, cluster long, other long, s double, n double").where("n > 0").groupBy("id", "cluster", "other").agg((F.sum("s") / F.sum("n")).alias("m"))
+    each = means.groupBy("id", "cluster").agg(F.max(F.when(F.col("cluster") == F.col("other"), F.col("m"))).alias("own"), F.min(F.when(F.col("cluster") != F.col("other"), F.col("m"))).alias("rest"))
+    value = F.when(F.col("own").isNull() | F.col("rest").isNull(), 0.0).otherwise((F.col("rest") - F.col("own")) / F.greatest("own", "rest"))
+    return each.select("id", "cluster", value.alias("silhouette"))
 
 
 def features(df: DataFrame, by: str, vector: str) -> DataFrame:
@@ -86,21 +153,21 @@ def radius(cf: DataFrame) -> DataFrame:
     return cf.select("cluster", "n", F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - dense.dot("ls", "ls") / (F.col("n") * F.col("n")))).alias("radius"))
 
 
-def topic_mates(memberships: DataFrame, least: float = TOPIC_AGREEMENT, largest: int = 10_000) -> DataFrame:
+def topic_mates(memberships: DataFrame, least: float = TOPIC_AGREEMENT, block: int = 4096) -> DataFrame:
     """(a, b, agreement) of memories that share clusters of spaces of weight `least` together, from (id, space, cluster).
 
-    Spaces with one cluster only don't vote. Clusters over `largest` members would make pairs by the square; they raise an error
-    rather than lose pairs.
+    Spaces with one cluster only don't vote. A cluster of more than `block` members is dealt to blocks, which meet pairwise in cells of
+    their own, so no task holds a whole cluster.
     """
     live = memberships.where("cluster >= 0")
-    voting = live.groupBy("space").agg(F.count_distinct("cluster").alias("k")).where("k >= 2").select("space")
-    sized = live.join(F.broadcast(voting), "space")
-    n = sized.groupBy("space", "cluster").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if n > largest:
-        raise ValueError(f"a cluster of {n} members; recluster it before pairing")
+    sizes = written(live.groupBy("space", "cluster").agg(F.count("*").alias("n")), "sizes")
+    voting = sizes.groupBy("space").agg(F.count("*").alias("k")).where("k >= 2").select("space")
+    dealt = live.join(F.broadcast(voting), "space").join(sizes, ["space", "cluster"]).withColumn("of", F.ceil(F.col("n") / block).cast("int")).withColumn("g", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
     w = F.coalesce(*[F.when(F.col("space") == s, F.lit(v)) for s, v in CATEGORY.items()])
-    x, y = sized.select("space", "cluster", F.col("id").alias("a")), sized.select("space", "cluster", F.col("id").alias("b"))
-    return x.join(y, ["space", "cluster"]).where("a < b").groupBy("a", "b").agg(F.sum(w).alias("agreement")).where(F.col("agreement") >= least)
+    x = dealt.withColumn("h", F.explode(F.sequence(F.col("g"), F.col("of") - 1))).select("space", "cluster", "g", "h", F.col("id").alias("x"))
+    y = dealt.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("g")))).select("space", "cluster", F.col("h").alias("g"), F.col("g").alias("h"), F.col("id").alias("y"))
+    met = x.join(y, ["space", "cluster", "g", "h"]).where("(g = h and x < y) or (g < h and x != y)")
+    return met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum(w).alias("agreement")).where(F.col("agreement") >= least)
 
 
 def confidence(agreement: Column) -> Column:

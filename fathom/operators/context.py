@@ -37,18 +37,37 @@ def token_estimate(text: Column | str) -> Column:
     return F.floor((n * 13 + 9) / 10).cast("long")
 
 
-def budget(df: DataFrame, group: str, order: list[Column], tokens: str, total: int = 1200) -> DataFrame:
-    """Rows of each group in order, each taken if it still fits: a fold over the group's candidates, which retrieval has bounded.
+#: Tokens of a context and of each category's share; the first two may take what is left beyond their share (fixed values).
+BUDGET = {"total": 1200, "divergence": 200, "cluster": 400, "single": 300, "session": 200}
+OVERFLOWING = ("divergence", "cluster")
 
-    Returns (group, id, tokens) of what was taken; ids come from column id.
+
+def budgets(total: int) -> dict[str, int]:
+    """Shares in proportion for another total."""
+    return {k: BUDGET[k] * total // BUDGET["total"] for k in BUDGET} | {"total": total}
+
+
+def budget(df: DataFrame, group: str, order: list[Column], tokens: str, total: int = 1200, category: str | None = None) -> DataFrame:
+    """Rows of each group in order, each taken if it still fits the total and, with a category, its category's share or may go beyond it.
+
+    Returns (group, id, tokens) of what was taken; ids come from column id. A fold over the group's candidates, which retrieval has bounded;
+    what is kept has a token at least each, so it is bounded by the total.
     """
-    rows = df.select(group, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col("id"), F.col(tokens).cast("long").alias("t")).alias("r"))
+    shares = budgets(total)
+    kind = F.col(category) if category else F.lit("cluster")
+    rows = df.select(group, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col("id"), F.col(tokens).cast("long").alias("t"), kind.alias("c")).alias("r"))
     sorted_rows = rows.groupBy(group).agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id:bigint,t:bigint>>").alias("kept"))
+    names = [k for k in BUDGET if k != "total"]
+    start = F.struct(F.lit(0).cast("long").alias("used"), *[F.lit(0).cast("long").alias(k) for k in names], F.array().cast("array<struct<id:bigint,t:bigint>>").alias("kept"))
 
     def take(acc: Column, r: Column) -> Column:
-        fits = acc["used"] + r["t"] <= total
-        return F.struct(F.when(fits, acc["used"] + r["t"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(F.struct(r["id"].cast("long").alias("id"), r["t"].alias("t"))))).otherwise(acc["kept"]).alias("kept"))
+        inside = F.lit(False)
+        for k in names:
+            inside = inside | ((r["c"] == k) & ((acc[k] + r["t"] <= shares[k]) | F.lit(k in OVERFLOWING)))
+        fits = (acc["used"] + r["t"] <= total) & inside
+        spent = [F.when(fits & (r["c"] == k), acc[k] + r["t"]).otherwise(acc[k]).alias(k) for k in names]
+        kept = F.when(fits, F.concat(acc["kept"], F.array(F.struct(r["id"].cast("long").alias("id"), r["t"].alias("t"))))).otherwise(acc["kept"])
+        return F.struct(F.when(fits, acc["used"] + r["t"]).otherwise(acc["used"]).alias("used"), *spent, kept.alias("kept"))
 
     return sorted_rows.select(group, F.explode(F.aggregate("rs", start, take)["kept"]).alias("k")).select(group, F.col("k.id").alias("id"), F.col("k.t").alias("tokens"))
 

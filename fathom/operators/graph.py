@@ -40,6 +40,7 @@ def bfs(edges: DataFrame, starts: DataFrame, hops: int, max_nodes: int | None =
     edges (a, b) are followed from a to b. Each hop joins the frontier alone, and visited nodes leave by anti join;
     frontiers are written, so plans stay short. max_nodes stops after the hop that reaches it.
     """
+    edges = written(edges.select("a", "b"), "edges")
     visited = written(starts.select("id", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")).distinct(), "visited")
     front = visited
     for depth in range(1, hops + 1):
@@ -72,7 +73,7 @@ def shortest_path(edges: DataFrame, source: int, target: int, hops: int) -> list
 def best_products(edges: DataFrame, source: int, hops: int, least: float = 0.3) -> DataFrame:
     """(id, product, depth): the greatest product of weights of a path from source of at most so many edges of weight `least` or more, and its first depth."""
     spark = edges.sparkSession
-    strong = edges.where(F.col("weight") >= least).select("a", "b", "weight")
+    strong = written(edges.where(F.col("weight") >= least).select("a", "b", "weight"), "edges")
     best = spark.createDataFrame([(source, 1.0, 0)], "id long, product double, depth int")
     front = best
     for depth in range(1, hops + 1):
@@ -88,7 +89,7 @@ def best_products(edges: DataFrame, source: int, hops: int, least: float = 0.3)
 def cheapest(edges: DataFrame, source: int, rounds: int) -> DataFrame:
     """(id, cost): least sum of 1/(weight + 0.001) from source; relaxation by joins reaches the optimum an informed search would."""
     spark = edges.sparkSession
-    cost = edges.select("a", "b", (1 / (F.col("weight") + 0.001)).alias("w"))
+    cost = written(edges.select("a", "b", (1 / (F.col("weight") + 0.001)).alias("w")), "edges")
     best = spark.createDataFrame([(source, 0.0)], "id long, cost double")
     front = best
     for _ in range(rounds):
@@ -103,6 +104,7 @@ def cheapest(edges: DataFrame, source: int, rounds: int) -> DataFrame:
 def expand(found: DataFrame, edges: DataFrame, per_node: int = 5, total: int = 150, least: float = 0.4, factor: float = 0.8) -> DataFrame:
     """(id, score, via): neighbours of found (id, score) that are not found themselves: score * weight * factor, the best few of each node, then of all."""
     strong = edges.where(F.col("weight") >= least)
+    found = written(found.select("id", "score"), "found")
     reached = found.join(strong, F.col("id") == F.col("a")).select(F.col("b").alias("id"), (F.col("score") * F.col("weight") * factor).alias("score"), F.col("a").alias("via"))
     fresh = reached.join(found.select("id"), "id", "left_anti")
     quota = Window.partitionBy("via").orderBy(F.desc("score"), "id")

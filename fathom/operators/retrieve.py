@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import dense
+from fathom.operators.tables import written
 
 
 def one_vector(df: DataFrame, where: Column | str, vector: str = "embedding") -> Column:
@@ -48,6 +49,20 @@ def domain_adjusted(score: Column, match: Column, net: float) -> Column:
     return dense.clamp(score * (1 + net + F.when(match, 0.1).otherwise(0.0)))
 
 
+def grid(rows: DataFrame, block: int, half: bool) -> tuple[DataFrame, int]:
+    """rows (id and more) dealt to a square of cells, with part (0 or 1: first or second of a pair) and cell, and the square's side.
+
+    Each row goes once to every cell of its row and its column, by hash; half: only to cells of a lesser or equal with a greater block, where
+    each unordered pair is met once. A cell holds two blocks of about `block` rows.
+    """
+    side = max(1, -(-rows.count() // block))
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(side)).cast("int"))
+    last = F.lit(side - 1)
+    left = dealt.withColumn("h", F.explode(F.sequence(F.col("g") if half else F.lit(0), last))).withColumn("part", F.lit(0)).withColumn("cell", F.col("g") * side + F.col("h"))
+    right = dealt.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("g") if half else last))).withColumn("part", F.lit(1)).withColumn("cell", F.col("h") * side + F.col("g"))
+    return left.unionByName(right).drop("g", "h"), side
+
+
 def theta_pairs(df: DataFrame, key: str, vector: str, compare: Callable[[np.ndarray, np.ndarray], np.ndarray], keep: Callable[[np.ndarray], np.ndarray] | None = None, best: int = 0, block: int = 2048, target: str | None = None) -> DataFrame:
     """(a, b, score) for pairs of rows: those that `keep` accepts, with a < b, or the `best` of each a (both directions).
 
@@ -56,19 +71,13 @@ def theta_pairs(df: DataFrame, key: str, vector: str, compare: Callable[[np.ndar
     `best` a block meets only those of its number or a greater one, and rows go to half of the cells. target: another vector for the second of a pair.
     """
     rows = df.select(F.col(key).alias("id"), dense.vec(vector).alias("vec"), dense.vec(target or vector).alias("other")).where("id is not null and vec is not null and other is not null")
-    side = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(side)).cast("int"))
-    # a pair that is kept once is found in the cell of the lesser block and the greater one
-    first, last = (F.lit(0), F.lit(side - 1)) if best else (F.col("g"), F.lit(side - 1))
-    left = dealt.withColumn("h", F.explode(F.sequence(first, last))).select("id", "vec", F.lit(0).alias("part"), (F.col("g") * side + F.col("h")).alias("cell"))
-    right = dealt.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(side - 1) if best else F.col("g")))).select("id", F.col("other").alias("vec"), F.lit(1).alias("part"), (F.col("h") * side + F.col("g")).alias("cell"))
-    both = left.unionByName(right)
+    both, side = grid(rows, block, half=not best)
 
     def scored(own: pd.DataFrame) -> pd.DataFrame:
         left, right = own[own["part"] == 0], own[own["part"] == 1]
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": [], "score": []})
-        x, y = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
+        x, y = np.stack(left["vec"].to_numpy()), np.stack(right["other"].to_numpy())
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
         found = compare(x, y)
         if best:
@@ -110,36 +119,61 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", pattern:
     return terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(post: DataFrame, query: list[str], n_docs: Column | int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score): Okapi with idf ln((N - df + 0.5)/(df + 0.5) + 1); length is the sum of a document's weights."""
-    lengths = post.groupBy("id").agg(F.sum("tf").alias("len"))
-    mean = lengths.agg(F.avg("len").alias("mean"))
-    hits = post.where(F.col("term").isin(query))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    joined = hits.join(F.broadcast(df), "term").join(lengths, "id").crossJoin(F.broadcast(mean))  # one row, and a row for each word of the query
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return joined.groupBy("id").agg(F.sum(idf * tf).alias("score"))
+def term_counts(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", letters: str = "a-z") -> DataFrame:
+    """(id, len, t0, t1, ...): words (runs of these letters in lower-cased text) of each document that has any, and how often it has each term. One scan; no word is shuffled. Written, as corpus statistics and scores both read it."""
+    import re
+
+    t = F.lower(text)
+    count = lambda p: F.regexp_count(t, F.lit(p)).cast("long")
+    own = [count(f"(?<![{letters}]){re.escape(w)}(?![{letters}])").alias(f"t{i}") for i, w in enumerate(terms)]
+    return written(docs.select(F.col(key).alias("id"), count(f"[{letters}]+").alias("len"), *own).where("len > 0"), "counts")
 
 
-def idf_recall(post: DataFrame, query: list[str], n_docs: int) -> DataFrame:
+def _statistics(counts: DataFrame, n: int) -> list:
+    """Mean length and in how many documents each term is: one row to the driver, as long as the query."""
+    return list(counts.agg(F.avg("len"), *[F.count_if(F.col(f"t{i}") > 0) for i in range(n)]).first())
+
+
+def _added(parts: list[Column]) -> Column:
+    out = F.lit(0.0)
+    for p in parts:
+        out = out + p
+    return out
+
+
+def bm25(counts: DataFrame, terms: list[str], n_docs: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score) of documents with a term: Okapi with idf ln((N - df + 0.5)/(df + 0.5) + 1), from term_counts."""
+    import math
+
+    mean, *df = _statistics(counts, len(terms))
+    parts, some = [], F.lit(False)
+    for i, d in enumerate(df):
+        tf = F.col(f"t{i}")
+        idf = math.log((n_docs - d + 0.5) / (d + 0.5) + 1)
+        parts.append(F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / (mean or 1.0)))).otherwise(0.0))
+        some = some | (tf > 0)
+    return counts.where(some).select("id", _added(parts).alias("score"))
+
+
+def idf_recall(counts: DataFrame, terms: list[str], n_docs: int) -> DataFrame:
     """(id, score): sum of idf ln((N+1)/(df+1))+1 over the query's terms present; no term frequency."""
-    hits = post.where(F.col("term").isin(query))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    return hits.join(F.broadcast(df), "term").groupBy("id").agg(F.sum(F.log((F.lit(n_docs) + 1) / (F.col("df") + 1)) + 1).alias("score"))
+    import math
+
+    _, *df = _statistics(counts, len(terms))
+    score = _added([F.when(F.col(f"t{i}") > 0, math.log((n_docs + 1) / (d + 1)) + 1).otherwise(0.0) for i, d in enumerate(df)])
+    return counts.select("id", score.alias("score")).where("score > 0")
 
 
-def overlap_recall(post: DataFrame, query: list[str]) -> DataFrame:
+def overlap_recall(counts: DataFrame, terms: list[str]) -> DataFrame:
     """(id, shared): how many of the query's terms a document has."""
-    return post.where(F.col("term").isin(query)).groupBy("id").agg(F.count("*").alias("shared"))
+    shared = sum(((F.col(f"t{i}") > 0).cast("long") for i in range(len(terms))), F.lit(0).cast("long"))
+    return counts.select("id", shared.alias("shared")).where("shared > 0")
 
 
-def weighted_jaccard(post: DataFrame, query: dict[str, float]) -> DataFrame:
+def weighted_jaccard(counts: DataFrame, query: dict[str, float]) -> DataFrame:
     """(id, score, matches): sum of least weights over sum of greatest, of documents that share a term with the query."""
-    weight = F.coalesce(*[F.when(F.col("term") == t, F.lit(float(w))) for t, w in query.items()], F.lit(0.0))
-    rows = post.withColumn("q", weight)
-    whole = sum(query.values())
-    each = rows.groupBy("id").agg(F.sum(F.least("tf", "q")).alias("low"), F.sum("tf").alias("own"), F.sum(F.when(F.col("q") > 0, 1).otherwise(0)).alias("matches"))
+    tf = [F.col(f"t{i}") for i in range(len(query))]
+    low = _added([F.least(c.cast("double"), F.lit(float(w))) for c, w in zip(tf, query.values(), strict=True)])
+    matches = sum(((c > 0).cast("long") for c in tf), F.lit(0).cast("long"))
     # sum of greatest = both sums less the sum of least
-    return each.where("matches > 0").select("id", (F.col("low") / (F.col("own") + whole - F.col("low"))).alias("score"), "matches")
+    return counts.select("id", (low / (F.col("len") + sum(query.values()) - low)).alias("score"), matches.alias("matches")).where("matches > 0")

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in spark.checkpoint.dir, read again; where that is unset (tests), in a folder of this machine."""
+    """df as Parquet in spark.checkpoint.dir, read again. Where that is unset, a local session (tests) gets a folder of this machine; on a cluster that is an error."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="fathom-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}/{name}"

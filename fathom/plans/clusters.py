@@ -13,45 +13,42 @@ from fathom.plans.retrieval import long_scores, vectors
 from fathom.sources.tables import table
 
 query = Registry()
-#: Vectors of the density queries: one label's.
-LABEL = 3
-_D = f"{V}, x as (select id, v from v where label = {LABEL}), d as (select a.id as a, b.id as b, round(1 - list_cosine_similarity(a.v, b.v), 6) as d from x a join x b on a.id < b.id), dd as (select a, b, d from d union all select b, a, d from d), core as (select a as id, d as core from (select *, row_number() over (partition by a order by d, b) as n from dd) where n = 2)"
+#: Nearest vectors that density clustering looks at.
+NEAREST = 15
+_D = f"{V}, dd as (select a.id as a, b.id as b, round(1 - round(list_cosine_similarity(a.v, b.v), 6), 6) as d from v a join v b on a.id <> b.id), nn as (select *, row_number() over (partition by a order by d, b) as n from dd), core as (select a as id, d as core from nn where n = 2)"
 
 
-def distances(spark, d):
-    """(a, b, d) of all pairs of one label's vectors."""
-    rows = vectors(spark, d).where(F.col("label") == LABEL)
-    pairs = retrieve.theta_pairs(rows, "id", "v", retrieve.matrix_cosine, lambda s: s >= -2)
-    return pairs.select("a", "b", F.round(1 - F.col("score"), 6).alias("d"))
+def nearest(spark, d, k: int = NEAREST):
+    """(a, b, d, rank): each vector's nearest ones by cosine distance."""
+    pairs = retrieve.theta_pairs(vectors(spark, d), "id", "v", retrieve.matrix_cosine, best=k)
+    return pairs.select("a", "b", F.round(1 - F.col("score"), 6).alias("d"), "rank")
 
 
 @query(f"with {_D} select id, core from core")
 def core_distance(spark, d):
-    return cluster.core_distances(distances(spark, d))
+    return cluster.core_distances(nearest(spark, d, 2))
 
 
-@query(f"with {_D} select d.a, d.b, greatest(d.d, x.core, y.core) as d from d join core x on x.id = d.a join core y on y.id = d.b")
+@query(f"with {_D}, e as (select least(a, b) as a, greatest(a, b) as b, min(d) as d from nn where n <= {NEAREST} group by 1, 2) select e.a, e.b, greatest(e.d, x.core, y.core) as d from e join core x on x.id = e.a join core y on y.id = e.b")
 def mutual_reachability(spark, d):
-    own = written(distances(spark, d), "distances")
+    own = written(nearest(spark, d), "nearest")
     return cluster.mutual_reachability(own, cluster.core_distances(own))
 
 
 @query()
 def gap_threshold_clusters(spark, d):
-    """Density clusters of one label's vectors: minimum spanning tree of mutual reachability, cut at its largest gap."""
-    own = written(distances(spark, d), "distances")
-    reach = cluster.mutual_reachability(own, cluster.core_distances(own))
-    tree = written(cluster.spanning_tree(reach), "tree")
-    nodes = vectors(spark, d).where(F.col("label") == LABEL).select("id")
-    return cluster.cut_clusters(nodes, tree, cluster.gap_threshold(tree))
+    """Density clusters: minimum spanning forest of mutual reachability over nearest vectors, cut at its largest gap."""
+    own = written(nearest(spark, d), "nearest")
+    tree = written(cluster.spanning_tree(cluster.mutual_reachability(own, cluster.core_distances(own))), "tree")
+    return cluster.cut_clusters(vectors(spark, d).select("id"), tree, cluster.gap_threshold(tree))
 
 
 @query(
-    f"with {_D}, c as (select id, id % 3 as cluster from x), p as (select dd.a, ca.cluster as ca, cb.cluster as cb, avg(d) as m from dd join c ca on ca.id = dd.a join c cb on cb.id = dd.b group by 1, 2, 3), e as (select a, ca, max(m) filter (ca = cb) as own, min(m) filter (ca <> cb) as other from p group by a, ca) select a as id, ca as cluster, round(case when own is null or other is null then 0 else (other - own) / greatest(own, other) end, 6) as silhouette from e"
+    f"with {_D}, c as (select id, id % 3 as cluster from v), p as (select dd.a, ca.cluster as ca, cb.cluster as cb, avg(d) as m from dd join c ca on ca.id = dd.a join c cb on cb.id = dd.b group by 1, 2, 3), e as (select a, ca, max(m) filter (ca = cb) as own, min(m) filter (ca <> cb) as other from p group by a, ca) select a as id, ca as cluster, round(case when own is null or other is null then 0 else (other - own) / greatest(own, other) end, 5) as silhouette from e"
 )
 def silhouette(spark, d):
-    groups = vectors(spark, d).where(F.col("label") == LABEL).select("id", (F.col("id") % 3).alias("cluster"))
-    return cluster.silhouette(written(distances(spark, d), "distances"), groups).withColumn("silhouette", F.round("silhouette", 6))
+    v = vectors(spark, d)
+    return cluster.silhouette(v.select("id", "v"), v.select("id", (F.col("id") % 3).alias("cluster"))).withColumn("silhouette", F.round("silhouette", 5))
 
 
 @query(f"with {V}, t as (select label, generate_subscripts(v, 1) as pos, unnest(v) as x from v) select label as cluster, pos::int as pos, round(avg(x), 6) as value, count(*) as n from t group by 1, 2")
@@ -65,13 +62,13 @@ def cluster_features(spark, d):
     return cluster.radius(cluster.features(table(spark, d, "embeddings"), "label", "embedding")).withColumn("radius", F.round("radius", 6))
 
 
-_MEM = f"{V}, m as (select id, 'E1' as space, id % 40 as cluster, 1.0 as w from v where id < 400 union all select id, 'E5', id // 10, 1.0 from v where id < 400 union all select id, 'E7', (id * 7) % 50, 1.0 from v where id < 400)"
+_MEM = f"{V}, m as (select id, 'E1' as space, id % 40 as cluster, 1.0 as w from v union all select id, 'E5', id // 10, 1.0 from v union all select id, 'E7', (id * 7) % 50, 1.0 from v)"
 
 
 @query(f"with {_MEM}, t as (select a.id as a, b.id as b, sum(a.w)::double as agreement from m a join m b on a.space = b.space and a.cluster = b.cluster and a.id < b.id group by 1, 2) select a, b, agreement, round(agreement / 8.5, 6) as confidence from t where agreement >= 2")
 def topic_agreement(spark, d):
-    """Memberships made from ids, as in three spaces with clusters of their own; the first 400 vectors are the fixture."""
-    ids = vectors(spark, d).where("id < 400").select("id")
+    """Memberships made from ids, as in three spaces with clusters of their own."""
+    ids = vectors(spark, d).select("id")
     of = lambda space, c: ids.select("id", F.lit(space).alias("space"), c.alias("cluster"))
     m = of("E1", F.col("id") % 40).unionByName(of("E5", F.floor(F.col("id") / 10))).unionByName(of("E7", (F.col("id") * 7) % 50))
     mates = cluster.topic_mates(m, least=2.0)

@@ -95,21 +95,22 @@ def graph_expansion(spark, d):
     return graph.expand(found, edges, least=0.3).select("id", F.round("score", 6).alias("score"))
 
 
-@query(r"with m as (select distinct doc_id, unnest(list_filter(regexp_split_to_array(text, '[^\p{L}]+'), lambda x: regexp_matches(x, '^[A-Z][a-z]{8,}$'))) as e from documents), m2 as (select * from m where e <= 'Ea') select a.e as a, b.e as b, count(*) as n from m2 a join m2 b on a.doc_id = b.doc_id and a.e < b.e group by 1, 2 having count(*) >= 2")
+_NAMED = r"list_distinct(list_filter(regexp_split_to_array(text, '[^\p{L}]+'), lambda x: regexp_matches(x, '^[A-Z][a-z]{3,}$')))"
+
+
+@query(f"with m as (select conv_id * 1000 + turn as id, unnest({_NAMED}) as e from conversations) select a.e as a, b.e as b, count(*) as n from m a join m b on a.id = b.id and a.e < b.e group by 1, 2")
 def entity_cooccurrence(spark, d):
-    """Names of nine letters or more up to "Ea" that two documents or more name together."""
+    """Names of four letters or more that a turn has together."""
     from fathom.operators import text
 
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(text.capitalised("text", 9)).alias("entity")).where("entity <= 'Ea'")
-    return graph.cooccurrence(docs, 2)
+    own = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.explode(text.capitalised("text")).alias("entity"))
+    return graph.cooccurrence(own)
 
 
-@query(
-    "with recursive l as (select distinct l_suppkey as a, 1000000 + o_custkey as b from lineitem join orders on l_orderkey = o_orderkey where l_quantity = 50 and l_discount >= 0.09), e as (select a, b from l union select b, a from l), c(id, label) as (select a, a from e union select c.id, e.b from c join e on c.label = e.a) select id, min(label) as label from c group by id"
-)
+@query()
 def connected_components(spark, d):
-    """Suppliers and customers (1,000,000 up) linked by lines of the greatest quantity and a high discount."""
-    lines = table(spark, d, "lineitem").where("l_quantity = 50 and l_discount >= 0.09").select("l_orderkey", F.col("l_suppkey").alias("a"))
+    """Suppliers and customers (1,000,000 up) linked by lines of orders."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("a"))
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") + 1_000_000).alias("b"))
     return graph.components(lines.join(orders, "l_orderkey").select("a", "b").distinct())
 

@@ -124,7 +124,7 @@ def jaccard_terms(spark, d):
 
 @query(f"with {POSTINGS}, qq(term, w) as (values ('the', 3.0), ('erth', 2.0), ('ing', 1.0)), t as (select p.id, sum(least(tf, coalesce(w, 0))) as lo, sum(tf) as own, count(w) as matches from p left join qq using (term) group by p.id) select id, round(lo / (own + 6 - lo), 6) as score, matches from t where matches > 0")
 def weighted_jaccard(spark, d):
-    found = retrieve.weighted_jaccard(retrieve.postings(table(spark, d, "documents")), {"the": 3.0, "erth": 2.0, "ing": 1.0})
+    found = retrieve.weighted_jaccard(retrieve.term_counts(table(spark, d, "documents"), ["the", "erth", "ing"]), {"the": 3.0, "erth": 2.0, "ing": 1.0})
     return found.select("id", F.round("score", 6).alias("score"), "matches")
 
 
@@ -133,18 +133,18 @@ def weighted_jaccard(spark, d):
 )
 def bm25_search(spark, d):
     docs = table(spark, d, "documents")
-    return retrieve.knn(retrieve.bm25(retrieve.postings(docs), TERMS, docs.count()), F.col("score"), 20, "id")
+    return retrieve.knn(retrieve.bm25(retrieve.term_counts(docs, TERMS), TERMS, docs.count()), F.col("score"), 20, "id")
 
 
 @query(f"with {POSTINGS}, df as (select term, count(*) as df from p where term in ({_TERMS}) group by term), t as (select id, round(sum(ln((n + 1) / (df + 1)) + 1), 6) as score from p join df using (term), n group by id) select id, score, row_number() over (order by score desc, id)::int as rank from t order by score desc, id limit 20")
 def sparse_idf_recall(spark, d):
     docs = table(spark, d, "documents")
-    return retrieve.knn(retrieve.idf_recall(retrieve.postings(docs), TERMS, docs.count()), F.col("score"), 20, "id")
+    return retrieve.knn(retrieve.idf_recall(retrieve.term_counts(docs, TERMS), TERMS, docs.count()), F.col("score"), 20, "id")
 
 
 @query(f"with {POSTINGS} select id, count(*) as shared from p where term in ({_TERMS}) group by id")
 def term_overlap_recall(spark, d):
-    return retrieve.overlap_recall(retrieve.postings(table(spark, d, "documents")), TERMS)
+    return retrieve.overlap_recall(retrieve.term_counts(table(spark, d, "documents"), TERMS), TERMS)
 
 
 @query(f"with {V}, l as (select label from v where id = {QUERY_ID}), t as (select v.id, round(least(1, greatest(0, (list_cosine_similarity(v.v, q.v) + 1) / 2 * (1 + 0.05 + case when v.label = l.label then 0.1 else 0 end))), 6) as score from v, q, l where v.id <> {QUERY_ID}) select id, score, row_number() over (order by score desc, id)::int as rank from t order by score desc, id limit 10")

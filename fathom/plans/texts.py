@@ -62,23 +62,34 @@ def token_estimate(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", context.token_estimate("text").alias("tokens"))
 
 
-@query()
+_CAPS = {"divergence": 50, "cluster": 100, "single": 75, "session": 50}
+_CAT = "(['divergence', 'cluster', 'single', 'session'])[(turn % 4)::int + 1]"
+_FITS = "used + tokens <= 300 and (c in ('divergence', 'cluster') or (c = 'single' and single + tokens <= 75) or (c = 'session' and session + tokens <= 50))"
+
+
+@query(
+    f"with recursive t as (select conv_id, turn, {_CAT} as c, ((len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) * 13 + 9) // 10)::bigint as tokens, row_number() over (partition by conv_id order by turn) as n from conversations), "
+    f"b(conv_id, n, turn, tokens, used, single, session, took) as (select conv_id, 0::bigint, null::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, false from t group by conv_id union all select b.conv_id, t.n, t.turn, t.tokens, used + case when {_FITS.replace('tokens', 't.tokens')} then t.tokens else 0 end, single + case when c = 'single' and {_FITS.replace('tokens', 't.tokens')} then t.tokens else 0 end, session + case when c = 'session' and {_FITS.replace('tokens', 't.tokens')} then t.tokens else 0 end, {_FITS.replace('tokens', 't.tokens')} from b join t on t.conv_id = b.conv_id and t.n = b.n + 1) select conv_id, turn as id, tokens from b where took"
+)
 def budget_select(spark, d):
-    """Turns of each conversation in order, taken while they fit into 300 estimated tokens."""
-    rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("id"), context.token_estimate("text").alias("tokens"))
-    return context.budget(rows, "conv_id", [F.col("id")], "tokens", total=300)
+    """Turns of each conversation in order, each of a category by its number, taken while they fit 300 estimated tokens and their category's share."""
+    kind = F.element_at(F.array(*map(F.lit, _CAPS)), (F.col("turn") % 4 + 1).cast("int"))
+    rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("id"), context.token_estimate("text").alias("tokens"), kind.alias("kind"))
+    return context.budget(rows, "conv_id", [F.col("id")], "tokens", total=300, category="kind")
 
 
-_RANKED = f"{V}, t as (select a.id as query_id, b.id, (a.label = b.label)::int as relevant, round((list_cosine_similarity(a.v, b.v) + 1) / 2, 6) as score from v a join v b on a.id <> b.id where a.id < 20), r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from t), n as (select query_id, sum(relevant) as n_relevant from t group by query_id)"
+_RANKED = f"{V}, t as (select a.id as query_id, b.id, (a.label = b.label)::int as relevant, round((list_cosine_similarity(a.v, b.v) + 1) / 2, 6) as score from v a join v b on a.id <> b.id), r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from t), n as (select query_id, sum(relevant) as n_relevant from t group by query_id)"
 
 
 def _evaluated(spark, d, k: int = 10):
+    """Each vector as a query against all others; those of its label are relevant."""
     df = vectors(spark, d)
-    q = F.broadcast(df.where("id < 20").select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("label").alias("ql")))
-    scored = df.join(q, F.col("id") != F.col("query_id")).select("query_id", "id", (F.col("label") == F.col("ql")).cast("int").alias("relevant"), F.round(dense.cos01("v", "qv"), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    n = scored.groupBy("query_id").agg(F.sum("relevant").alias("n_relevant"))
-    return metrics.at_k(scored.withColumn("rank", F.row_number().over(w)), n, k)
+    found = retrieve.theta_pairs(df, "id", "v", retrieve.matrix_cos01, best=k)
+    labels = df.select("id", "label")
+    of = labels.groupBy("label").agg((F.count("*") - 1).alias("n_relevant"))
+    n = labels.join(F.broadcast(of), "label").select(F.col("id").alias("query_id"), "n_relevant")
+    ranked = found.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").select(F.col("a").alias("query_id"), "rank", (F.col("la") == F.col("lb")).cast("int").alias("relevant"))
+    return metrics.at_k(ranked, n, k)
 
 
 @query(f"with {_RANKED} select query_id, round(sum(relevant) / 10, 6) as precision, round(sum(relevant) / max(n_relevant), 6) as recall from r join n using (query_id) where rank <= 10 group by query_id")
@@ -123,12 +134,12 @@ def adjusted_rand(spark, d):
     return metrics.rand_index(_table(spark, d)).select(F.round("ari", 6).alias("ari"))
 
 
-@query(f"with {V}, t as (select v.id, list_cosine_similarity(v.v[1:16], q.v[1:16]) as x, list_cosine_similarity(v.v[33:48], q.v[33:48]) as y from v, q where v.id between 1 and 100) select round(sum(sign(a.x - b.x) * sign(a.y - b.y)) / (count(*)), 6) as tau from t a join t b on a.id < b.id")
+@query(f"with {V}, t as (select v.id, list_cosine_similarity(v.v[1:16], q.v[1:16]) as x, list_cosine_similarity(v.v[33:48], q.v[33:48]) as y from v, q where v.id > 0) select round(sum(sign(a.x - b.x) * sign(a.y - b.y)) / (count(*)), 6) as tau from t a join t b on a.id < b.id")
 def kendall_tau(spark, d):
-    """Two spaces' orders of one hundred candidates, a ranking's length."""
+    """Two spaces' orders of all candidates."""
     df = vectors(spark, d)
     q = retrieve.one_vector(df, "id = 0", "v")
-    own = df.where("id between 1 and 100").select("id", dense.cosine(F.slice("v", 1, 16), F.slice(q, 1, 16)).alias("x"), dense.cosine(F.slice("v", 33, 16), F.slice(q, 33, 16)).alias("y"))
+    own = df.where("id > 0").select("id", dense.cosine(F.slice("v", 1, 16), F.slice(q, 1, 16)).alias("x"), dense.cosine(F.slice("v", 33, 16), F.slice(q, 33, 16)).alias("y"))
     return metrics.kendall(own, "x", "y", "id").select(F.round("tau", 6).alias("tau"))
 
 

@@ -47,8 +47,10 @@ class MemoryStore:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        empty = self.spark.createDataFrame([], schema)
-        empty.write.mode("append").parquet(f"{self.root}/{name}")
+        """A table of the store, empty where nothing was written yet; reading writes nothing."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def store(self, df: DataFrame, operator: str = "system") -> None:
@@ -75,7 +77,7 @@ class MemoryStore:
 
     def trail(self, target: int | None = None, start: str | None = None, end: str | None = None, limit: int = 50) -> DataFrame:
         """Audit rows, newest first; a time range prunes days."""
-        rows = self.spark.read.parquet(f"{self.root}/audit")
+        rows = self._read("audit", self.AUDIT)
         if target is not None:
             rows = rows.where(F.col("target_id") == target)
         if start is not None:
@@ -83,3 +85,55 @@ class MemoryStore:
         if end is not None:
             rows = rows.where((F.col("ts") < F.to_timestamp(F.lit(end))) & (F.col("day") <= F.to_date(F.lit(end[:10]))))
         return rows.orderBy(F.desc("ts"), "target_id").limit(limit)
+
+    def checkpoint(self, path: str) -> None:
+        """A copy of all tables as they are now: memories at their latest version, tombstones and audit."""
+        self.memories().write.parquet(f"{path}/memories")
+        self._read("tombstones", self.TOMBSTONE).write.parquet(f"{path}/tombstones")
+        self._read("audit", self.AUDIT).write.partitionBy("day").parquet(f"{path}/audit")
+
+    def restore(self, path: str) -> MemoryStore:
+        """A store over a checkpoint's copy, at this store's root, which must be empty."""
+        if not self._read("memories", self.MEMORY).isEmpty():
+            raise ValueError("restore into an empty store")
+        for name, schema, days in (("memories", self.MEMORY, False), ("tombstones", self.TOMBSTONE, False), ("audit", self.AUDIT, True)):
+            rows = self.spark.read.schema(schema).parquet(f"{path}/{name}")
+            (rows.write.mode("append").partitionBy("day") if days else rows.write.mode("append")).parquet(f"{self.root}/{name}")
+        return self
+
+    def compact(self, path: str) -> MemoryStore:
+        """A new store with the latest version of each live memory and no tombstones; audit goes along."""
+        new = MemoryStore(self.spark, path)
+        self.memories().write.parquet(f"{new.root}/memories")
+        self._read("audit", self.AUDIT).write.partitionBy("day").parquet(f"{new.root}/audit")
+        return new
+
+
+class EdgeStore:
+    """Edges (a, b, kind, weight) as an append-only table; the last row of an edge counts, and a null weight deletes it."""
+
+    EDGE = "a long, b long, kind string, weight double, at timestamp"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def put(self, edges: DataFrame) -> None:
+        """Appends a batch of edges with their times."""
+        edges.selectExpr("a", "b", "kind", "cast(weight as double) as weight", "at").write.mode("append").parquet(f"{self.root}/edges")
+
+    def delete(self, edges: DataFrame) -> None:
+        """Appends deletions (a, b, kind, at)."""
+        self.put(edges.withColumn("weight", F.lit(None).cast("double")))
+
+    def edges(self) -> DataFrame:
+        rows = MemoryStore._read(self, "edges", self.EDGE)
+        return rows.groupBy("a", "b", "kind").agg(F.max_by(F.struct("weight"), "at").alias("w")).select("a", "b", "kind", F.col("w.weight").alias("weight")).where("weight is not null")
+
+    def outgoing(self, node: int) -> DataFrame:
+        return self.edges().where(F.col("a") == node)
+
+    def incoming(self, node: int) -> DataFrame:
+        return self.edges().where(F.col("b") == node)
+
+    def of_kind(self, kind: str) -> DataFrame:
+        return self.edges().where(F.col("kind") == kind)
