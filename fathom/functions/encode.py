@@ -72,3 +72,13 @@ def pruned_tokens(tokens: Column | str, share: float = 0.5) -> Column:
     ranked = F.slice(F.array_sort(F.transform(t, lambda x, i: F.struct((-dense.norm(x)).alias("n"), i.alias("i")))), F.lit(1), keep)
     chosen = F.array_sort(F.transform(ranked, lambda r: r["i"]))
     return F.transform(chosen, lambda i: F.element_at(t, i + 1))
+
+
+#: How each space is stored (fixed values).
+METHODS = {"E1": "parts", "E2": "float8", "E3": "float8", "E4": "float8", "E5": "parts", "E6": "sparse", "E7": "parts", "E8": "float8", "E9": "binary", "E10": "parts", "E11": "float8", "E12": "tokens", "E13": "sparse"}
+
+
+def stored(space: str, vector: Column | str, width: int = 128) -> Column:
+    """A space's vector as it is stored: 8-bit floats, signs, or the tokens of greatest norm; sparse ones stay, and those kept in parts (product codes, which need a fitted codebook) are 8-bit integers here."""
+    v = dense.vec(vector)
+    return {"float8": lambda: float8(v), "binary": lambda: dense.signs(v).cast("array<double>"), "tokens": lambda: F.flatten(pruned_tokens(dense.tokens(v, width))), "sparse": lambda: v, "parts": lambda: int8(v).cast("array<double>")}[METHODS[space]]()

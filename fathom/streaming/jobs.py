@@ -59,3 +59,38 @@ def running_features(vectors: DataFrame, by: str = "label", vector: str = "embed
     """Count and sums of each dimension, kept up over a stream: the mergeable part of a clustering feature."""
     parts = vectors.select(by, F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "x"))
     return parts.groupBy(by, "pos").agg(F.count("*").alias("n"), F.sum("x").alias("ls"), F.sum(F.col("x") * F.col("x")).alias("ss"))
+
+
+def maintain(stream: DataFrame, checkpoint: str, work, every: str | None = None) -> StreamingQuery:
+    """Calls work(batch, number) on each micro-batch: index upkeep, edge building, garbage collection. every: a period such as "60 seconds"; without it, what is there is worked off once."""
+    writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+class EdgeBuilder:
+    """Batches of new memories, kept until there are `least` of them, then linked to the nearest of all memories; for maintain()."""
+
+    def __init__(self, memories, build, path: str, least: int = 10):
+        """memories() gives all memories so far; build(new, all) gives edges (a, b, ...); edges are appended under their batch's number."""
+        self.memories, self.build, self.path, self.least, self.waiting = memories, build, path, least, []
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        self.waiting.append(number)
+        batch.write.mode("overwrite").parquet(f"{self.path}/new/batch={number}")
+        new = batch.sparkSession.read.parquet(*[f"{self.path}/new/batch={n}" for n in self.waiting])
+        if new.count() >= self.least:
+            self.build(new, self.memories()).write.mode("overwrite").parquet(f"{self.path}/edges/batch={number}")
+            self.waiting = []
+
+
+class Reclusterer:
+    """Counts memories by micro-batch and clusters anew after every `every` of them; for maintain()."""
+
+    def __init__(self, cluster, path: str, every: int = 100):
+        self.cluster, self.path, self.every, self.seen = cluster, path, every, 0
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        self.seen += batch.count()
+        if self.seen >= self.every:
+            self.cluster().write.mode("overwrite").parquet(f"{self.path}/clusters/batch={number}")
+            self.seen = 0
