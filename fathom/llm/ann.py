@@ -6,18 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.common import written
-from fathom.llm.vectors import QUERY_BLOCK, matrices, search, usable
+from fathom.llm.vectors import CANDIDATES, PART, QUERIES, STEP, block_rows, fetched, in_blocks, keyed, meet, product, ranked, usable
 
 #: Full-dimensional codebooks, codewords of each, and partial sums kept by the encoder.
-BOOKS, WORDS, BEAM = 12, 256, 4
+BOOKS, WORDS, BEAM = 32, 256, 4
 #: Vectors that codebooks are fitted on at most; all vectors are indexed.
 FIT_ROWS = 8192
-#: Candidates of a block that are reranked for each query.
-SHORTLIST = 200
+#: Candidates, of all, that are reranked for each query.
+SHORTLIST = 400
 
 
 def fitted(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 6, seed: int = 7) -> np.ndarray:
@@ -54,14 +54,14 @@ def encoded(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndar
     return codes[:, 0], np.sqrt(((x - left[:, 0]) ** 2).sum(1))
 
 
-def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", fit_rows: int = FIT_ROWS, books: int = BOOKS) -> tuple[DataFrame, dict[int, np.ndarray]]:
-    """The index, written to the shared folder, and its codebooks by length of vector.
+def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", fit_rows: int = FIT_ROWS, books: int = BOOKS, block: int | None = None) -> tuple[DataFrame, DataFrame, dict[int, np.ndarray]]:
+    """The vectors that take part (key, id, vec), the index in blocks, and its codebooks by length of vector.
 
-    Index rows: id, vec (original), codes, norm (of the vector) and sum_norm (of its quantised sum). Codebooks are fitted on at
-    most fit_rows vectors, chosen by hash; each row that takes part is indexed. Only the most frequent length in
-    that sample has codebooks; vectors of other lengths have no codes, and a search scores them exactly.
+    A block of the index holds each row's codes and the factor of its stored norms: the vector's own over that of its quantised sum. Codebooks are
+    fitted on at most fit_rows vectors, chosen by hash; each row that takes part is indexed. Only the most frequent length in
+    that sample has codebooks; blocks of other lengths hold the vectors themselves, and a search scores them exactly.
     """
-    rows = usable(df, key, vector, nonzero=True)
+    rows = keyed(usable(df, key, vector, nonzero=True), "vectors")
     sample = [r[0] for r in rows.select("vec", F.xxhash64(F.lit(11), "id", "vec").alias("h")).orderBy("h").limit(fit_rows).select("vec").collect()]
     lengths = [len(v) for v in sample]
     own: dict[int, np.ndarray] = {}
@@ -71,19 +71,17 @@ def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", f
         own[d] = fitted(_unit([v for v in sample if len(v) == d]), books)
     shared = rows.sparkSession.sparkContext.broadcast(own)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, x in matrices(batch):
-                part = batch.take(pa.array(at))
-                norm = np.sqrt((x**2).sum(1))
-                if x.shape[1] in shared.value:
-                    codes, sums = encoded(x / norm[:, None], shared.value[x.shape[1]])
-                    packed = [c.tobytes() for c in codes]
-                else:
-                    packed, sums = [b""] * len(at), np.ones(len(at))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("vec"), pa.array(packed, pa.binary()), pa.array(norm), pa.array(sums.astype(np.float64))], names=["id", "vec", "codes", "norm", "sum_norm"])
+    def pack(x: np.ndarray) -> bytes:
+        if x.shape[1] not in shared.value:
+            return x.tobytes()
+        parts = []
+        for at in range(0, len(x), STEP):
+            norm = np.sqrt((x[at : at + STEP] ** 2).sum(1))
+            codes, sums = encoded(x[at : at + STEP] / norm[:, None], shared.value[x.shape[1]])
+            parts.append((codes, (norm / np.maximum(sums, 1e-12)).astype(np.float32)))
+        return np.concatenate([f for _, f in parts]).tobytes() + np.concatenate([c for c, _ in parts]).tobytes()
 
-    return written(rows.mapInArrow(run, "id long, vec array<double>, codes binary, norm double, sum_norm double"), "index"), own
+    return rows, in_blocks(rows, block or block_rows(rows, CANDIDATES), pack), own
 
 
 def _unit(vectors: list[list[float]]) -> np.ndarray:
@@ -97,59 +95,69 @@ def shortlisted(est: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     cut = np.take_along_axis(est, short, 1).min(1)
     for j in np.flatnonzero((est >= cut[:, None]).sum(1) > n):
         above, equal = np.flatnonzero(est[j] > cut[j]), np.flatnonzero(est[j] == cut[j])
-        short[j] = np.concatenate([above, equal[np.argsort(ids[equal], kind="stable")[: n - len(above)]]])
+        short[j] = np.concatenate([above, equal[np.argsort(ids[j][equal], kind="stable")[: n - len(above)]]])
     return short
 
 
-def scan(queries: dict, batches: Iterator[pa.RecordBatch], books: dict[int, np.ndarray], k: int, shortlist: int) -> Iterator[pa.RecordBatch]:
-    """For each block of the index, each query's k best of the shortlist that lookup tables give."""
-    for batch in batches:
-        all_ids, all_codes = batch.column("id").to_numpy(), batch.column("codes").to_pylist()
-        norms, sums = batch.column("norm").to_numpy(), batch.column("sum_norm").to_numpy()
-        for rows, x in matrices(batch):
-            if x.shape[1] not in queries:
-                continue
-            qids, q = queries[x.shape[1]]
-            ids, own = all_ids[rows], books.get(x.shape[1])
-            # by the stored norms: the sum's direction, the vector's own length
-            factor = (norms[rows] / np.maximum(sums[rows], 1e-12)).astype(np.float32)
-            codes = np.frombuffer(b"".join(all_codes[r] for r in rows), np.uint8).reshape(len(rows), -1) if own is not None else None
-            out = []
-            for at in range(0, len(qids), 256):
-                part = q[at : at + 256]
-                if own is not None and len(rows) > shortlist:
-                    tables = np.einsum("mwd,qd->mwq", own, part.astype(np.float32), optimize=True)
-                    est = np.zeros((len(rows), len(part)), np.float32)
-                    for m in range(len(own)):
-                        est += tables[m][codes[:, m]]
-                    est = (est * factor[:, None]).T
-                    short = shortlisted(est, ids, shortlist + 1)
+class Estimates:
+    """Queries of a block and, of all candidates seen, each query's n largest estimates from lookup tables; of equal ones at the cut the smaller ids."""
+
+    def __init__(self, n: int, books: dict[int, np.ndarray], keys: np.ndarray, ids: np.ndarray, q: np.ndarray):
+        self.n, self.keys, self.ids, self.q, self.own = n, keys, ids, q, books.get(q.shape[1])
+        self.est = np.zeros((len(q), 0), np.float32 if self.own is not None else np.float64)
+        self.id, self.key = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.int64)
+
+    def see(self, keys: np.ndarray, ids: np.ndarray, data) -> None:
+        if self.own is not None:
+            factor = np.frombuffer(data, np.float32, len(ids))
+            codes = np.frombuffer(data, np.uint8, offset=4 * len(ids)).reshape(len(ids), -1)
+        else:
+            exact = np.frombuffer(data, np.float64).reshape(len(ids), -1)
+        grown = []
+        for j in range(0, len(self.q), PART):
+            part = slice(j, j + PART)
+            best = self.est[part], self.id[part], self.key[part]
+            tables = None if self.own is None else np.einsum("mwd,qd->mwq", self.own, self.q[part].astype(np.float32), optimize=True)
+            for at in range(0, len(ids), STEP):
+                i, k = ids[at : at + STEP], keys[at : at + STEP]
+                if tables is not None:
+                    est = np.zeros((len(i), tables.shape[2]), np.float32)
+                    for m in range(len(tables)):
+                        est += tables[m][codes[at : at + STEP, m]]
+                    est = (est * factor[at : at + STEP, None]).T
                 else:
-                    short = np.broadcast_to(np.arange(len(rows)), (len(part), len(rows)))
-                score = np.array([_exact(x[s], p) for s, p in zip(short, part, strict=True)])
-                for j, qid in enumerate(qids[at : at + 256]):
-                    cand = ids[short[j]]
-                    order = np.lexsort((cand, -score[j]))
-                    order = order[cand[order] != qid][:k]
-                    out.append((np.full(len(order), qid), cand[order], score[j][order]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                    est = self.q[part] @ exact[at : at + STEP].T
+                est = np.where(self.ids[part][:, None] == i[None, :], -np.inf, est)
+                best = self._best(*(np.concatenate(p, axis=1) for p in zip(best, (est, np.broadcast_to(i, est.shape), np.broadcast_to(k, est.shape)), strict=True)))
+            grown.append(best)
+        self.est, self.id, self.key = (np.concatenate(c) for c in zip(*grown, strict=True))
 
+    def _best(self, est: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if est.shape[1] <= self.n:
+            return est, ids, keys
+        at = shortlisted(est, ids, self.n)
+        return tuple(np.take_along_axis(x, at, 1) for x in (est, ids, keys))
 
-def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed from the first component to the last."""
-    return np.add.accumulate(x * q, axis=1)[:, -1]
+    def done(self) -> Iterator[pa.RecordBatch]:
+        query, at = np.nonzero(self.est > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(self.keys[query]), pa.array(self.key[query, at]), pa.array(self.id[query, at]), pa.array(self.est[query, at].astype(np.float64))], names=["qkey", "key", "id", "est"])
 
 
-def ann_search(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", shortlist: int = SHORTLIST, block: int = QUERY_BLOCK) -> DataFrame:
+def ann_search(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", shortlist: int = SHORTLIST, block: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: for each row of queries the k rows of df with the largest inner product that the index finds.
 
-    Scores are inner products of the original vectors in double precision. A query's own id is no candidate. Ties go to the
-    smaller vec_id; rows with equal vectors are candidates each. Vectors that are null, empty, zero, or hold null, NaN or
+    Lookup tables estimate every inner product from codes and stored norms; the shortlist largest of all candidates are read and reranked
+    exactly, by the inner product of the original vectors in double precision. A query's own id is no candidate. Ties go to the
+    smaller vec_id; rows with equal vectors are candidates each, and repeated rows of queries are queries each. Vectors that are null, empty, zero, or hold null, NaN or
     infinite components take no part on either side; those of another length than the query's are no candidates. Fewer
-    than k candidates: all of them. Blocks of up to shortlist candidates are scored exactly.
+    than k candidates: all of them. Up to shortlist candidates are all scored exactly.
     """
-    index, books = build_index(df, key, vector)
+    n = max(shortlist, k)
+    rows, index, books = build_index(df, key, vector, block=block)
+    own = keyed(usable(queries, key, vector, nonzero=True), "queries")
+    asked = in_blocks(own, block or QUERIES, lambda x: x.astype(np.float64).tobytes())
     shared = df.sparkSession.sparkContext.broadcast(books)
-    own = usable(queries, key, vector, nonzero=True)
-    return search(own, index, k, "query_id long, vec_id long, score double", "score", block, lambda q, batches: scan(q, batches, shared.value, k, max(shortlist, k + 1)))
+    found = meet(asked, index, lambda keys, ids, q: Estimates(n, shared.value, keys, ids, q), "qkey long, key long, id long, est double", "estimates")
+    short = found.withColumn("place", F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("est"), "id", "key"))).where(F.col("place") <= n).select("qkey", "key")
+    scored = fetched(written(short, "shortlist"), rows, own).withColumn("score", product("q", "vec"))
+    return ranked(scored.select("qkey", "query_id", "id", "key", "score"), k)

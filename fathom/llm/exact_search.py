@@ -6,15 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.vectors import QUERY_BLOCK, matrices, search, usable
+from fathom.llm.common import written
+from fathom.llm.vectors import CANDIDATES, PART, QUERIES, STEP, block_rows, fetched, in_blocks, keyed, meet, product, ranked, usable
 
-#: Cells of each dimension.
-CELLS = 16
-#: Vectors read at once when exact scores are taken in the order of their bounds.
-STEP = 64
+#: Cells of each dimension, a byte each in the file.
+CELLS = 256
+#: Exact vectors read first for each of the k results that are wanted.
+FIRST = 4
 
 
 def integers(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -22,69 +23,76 @@ def integers(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scal
     return usable(df, key, vector).select("id", F.transform("vec", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("vec"))
 
 
-def bounds_of(x: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cell numbers (uint8) of a block's vectors, and the least and greatest value of each dimension's cells."""
-    edges = np.quantile(x, np.linspace(0, 1, cells + 1)[1:-1], axis=0)
-    code = np.zeros(x.shape, np.uint8)
-    for e in edges:
-        code += x > e
-    low, high = np.full((cells, x.shape[1]), np.inf), np.full((cells, x.shape[1]), -np.inf)
-    for c in range(cells):
-        inside = code == c
-        low[c] = np.where(inside, x, np.inf).min(axis=0)
-        high[c] = np.where(inside, x, -np.inf).max(axis=0)
-    return code, np.where(np.isfinite(low), low, 0), np.where(np.isfinite(high), high, 0)
+def approximation(x: np.ndarray, cells: int = CELLS) -> bytes:
+    """A block of the file: the least and greatest value of each dimension's cells, then the cell numbers of all vectors, a byte each. Cells hold about equally many."""
+    d = x.shape[1]
+    edges = np.quantile(x, np.linspace(0, 1, cells + 1)[1:-1], axis=0, method="lower")
+    code, low, high = np.zeros(x.shape, np.uint8), np.zeros((cells, d)), np.zeros((cells, d))
+    for j in range(d):
+        code[:, j] = np.searchsorted(edges[:, j], x[:, j], side="left")
+        least, most = np.full(cells, np.inf), np.full(cells, -np.inf)
+        np.minimum.at(least, code[:, j], x[:, j])
+        np.maximum.at(most, code[:, j], x[:, j])
+        low[:, j], high[:, j] = np.where(np.isfinite(least), least, 0), np.where(np.isfinite(most), most, 0)
+    return low.tobytes() + high.tobytes() + code.tobytes()
 
 
-def scan(queries: dict, batches: Iterator[pa.RecordBatch], k: int, count: list[int] | None = None) -> Iterator[pa.RecordBatch]:
-    """For each block of candidates, the k best of each query.
+class Bounds:
+    """Queries of a block and, of all candidates seen, those whose upper bound reaches the k-th greatest lower bound."""
 
-    The block's approximation gives an upper bound of each inner product: a positive component of the query meets its
-    cell's greatest value, a negative one the least. Exact vectors are read from the largest bound down until the
-    k-th exact score is above the next bound; equal bounds are read too, for ties go to the smaller id.
-    """
-    for batch in batches:
-        all_ids = batch.column("id").to_numpy()
-        for rows, x in matrices(batch):
-            if x.shape[1] not in queries:
-                continue
-            qids, q = queries[x.shape[1]]
-            ids = all_ids[rows]
-            code, low, high = bounds_of(x)
-            dims = np.arange(x.shape[1])
-            up = np.maximum(q, 0) @ high[code, dims].T + np.minimum(q, 0) @ low[code, dims].T
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for j in range(len(qids)):
-                bound = up[j].copy()
-                bound[ids == qids[j]] = -np.inf
-                n, want, seen = int(np.isfinite(bound).sum()), STEP + k, 0
-                order, score = np.zeros(0, np.int64), np.zeros(0)
-                while seen < n:
-                    want = min(want, n)
-                    order = np.argpartition(-bound, want - 1)[:want] if want < len(bound) else np.argsort(-bound)[:want]
-                    order = order[np.argsort(-bound[order], kind="stable")]
-                    score = x[order] @ q[j]
-                    seen = want
-                    if count is not None:
-                        count[0] += want
-                    kth = np.partition(score, -k)[-k] if seen >= k else -np.inf
-                    rest = np.partition(-bound, want)[want] if want < len(bound) else np.inf
-                    if -rest < kth:
-                        break
-                    want *= 4
-                best = np.lexsort((ids[order], -score))[:k]
-                out.append((np.full(len(best), qids[j]), ids[order][best], score[best]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out])), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]).astype(np.int64))], names=["query_id", "vec_id", "score"])
-
-
-def exact_top_k(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, block: int = QUERY_BLOCK) -> DataFrame:
+    def __init__(self, k: int, keys: np.ndarray, ids: np.ndarray, q: np.ndarray):
+        self.k, self.keys, self.ids = k, keys, ids
+        self.plus, self.minus = np.maximum(q, 0).T, np.minimum(q, 0).T
+        self.floor = np.full((len(q), k), -np.inf)  # the k greatest lower bounds
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def see(self, keys: np.ndarray, ids: np.ndarray, data) -> None:
+        d = len(self.plus)
+        low, high = np.frombuffer(data, np.float64, 2 * CELLS * d).reshape(2, CELLS, d)
+        code, dims = np.frombuffer(data, np.uint8, offset=16 * CELLS * d).reshape(-1, d), np.arange(d)
+        for at in range(0, len(code), STEP):
+            least, most = low[code[at : at + STEP], dims], high[code[at : at + STEP], dims]
+            own = ids[at : at + STEP]
+            for j in range(0, len(self.ids), PART):
+                part = slice(j, j + PART)
+                upper = most @ self.plus[:, part] + least @ self.minus[:, part]
+                lower = least @ self.plus[:, part] + most @ self.minus[:, part]
+                self_hit = own[:, None] == self.ids[None, part]
+                upper[self_hit] = lower[self_hit] = -np.inf
+                both = np.concatenate([self.floor[part], lower.T], axis=1)
+                self.floor[part] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
+                row, query = np.nonzero((upper >= self.floor[part].min(1)) & (upper > -np.inf))
+                self.found.append((query + j, at + row, keys[at + row], upper[row, query]))
+
+    def done(self) -> Iterator[pa.RecordBatch]:
+        if self.found:
+            query, _, key, upper = (np.concatenate(c) for c in zip(*self.found, strict=True))
+            keep = upper >= self.floor.min(1)[query]
+            yield pa.RecordBatch.from_arrays([pa.array(self.keys[query[keep]]), pa.array(key[keep]), pa.array(upper[keep])], names=["qkey", "key", "upper"])
+
+
+def exact_top_k(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, block: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the k rows of df with the largest integer inner product for each row of queries.
 
-    A query's own id is no candidate for it. Ties go to the smaller vec_id. Rows of df with equal id and vector are
-    candidates each. Vectors that are null, empty, or hold null, NaN or infinite components take no part on either side;
+    The approximation file holds a byte for each component and each block's cell limits; its scan bounds each inner product (a
+    positive component of the query meets its cell's greatest value, a negative one the least) and keeps what may be among the
+    k best. Exact vectors are then read from the largest upper bound down: FIRST * k for each query, and after those only rows whose
+    bound is not below the k-th exact score; equal bounds are read too, for ties go to the smaller id.
+
+    A query's own id is no candidate for it. Rows of df with equal id and vector are candidates each, and so are repeated rows of queries
+    queries each. Vectors that are null, empty, or hold null, NaN or infinite components take no part on either side;
     vectors of another length than the query's are no candidates for it. Fewer than k candidates: all of them. Scores are
-    exact up to 2**53. The vectors' cells are bounded by the block they are in, so the file needs no global pass.
+    exact up to 2**53.
     """
-    cand, own = integers(df, key, vector, scale), integers(queries, key, vector, scale)
-    return search(own, cand, k, "query_id long, vec_id long, score long", "score", block, lambda q, batches: scan(q, batches, k))
+    cand, own = keyed(integers(df, key, vector, scale), "exact"), keyed(integers(queries, key, vector, scale), "queries")
+    file = in_blocks(cand, block or block_rows(cand, CANDIDATES), approximation)
+    asked = in_blocks(own, block or QUERIES, lambda x: x.astype(np.float64).tobytes())
+    bounds = meet(asked, file, lambda keys, ids, q: Bounds(k, keys, ids, q), "qkey long, key long, upper double", "bounds")
+    order = Window.partitionBy("qkey").orderBy(F.desc("upper"), "key")
+    placed = written(bounds.withColumn("place", F.row_number().over(order)), "order")
+    columns = ["qkey", "query_id", "id", "key", "score"]
+    first = written(fetched(placed.where(F.col("place") <= FIRST * k), cand, own).withColumn("score", product("q", "vec")).select(columns), "first")
+    kth = first.withColumn("n", F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("score")))).where(F.col("n") == k).select("qkey", F.col("score").alias("kth"))
+    rest = placed.where(F.col("place") > FIRST * k).join(kth, "qkey").where("upper >= kth").select("qkey", "key")
+    scored = first.unionByName(fetched(written(rest, "rest"), cand, own).withColumn("score", product("q", "vec")).select(columns))
+    return ranked(scored, k).withColumn("score", F.col("score").cast("long"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fathom.llm import common, components, lines, packing, pieces, quality
 from fathom.llm.ann import ann_search
 from fathom.llm.counts import PrefixCounter, count_tokens
-from fathom.llm.exact_search import exact_top_k, scan
+from fathom.llm.exact_search import Bounds, approximation, exact_top_k
 from fathom.llm.licenses import FILE, NOTICE, corpus_weights, full_texts, inherit, lines_of, notices, scan_texts, terms
 from fathom.llm.minhash import near_duplicates
 from fathom.llm.pieces import encode_pieces
@@ -50,7 +50,7 @@ def vectors_of(spark, n=300, seed=0):
 def test_exact_search_equals_brute_force(spark):
     df, x = vectors_of(spark)
     q = np.floor(256 * x.astype(np.float64)).astype(np.int64)
-    for block in (4096, 7):
+    for block in (None, 37):
         got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in exact_top_k(df, df.where("vec_id % 10 = 0"), 5, block=block).collect()}
         for i in range(0, 300, 10):
             s = (q @ q[i]).astype(np.float64)
@@ -60,14 +60,17 @@ def test_exact_search_equals_brute_force(spark):
 
 
 def test_exact_search_reads_few_vectors():
-    import pyarrow as pa
-
     rng = np.random.default_rng(1)
-    x = np.floor(rng.normal(size=(4000, 8)) * 256)
-    seen = [0]
-    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4000)), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "vec"])
-    list(scan({8: (np.arange(10), x[:10])}, iter([batch]), 5, seen))
-    assert seen[0] < 0.5 * 10 * 4000
+    x = np.floor(rng.normal(size=(4000, 16)) * 256)
+    own = Bounds(5, np.arange(10), np.arange(10), x[:10])
+    own.see(np.arange(4000), np.arange(4000), approximation(x))
+    (batch,) = own.done()
+    assert batch.num_rows < 0.02 * 10 * 4000
+    kept = set(zip(batch.column("qkey").to_pylist(), batch.column("key").to_pylist(), strict=True))
+    for j in range(10):
+        s = x @ x[j]
+        s[j] = -np.inf
+        assert all((j, int(i)) in kept for i in np.argsort(-s)[:5])
 
 
 def test_searches_of_nothing(spark):
@@ -79,10 +82,11 @@ def test_searches_of_nothing(spark):
 
 
 def test_ann_recall_and_scores(spark):
+    """Over many blocks and the production shortlist's share of a larger table."""
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
-    rows = ann_search(df, df.where("vec_id % 100 = 0"), 10, shortlist=100).collect()
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    rows = ann_search(df, df.where("vec_id % 100 = 0"), 10, shortlist=60, block=200).collect()
     d, hit = x.astype(np.float64), 0
     for i in range(0, 3000, 100):
         own = sorted((r["rank"], r.vec_id, r.score) for r in rows if r.query_id == i)
