@@ -13,11 +13,11 @@ from fathom.llm.common import written
 from fathom.llm.vectors import CANDIDATES, PART, QUERIES, STEP, block_rows, fetched, in_blocks, keyed, meet, product, ranked, usable
 
 #: Full-dimensional codebooks, codewords of each, and partial sums kept by the encoder.
-BOOKS, WORDS, BEAM = 32, 256, 4
+BOOKS, WORDS, BEAM = 24, 256, 4
 #: Vectors that codebooks are fitted on at most; all vectors are indexed.
 FIT_ROWS = 8192
 #: Candidates, of all, that are reranked for each query.
-SHORTLIST = 400
+SHORTLIST = 300
 
 
 def fitted(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 6, seed: int = 7) -> np.ndarray:
