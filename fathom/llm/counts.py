@@ -239,6 +239,15 @@ class PrefixCounter:
         fit = [i for i, n in enumerate(self.prefix_counts_plain("".join(units[j:])), 1) if bases[j] + n <= limit] if units else []
         return sum(map(len, units[:j])) + (fit[-1] if fit else 0)
 
+    def fits(self, text: str, own: list[str], counts: np.ndarray, limit: int) -> int:
+        """As longest_prefix, for a text of more tokens than limit whose table is at hand: the stretch that crosses the limit is the only one to be looked at inside, as counts grow from stretch to stretch."""
+        if len(own) == 1 or any(s in text for s in self.special):
+            return self.longest_prefix(text, limit)
+        j = int(np.searchsorted(counts, limit, side="right"))
+        left = limit - (int(counts[j - 1]) if j else 0)
+        fit = [i for i, n in enumerate(self.prefix_counts_plain(own[j]), 1) if n <= left]
+        return sum(map(len, own[:j])) + (fit[-1] if fit else 0)
+
     def longest_prefix(self, text: str, limit: int) -> int:
         """Characters of the longest prefix within limit tokens, as the library would count that prefix on its own."""
         at, left, runs = 0, limit, ["".join(run) for run in self.stretches(text)]
@@ -275,9 +284,9 @@ def count_tokens(df: DataFrame, vocab_path: str, text: str = "text", limit: int
             for part in slices(batch, inner):
                 totals, fits = [], []
                 for x in part.column(inner).to_pylist():
-                    counts = own.table(x or "")[1]
+                    parts, counts = own.table(x or "")
                     totals.append(int(counts[-1]) if len(counts) else 0)
-                    fits.append(len(x or "") if totals[-1] <= limit else own.longest_prefix(x, limit))
+                    fits.append(len(x or "") if totals[-1] <= limit else own.fits(x, parts, counts, limit))
                 arrays = [part.column(i) for i, c in enumerate(part.schema.names) if c != inner]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(totals, pa.int64()), pa.array(fits, pa.int64())], names=schema.names)
 
