@@ -20,6 +20,8 @@ TERMS = PAIRS + WORDS + VARIETY + REPEATS
 DIMS, FIT_ROWS, NEIGHBOURS = 64, 4096, 15
 #: Scales of pseudo-terms that fitting chooses among, and labelled rows that it compares them on at most.
 SCALES, SCALE_ROWS = (0.0, 1.0, 2.0, 4.0, 8.0, 16.0), 1024
+#: Labelled rows whose weights the driver holds at once.
+FIT_BLOCK = 256
 #: Bytes of text whose terms and cosine products are held at once, and bytes of a long text whose terms are.
 BLOCK_BYTES, WINDOW = 1 << 20, 1 << 18
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -145,27 +147,30 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
     return int(out[TERMS]), out[:TERMS]
 
 
-def projection(weighted: np.ndarray, dims: int) -> np.ndarray:
-    """The leading right singular vectors, by subspace iteration from a fixed start."""
-    k = min(dims, *weighted.shape)
-    start = np.random.default_rng(13).normal(size=(weighted.shape[1], min(k + 16, *weighted.shape))).astype(np.float32)
-    q = np.linalg.qr(weighted @ start)[0]
+def projection(counts: np.ndarray, idf: np.ndarray, dims: int) -> np.ndarray:
+    """The leading right singular vectors of the weighted rows of length 1, by subspace iteration from a fixed start. FIT_BLOCK rows are held as such at a time."""
+    k = min(dims, *counts.shape)
+    parts = [slice(at, at + FIT_BLOCK) for at in range(0, len(counts), FIT_BLOCK)]
+    rows = lambda part: unit(counts[part].astype(np.float32) * idf)
+    out = lambda x: np.concatenate([rows(p) @ x for p in parts])
+    back = lambda y: sum(rows(p).T @ y[p] for p in parts)
+    start = np.random.default_rng(13).normal(size=(counts.shape[1], min(k + 16, *counts.shape))).astype(np.float32)
+    q = np.linalg.qr(out(start))[0]
     for _ in range(4):
-        q = np.linalg.qr(weighted @ np.linalg.qr(weighted.T @ q)[0])[0]
-    return np.ascontiguousarray(np.linalg.svd(q.T @ weighted, full_matrices=False)[2][:k].T)
+        q = np.linalg.qr(out(np.linalg.qr(back(q))[0]))[0]
+    return np.ascontiguousarray(np.linalg.svd(back(q).T, full_matrices=False)[2][:k].T)
 
 
 def learned_scales(counts: np.ndarray, labels: np.ndarray, idf: np.ndarray, dims: int, neighbours: int = NEIGHBOURS) -> tuple[float, float]:
     """Scales of the two kinds of pseudo-terms, one after the other: those with the least squared error when each labelled row is scored by the others."""
-    counts, labels = counts[:SCALE_ROWS], labels[:SCALE_ROWS]
+    counts, labels = counts[:SCALE_ROWS].astype(np.float32), labels[:SCALE_ROWS]
     best = [1.0, 1.0]
     if len(labels) < 3 or labels.min() == labels.max():
         return 1.0, 1.0
 
     def error(scales: list[float]) -> float:
         own = weights(idf, *scales)
-        weighted = unit(counts * own)
-        x = unit(weighted @ projection(weighted, dims))
+        x = latent(counts, own, projection(counts, own, dims))
         products = x @ x.T
         np.fill_diagonal(products, -1)
         scores = vote_products(products, labels, neighbours)
@@ -204,17 +209,22 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for batch in batches:
             for part in slices(batch, "text", BLOCK_BYTES):
                 counts = term_counts(as_bytes(part.column("text"))).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("t"), pa.array([c.tobytes() for c in counts], pa.binary()), part.column("label")], names=["h", "t", "counts", "label"])
+                packed = [np.flatnonzero(c).astype(np.uint16).tobytes() + c[c != 0].tobytes() for c in counts]  # two bytes a place, two a value
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("t"), pa.array(packed, pa.binary()), part.column("label")], names=["h", "t", "counts", "label"])
 
     with small_batches(docs.sparkSession):
         rows = chosen.mapInArrow(run, "h long, t long, counts binary, label double").orderBy("h", "t", "label").limit(fit_rows).collect()
     if not rows:
         return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32))
-    counts = np.frombuffer(b"".join(bytes(r.counts) for r in rows), np.float16).reshape(len(rows), TERMS).astype(np.float32)
-    known = np.array([r.label for r in rows], np.float32)
+    counts, known = np.zeros((len(rows), TERMS), np.float16), np.array([r.label for r in rows], np.float32)
+    for i, r in enumerate(rows):
+        half = len(r.counts) // 4
+        counts[i, np.frombuffer(r.counts, np.uint16, half)] = np.frombuffer(r.counts, np.float16, half, 2 * half)
+    del rows
     idf = weights(idf, *learned_scales(counts, known, idf, dims))
-    project = projection(unit(counts * idf), dims)
-    return Model(idf, project, latent(counts, idf, project), known)
+    project = projection(counts, idf, dims)
+    vectors = np.concatenate([latent(counts[at : at + FIT_BLOCK].astype(np.float32), idf, project) for at in range(0, len(counts), FIT_BLOCK)])
+    return Model(idf, project, vectors, known)
 
 
 def vote_products(products: np.ndarray, labels: np.ndarray, neighbours: int) -> np.ndarray:
