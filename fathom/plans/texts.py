@@ -173,12 +173,15 @@ def binary_quantize(spark, d):
     return vectors(spark, d).select("id", bits.alias("bits"), F.aggregate(bits, F.lit(0), lambda a, x: a + x).cast("long").alias("ones"))
 
 
-@query()
+_F8 = "least(abs(x), 448)"
+
+
+@query(f"with {V} select id, list_transform(v, lambda x: case when x = 0 then 0 else sign(x) * least(448, round_even({_F8} / pow(2, greatest(floor(log2({_F8})), -6) - 3), 0) * pow(2, greatest(floor(log2({_F8})), -6) - 3)) end::double) as values from v")
 def float8_quantize(spark, d):
     return vectors(spark, d).select("id", encode.float8("v").alias("values"))
 
 
-@query()
+@query(f"with {V}, t as (select id, unnest([0, 1, 2, 3]) as i, unnest([v[1:16], v[17:32], v[33:48], v[49:64]]) as x from v), n as (select id, i, sqrt(list_inner_product(x, x)) as norm from t), r as (select *, row_number() over (partition by id order by norm desc, i) as place from n) select id, count(*)::int as n_tokens, list(round(norm, 6) order by i) as norms from r where place <= 2 group by id")
 def token_pruning(spark, d):
     kept = encode.pruned_tokens(dense.tokens("v", 16))
     return vectors(spark, d).select("id", F.size(kept).alias("n_tokens"), F.transform(kept, lambda x: F.round(dense.norm(x), 6)).alias("norms"))
