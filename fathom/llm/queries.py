@@ -20,22 +20,26 @@ from fathom.llm.shards import external_shuffle
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of every 50th vector by integer inner product. Unusable vectors take no part; an empty table has no rows."""
     vectors = table(spark, sf_dir, "embeddings")
     return exact_top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document before and after boilerplate goes, with the hash of what is left. A null text stays null, with no lines."""
     cleaned = remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of equally many rows. Null texts have size 8 and the checksum of an empty text; repeated rows have a slot each."""
     dealt = external_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
     return dealt.select("doc_id", "size", crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored. Null, empty and one-byte texts score 0; a null doc_id is not held out; repeated rows share their score."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
     with small_batches(spark):
@@ -44,22 +48,25 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th vector that the index finds. Unusable and zero vectors take no part; an empty table has no rows."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann_search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component over 2-word shingles. Texts without words are linked with nothing; rows of one doc_id are one document."""
     return near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded; null counts as empty: no ids and hashes of empty strings. Repeated rows have a row each."""
     coded = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files at source/lang/doc_id."""
+    """Documents as files at source/lang/doc_id (a null part is empty, a null doc_id ends the path at the language). Null and empty texts have no licence of their own."""
     docs = table(spark, sf_dir, "documents")
     files = docs.select("doc_id", "text", F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string")).alias("path"))
     found = scan_texts(files, corpus_weights(files), keep=["doc_id", "path"])
@@ -69,13 +76,14 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text counted; null counts as empty: 0 bytes, 0 tokens. fits_chars is the longest prefix within 512 tokens. Repeated rows have a row each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", utf8_bytes("text").alias("n_bytes"))
     counted = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "fits_chars")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bins of 2,048 tokens; texts that differ in case and white space alone are copies."""
+    """Bins of 2,048 tokens; texts that differ in case and white space alone are copies. Null and empty texts lie in no bin; repeated rows are copies of each other."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", same_words().alias("cluster"))
     counted = token_lengths(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return pack(counted, F.col("n_tokens"), F.col("cluster"))
