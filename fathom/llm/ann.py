@@ -18,6 +18,8 @@ BOOKS, WORDS, BEAM = 24, 256, 4
 FIT_ROWS = 8192
 #: Candidates, of all, that are reranked for each query.
 SHORTLIST = 300
+#: Candidates whose estimates are summed at once.
+LOOKED_UP = 512
 
 
 def fitted(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 6, seed: int = 7) -> np.ndarray:
@@ -40,14 +42,18 @@ def fitted(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int =
 def encoded(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Codes (rows, books) by beam search over sums of one codeword of each book, and the norms of those sums."""
     n, d = x.shape
-    left, codes = x.astype(np.float32)[:, None, :], np.zeros((n, 1, 0), np.uint8)
+    left, codes, rows = x.astype(np.float32)[:, None, :], np.zeros((n, 1, 0), np.uint8), np.arange(n)
     for own in books:
         width = left.shape[1]
-        # |left - word|^2 - the part that no choice changes is kept, as partial sums differ in it
-        cost = ((left**2).sum(2)[:, :, None] - 2 * (left.reshape(-1, d) @ own.T).reshape(n, width, -1) + (own**2).sum(1)).reshape(n, -1)
-        keep = min(beam, cost.shape[1])
-        at = np.argpartition(cost, keep - 1, axis=1)[:, :keep]
-        at = np.take_along_axis(at, np.argsort(np.take_along_axis(cost, at, 1), axis=1, kind="stable"), 1)
+        # |left - word|^2
+        cost = (left.reshape(-1, d) @ (-2 * own.T)).reshape(n, width, -1)
+        cost += np.einsum("nwd,nwd->nw", left, left)[:, :, None]
+        cost += (own**2).sum(1)
+        cost = cost.reshape(n, -1)
+        at = np.empty((n, min(beam, cost.shape[1])), np.int64)
+        for j in range(at.shape[1]):  # a few passes for the least cost each; of equal ones the first
+            at[:, j] = cost.argmin(1)
+            cost[rows, at[:, j]] = np.inf
         src, word = at // len(own), at % len(own)
         left = np.take_along_axis(left, src[:, :, None], 1) - own[word]
         codes = np.concatenate([np.take_along_axis(codes, src[:, :, None], 1), word[:, :, None].astype(np.uint8)], axis=2)
@@ -122,8 +128,9 @@ class Estimates:
                 i, k = ids[at : at + STEP], keys[at : at + STEP]
                 if tables is not None:
                     est = np.zeros((len(i), tables.shape[2]), np.float32)
-                    for m in range(len(tables)):
-                        est += tables[m][codes[at : at + STEP, m]]
+                    for near in range(0, len(i), LOOKED_UP):  # sums that stay in the cache
+                        for m in range(len(tables)):
+                            est[near : near + LOOKED_UP] += tables[m].take(codes[at + near : at + min(near + LOOKED_UP, len(i)), m], axis=0)
                     est = (est * factor[at : at + STEP, None]).T
                 else:
                     est = self.q[part] @ exact[at : at + STEP].T
