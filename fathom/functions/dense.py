@@ -110,6 +110,26 @@ def maxsim(query: Column | str, doc: Column | str, shifted: bool = True) -> Colu
     return F.when((F.size(col(query)) > 0) & (F.size(col(doc)) > 0), total(best) / F.size(col(query))).otherwise(F.lit(0.0))
 
 
+def maxsim_early(query: Column | str, doc: Column | str, enough: float) -> Column:
+    """Raw MaxSim that takes for each token of the query the document's first cosine of `enough` or more, and the best where none is."""
+
+    def best(q: Column) -> Column:
+        near = F.transform(col(doc), lambda d: cosine(q, d))
+        return F.coalesce(F.try_element_at(F.filter(near, lambda s: s >= enough), F.lit(1)), F.array_max(near))
+
+    return F.when((F.size(col(query)) > 0) & (F.size(col(doc)) > 0), total(F.transform(col(query), best)) / F.size(col(query))).otherwise(F.lit(0.0))
+
+
+def token_alignments(query: Column | str, doc: Column | str) -> Column:
+    """For each token of the query (query_token, doc_token, similarity), numbered from 0: the document's nearest by cosine, the first of equals. An empty side has none."""
+
+    def best(q: Column, i: Column) -> Column:
+        most = F.array_max(F.transform(col(doc), lambda d, j: F.struct(cosine(q, d).alias("s"), (-j).alias("j"))))
+        return F.struct(i.cast("int").alias("query_token"), (-most["j"]).cast("int").alias("doc_token"), most["s"].alias("similarity"))
+
+    return F.when(F.size(col(doc)) > 0, F.transform(col(query), best)).otherwise(F.array().cast("array<struct<query_token:int,doc_token:int,similarity:double>>"))
+
+
 def maxsim_symmetric(a: Column | str, b: Column | str, shifted: bool = True) -> Column:
     return (maxsim(a, b, shifted) + maxsim(b, a, shifted)) / 2
 

@@ -71,6 +71,17 @@ def proximity(d: Column, most: float, exponential_fall: bool = False) -> Column:
     return F.when(d > most, 0.0).otherwise(fall)
 
 
+def directed(score: Column, own: Column, anchor: Column, own_ms: Column, anchor_ms: Column, direction: str) -> Column:
+    """score where a memory stands before or after an anchor (or both: anywhere), else 0: by numbers in the session where both have one, else by time, with a millisecond of grace after."""
+    known = own.isNotNull() & anchor.isNotNull()
+    right = {
+        "before": F.when(known, own < anchor).otherwise(own_ms < anchor_ms),
+        "after": F.when(known, own > anchor).otherwise(own_ms > anchor_ms + 1),
+        "both": F.lit(True),
+    }[direction]
+    return F.when(right, score).otherwise(0.0)
+
+
 def boosted(score: Column, factor: Column, weight: float) -> Column:
     """score * clamp(1 + weight * (factor - 0.5), 0.8, 1.2)."""
     return score * F.least(F.greatest(1 + weight * (factor - 0.5), F.lit(0.8)), F.lit(1.2))

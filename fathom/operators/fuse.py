@@ -129,6 +129,30 @@ def space_correlation(ranked: DataFrame, spaces: list[str]) -> DataFrame:
     return row.select(F.inline(entries))
 
 
+#: First place and number of the spaces of each group, in the order semantic, temporal, structural, experiential (fixed values).
+GROUPS = ((0, 3), (3, 3), (6, 3), (9, 4))
+
+
+def alignment_fusion(alignments: Column) -> Column:
+    """Of the 13 alignments of a row (0..1): mean of each group, confidence, how many are over 0.1, and the group with the greatest mean, the last of equals.
+
+    Confidence is half the mean of all and half that of the groups, times the share of alignments over 0.1. A value out of range is an error.
+    """
+    a = F.when(F.exists(alignments, lambda x: x.isNull() | (x < 0) | (x > 1)) | (F.size(alignments) != 13), F.raise_error(F.lit("13 alignments within 0..1 are needed"))).otherwise(alignments)
+    groups = F.array(*[sum((F.get(a, F.lit(i)) for i in range(at + 1, at + n)), F.get(a, F.lit(at))) / n for at, n in GROUPS])
+    active = F.size(F.filter(a, lambda x: x > 0.1))
+    confidence = (0.5 * dense.total(a) / 13 + 0.5 * dense.total(groups) / 4) * active / 13
+    dominant = (F.size(groups) - F.array_position(F.reverse(groups), F.array_max(groups))).cast("int")
+    return F.struct(groups.alias("groups"), confidence.alias("confidence"), active.alias("active"), dominant.alias("dominant"))
+
+
+def cross_correlations(parts: dict[str, Column], weights: dict[tuple[str, str], float] | None = None, least: float = 0.01) -> Column:
+    """(space_a, space_b, value) of all pairs of a row's spaces: cosine of their vectors times the pair's weight (1 without one); nearer to 0 than `least` counts as 0."""
+    pairs = [(a, b) for i, a in enumerate(parts) for b in list(parts)[i + 1 :]]
+    value = lambda a, b: dense.cosine(parts[a], parts[b]) * float((weights or {}).get((a, b), 1.0))
+    return F.array(*[F.struct(F.lit(a).alias("space_a"), F.lit(b).alias("space_b"), F.when(F.abs(value(a, b)) < least, 0.0).otherwise(value(a, b)).alias("value")) for a, b in pairs])
+
+
 def multi_utl(semantic: Column, coherence: Column, phi: float = 0.0, lambda_s: float = 1.0, lambda_c: float = 1.0, w_e: float = 1.0, tau: list[float] | None = None) -> Column:
     """Sigmoid of 2 * weighted semantic changes * weighted coherence changes * w_e * cos(phi); weights are even unless tau is given."""
     import math

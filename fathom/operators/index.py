@@ -80,16 +80,10 @@ class ListIndex:
         def nearest(own: pa.Table) -> pa.Table:
             part = own.column("part").to_numpy()
             ids, x = own.column("id").to_numpy(), np.array(own.column("v").to_pylist())
-            a, b, found = ids[part == 0], ids[part == 1], np.zeros((0, 0))
+            a, b = ids[part == 0], ids[part == 1]
             if not len(a) or not len(b):
                 return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-            found = np.round(retrieve.matrix_cosine(x[part == 0], x[part == 1]), 6)
-            found = np.where(a[:, None] == b[None, :], -np.inf, found)
-            n = min(k, len(b))
-            at = np.lexsort((np.broadcast_to(b, found.shape), -found), axis=1)[:, :n]
-            i, j = np.repeat(np.arange(len(a)), n), at.ravel()
-            real = np.isfinite(found[i, j])
-            return pa.table({"a": a[i][real], "b": b[j][real], "score": found[i, j][real]})
+            return pa.table(dict(zip(("a", "b", "score"), retrieve.best_of(a, b, retrieve.matrix_cosine(x[part == 0], x[part == 1]), k), strict=True)))
 
         pairs = left.unionByName(right).groupBy("list", "g", "h").applyInArrow(nearest, "a long, b long, score double").groupBy("a", "b").agg(F.max("score").alias("score"))
         w = Window.partitionBy("a").orderBy(F.desc("score"), "b")

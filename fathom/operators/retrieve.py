@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +64,42 @@ def grid(rows: DataFrame, block: int, half: bool) -> tuple[DataFrame, int]:
     return left.unionByName(right).drop("g", "h"), side
 
 
+def best_of(a: np.ndarray, b: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, score) of each a's k largest scores, by score, then b; its own id left out."""
+    found = np.where(a[:, None] == b[None, :], -np.inf, np.round(found, 6))
+    n = min(k, len(b))
+    order = np.lexsort((np.broadcast_to(b, found.shape), -found), axis=1)[:, :n]
+    i, j = np.repeat(np.arange(len(a)), n), order.ravel()
+    real = np.isfinite(found[i, j])
+    i, j = i[real], j[real]
+    return a[i], b[j], found[i, j]
+
+
+def nearest_of(queries: DataFrame, df: DataFrame, key: str, vector: str, compare: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int, block: int = 4096) -> DataFrame:
+    """(a, b, score, rank): for each row of queries (a) the k best rows of df (b), its own id left out, by score, then id.
+
+    Both sides are dealt by hash to blocks of about `block` rows. Each pair of blocks meets in one task as one matrix product and
+    leaves k rows for each of its queries; neither side is broadcast, whatever its size.
+    """
+    own = lambda t: t.select(F.col(key).cast("long").alias("id"), dense.vec(vector).alias("vec")).where("id is not null and vec is not null")
+    q, rows = own(queries), own(df)
+    nq, nr = (max(1, -(-t.count() // block)) for t in (q, rows))
+    cell = lambda t, n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = q.withColumn("g", cell(q, nq)).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).withColumn("part", F.lit(0))
+    right = rows.withColumn("h", cell(rows, nr)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumn("part", F.lit(1))
+
+    def meet(held: pa.Table) -> pa.Table:
+        part, ids = held.column("part").to_numpy(), held.column("id").to_numpy()
+        if part.all() or not part.any():
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        x = np.stack(held.column("vec").to_pandas().to_numpy())
+        found = best_of(ids[part == 0], ids[part == 1], compare(x[part == 0], x[part == 1]), k)
+        return pa.table(dict(zip(("a", "b", "score"), found, strict=True)))
+
+    pairs = left.unionByName(right).groupBy("g", "h").applyInArrow(meet, "a long, b long, score double")
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("rank") <= k)
+
+
 def theta_pairs(df: DataFrame, key: str, vector: str, compare: Callable[[np.ndarray, np.ndarray], np.ndarray], keep: Callable[[np.ndarray], np.ndarray] | None = None, best: int = 0, block: int = 2048, target: str | None = None) -> DataFrame:
     """(a, b, score) for pairs of rows: those that `keep` accepts, with a < b, or the `best` of each a (both directions).
 
@@ -81,17 +118,10 @@ def theta_pairs(df: DataFrame, key: str, vector: str, compare: Callable[[np.ndar
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
         found = compare(x, y)
         if best:
-            found = np.where(a[:, None] == b[None, :], -np.inf, np.round(found, 6))
-            n = min(best, len(b))
-            order = np.lexsort((np.broadcast_to(b, found.shape), -found), axis=1)[:, :n]
-            i, j = np.repeat(np.arange(len(a)), n), order.ravel()
-            real = np.isfinite(found[i, j])
-            i, j = i[real], j[real]
-        else:
-            inside = int(own["cell"].iloc[0]) // side == int(own["cell"].iloc[0]) % side
-            i, j = np.nonzero(keep(found) & ((a[:, None] < b[None, :]) if inside else (a[:, None] != b[None, :])))
-            return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "score": found[i, j]})
-        return pd.DataFrame({"a": a[i], "b": b[j], "score": found[i, j]})
+            return pd.DataFrame(dict(zip(("a", "b", "score"), best_of(a, b, found, best), strict=True)))
+        inside = int(own["cell"].iloc[0]) // side == int(own["cell"].iloc[0]) % side
+        i, j = np.nonzero(keep(found) & ((a[:, None] < b[None, :]) if inside else (a[:, None] != b[None, :])))
+        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "score": found[i, j]})
 
     pairs = both.groupBy("cell").applyInPandas(scored, "a long, b long, score double")
     if not best:

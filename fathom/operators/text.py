@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from fathom.functions.dense import col
 
 from fathom.functions.lexicon import (
-    CAUSE_SIGNS, CODE_SIGNS, COMMON_WORDS, DOMAIN_SIGNS, EFFECT_SIGNS, ENTITIES, NEGATIONS, PRODUCES_SIGNS, RELATION_SIGNS, RESULTS_SIGNS, SOURCE_SIGNS, STOP_WORDS, TARGET_SIGNS,
+    CAUSE_SIGNS, CODE_SIGNS, COMMON_WORDS, DOMAIN_SIGNS, EFFECT_SIGNS, ENTITIES, NEGATIONS, PRODUCES_SIGNS, PROFILE_WORDS, RELATION_SIGNS, RESULTS_SIGNS, SOURCE_SIGNS, STOP_WORDS,
+    TARGET_SIGNS,
 )
 
 CODE_WORDS, ENTITY_WORDS = ("function", "class", "method", "implement", "struct", "code"), ("who", "entity", "person", "company", "organization")
@@ -199,6 +200,16 @@ def route(text: Column | str) -> Column:
     return F.when(_has(t, CODE_WORDS), "code").when(intent(text) != "unknown", "causal").when(_has(t, ENTITY_WORDS), "entity").otherwise("general")
 
 
+def profile_match(text: Column | str) -> Column:
+    """(profile, similarity): the profile with most of its words in the text, a fifth for each and 1 at most, the first of equals; of no word the first, with 0.1."""
+    t = F.lower(F.coalesce(col(text), F.lit("")))
+    share = lambda words: F.least(F.lit(1.0), F.lit(0.2) * sum((F.contains(t, F.lit(w)).cast("int") for w in words), F.lit(0)))
+    each = [F.struct(share(words).alias("similarity"), F.lit(-i).alias("place"), F.lit(name).alias("profile")) for i, (name, words) in enumerate(PROFILE_WORDS.items())]
+    best, first = F.greatest(*each), next(iter(PROFILE_WORDS))
+    some = best["similarity"] > 0
+    return F.struct(F.when(some, best["profile"]).otherwise(first).alias("profile"), F.when(some, best["similarity"]).otherwise(0.1).alias("similarity"))
+
+
 def content_hash(text: Column | str) -> Column:
     return F.sha2(F.trim(F.lower(col(text))), 256)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import dense, sets
@@ -73,14 +73,12 @@ def knn_prefix_slice(spark, d):
     return retrieve.knn(others(df), dense.cos01(F.slice("v", 1, 16), F.slice(query_of(df), 1, 16)), 10, "id")
 
 
-@query(f"with {V}, t as (select a.id as query_id, b.id, round((list_cosine_similarity(a.v, b.v) + 1) / 2, 6) as score from v a join v b on a.id <> b.id where a.id < 20) select * from (select query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from t) where rank <= 5")
+@query(f"with {V}, t as (select a.id as query_id, b.id, round((list_cosine_similarity(a.v, b.v) + 1) / 2, 6) as score from v a join v b on a.id <> b.id where a.id % 100 = 0) select * from (select query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from t) where rank <= 5")
 def knn_batch(spark, d):
-    """Twenty queries against all vectors; the queries are a broadcast of twenty rows."""
+    """Every hundredth vector against all others, in blocks."""
     df = vectors(spark, d)
-    q = F.broadcast(df.where("id < 20").select(F.col("id").alias("query_id"), F.col("v").alias("qv")))
-    scored = df.join(q, F.col("id") != F.col("query_id")).select("query_id", "id", F.round(dense.cos01("v", "qv"), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+    found = retrieve.nearest_of(df.where("id % 100 = 0"), df, "id", "v", retrieve.matrix_cos01, 5)
+    return found.select(F.col("a").alias("query_id"), F.col("b").alias("id"), "score", "rank")
 
 
 @query(f"with {V} select a.id as a, b.id as b, round((list_cosine_similarity(a.v, b.v) + 1) / 2, 6) as score from v a join v b on a.id < b.id where (list_cosine_similarity(a.v, b.v) + 1) / 2 >= 0.7")
