@@ -103,7 +103,9 @@ def cutoffs(holdout: DataFrame, risk: float = RISK, fail: float = FAIL) -> DataF
     strata = counts.where("good = 1 and rule = 'symbols'").groupBy("stratum").agg(F.sum("n").alias("n"))
     tests = len(CUTOFFS) * max(1, strata.count())
     allowed = strata.select("stratum", most_rejected(F.col("n"), risk / len(CUTOFFS), F.lit(fail / tests)).alias("most")).where("most >= 0")
-    reached = counts.where("b > 0").select("stratum", "rule", "good", "n", F.explode(F.sequence(F.lit(1), F.col("b"))).alias("j"))
+    # a value over b cutoffs is over the last b, the strict ones
+    steps_of = F.coalesce(*[F.when(F.col("rule") == r, len(own)) for r, own in CUTOFFS.items()])
+    reached = counts.where("b > 0").select("stratum", "rule", "good", "n", F.explode(F.sequence(steps_of - F.col("b") + 1, steps_of)).alias("j"))
     sums = reached.groupBy("stratum", "rule", "j").agg(F.sum(F.when(F.col("good") == 1, F.col("n")).otherwise(0)).alias("lost"), F.sum(F.when(F.col("good") == 0, F.col("n")).otherwise(0)).alias("caught"))
     certain = sums.join(allowed, "stratum").where("lost <= most and caught > lost")
     best = certain.groupBy("stratum", "rule").agg(F.max(F.struct((F.col("caught") - F.col("lost")).alias("gain"), (-F.col("j")).alias("j"))).alias("m")).select("stratum", "rule", (-F.col("m.j")).alias("j"))
