@@ -14,12 +14,26 @@ from pyspark.sql import types as T
 from fathom.llm.common import free_name, slices, worker_cache
 
 MARK = "▁"
-#: Entries of a worker's chunk table; a full table is emptied, which costs time and changes no result.
-TABLE_ENTRIES = 400_000
+#: Entries of a worker's chunk table and ids that they hold; a full table is emptied, which costs time and changes no result.
+TABLE_ENTRIES, TABLE_IDS = 400_000, 4_000_000
 #: Chunks longer than this (characters) are segmented but not kept.
 LONG_CHUNK = 256
 
 
+class Grown:
+    """An array that grows by doubling, so that adding to it costs what is added."""
+
+    def __init__(self, kind: type):
+        self.data, self.n = np.zeros(1024, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        need = self.n + len(values)
+        if need > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(max(need, 2 * len(self.data)) - self.n, self.data.dtype)])
+        self.data[self.n : need] = values
+        self.n = need
+
+
 class ChunkTable:
     """Distinct marked words and their ids, flat: ids[starts[k]:starts[k] + lengths[k]] belong to chunk k."""
 
@@ -34,44 +48,54 @@ class ChunkTable:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.starts, self.lengths = Grown(np.int32), Grown(np.int64), Grown(np.int64)
 
-    def add(self, chunks: list[str]) -> None:
+    def segmented(self, chunks: list[str]) -> list[list[int]]:
         alone = [self.model.piece_to_id(MARK)]  # a mark with nothing behind it
-        coded = [x if c else alone for c, x in zip(chunks, self.model.encode(chunks, num_threads=1), strict=True)]
+        return [x if c else alone for c, x in zip(chunks, self.model.encode(chunks, num_threads=1), strict=True)]
+
+    def add(self, chunks: list[str]) -> None:
+        coded = self.segmented(chunks)
         lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        starts = len(self.ids) + np.cumsum(lengths) - lengths
-        flat = np.fromiter((i for x in coded for i in x), np.int32, int(lengths.sum()))
-        at = len(self.starts)
-        self.ids, self.starts, self.lengths = np.concatenate([self.ids, flat]), np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+        at = self.starts.n
+        self.starts.extend(self.ids.n + np.cumsum(lengths) - lengths)
+        self.lengths.extend(lengths)
+        self.ids.extend(np.fromiter((i for x in coded for i in x), np.int32, int(lengths.sum())))
         self.index.update(zip(chunks, range(at, at + len(chunks)), strict=True))
 
+    def joined(self, own: list[str]) -> np.ndarray:
+        """Ids of chunks that are in the table."""
+        at = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))
+        lengths = self.lengths.data[at]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids.data[np.repeat(self.starts.data[at] - ends + lengths, lengths) + np.arange(total)]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text: its chunks are looked up, unknown ones segmented once, and ids joined back by position."""
+        """Ids of each text: its chunks are looked up, unknown ones segmented once, and ids joined back by position. Long chunks are segmented beside the table, and forgotten with the call."""
         if not self.separable:
             return [np.asarray(x, np.int32) for x in self.model.encode(texts, num_threads=1)]
         words = [chunks_of(x) for x in texts]
-        new = list({w for own in words for w in own}.difference(self.index))
-        if len(self.index) + len(new) > TABLE_ENTRIES:
+        new = {w for own in words for w in own}.difference(self.index)
+        beside = [w for w in new if len(w) > LONG_CHUNK]
+        new.difference_update(beside)
+        if len(self.index) + len(new) > TABLE_ENTRIES or self.ids.n > TABLE_IDS:
             self.clear()
-            new = list({w for own in words for w in own})
+            new = {w for own in words for w in own}.difference(beside)
         if new:
-            self.add(new)
+            self.add(list(new))
+        if not beside:
+            return [self.joined(own) for own in words]
+        long = {w: np.asarray(x, np.int32) for w, x in zip(beside, self.segmented(beside), strict=True)}
         out = []
         for own in words:
-            at = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))
-            lengths = self.lengths[at]
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.ids[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(total)])
-        if any(len(w) > LONG_CHUNK for w in new):
-            self.forget()
+            parts, start = [], 0
+            for i in (i for i, w in enumerate(own) if w in long):
+                parts += [self.joined(own[start:i]), long[own[i]]]
+                start = i + 1
+            out.append(np.concatenate([*parts, self.joined(own[start:])]))
         return out
 
-    def forget(self) -> None:
-        for w in [w for w in self.index if len(w) > LONG_CHUNK]:
-            del self.index[w]
-
 
 def chunks_of(text: str) -> list[str]:
     """Inputs for the library, one for each chunk: it puts a mark before each itself. An empty text has none."""
