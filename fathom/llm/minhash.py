@@ -23,6 +23,8 @@ SKETCH_MOST = 41
 CELLS = 1 << 18
 #: Sets that share a prefix shingle beyond which they are dealt to blocks.
 MANY = 2048
+#: Pairs of one document that a task verifies one after another; the pairs of a document with more are dealt to several.
+HUB = 512
 #: Rows up to which ids and pairs are broadcast (16 bytes each at most); beyond it they are joined by shuffle.
 BROADCAST_IDS = 200_000
 _SEED = 20240
@@ -146,7 +148,7 @@ def _prefix(n: int, percent: int) -> int:
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, id, n, label, sketch, place): of each set the shingles rarest among all these sets that _least_sizes asks for, with their place in that order."""
+    """(token, id, n, label, sketch, place): of each set the shingles rarest among all these sets that _prefix asks for, with their place in that order."""
     rank = sets.sparkSession.sparkContext.broadcast(frequencies(sets))  # CELLS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,19 +171,24 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
 
     Similar sets have 100 * both >= percent * (|x| + |y| - both). All they share comes at or after the first shared shingle, so there
     must be that many from its place on in either; a set with more shingles of its own before it is passed over.
+    Of a shingle's sets those with its most frequent label are the one side only: a family of near copies does not meet itself, and what is
+    enumerated is within four times the pairs of different labels.
     Shingles of more than MANY sets are dealt to a square of blocks, so a task meets bounded parts of them.
     """
-    busy = written(rows.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > MANY).select("token", F.ceil(F.col("c") / MANY).cast("int").alias("of")), "busy")
+    labelled = rows.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("c"), F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels"))
+    labelled = written(labelled.where("labels > 1").select("token", "c", F.col("m.label").alias("main")), "labelled")
+    mixed = F.broadcast(labelled.select("token", "main")) if labelled.count() <= BROADCAST_IDS else labelled.select("token", "main")
+    rows = rows.join(mixed, "token")
+    busy = written(labelled.where(F.col("c") > MANY).select("token", F.ceil(F.col("c") / MANY).cast("int").alias("of")), "busy")
     busy = F.broadcast(busy) if busy.count() <= BROADCAST_IDS else busy
     dealt = rows.join(busy, "token", "left").withColumn("of", F.coalesce("of", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("of") - 1))
-    # of the smaller set the place must leave 2p/(100+p) of it
-    first = F.expr(f"(n - place) * {100 + percent} >= n * {2 * percent}")
-    x = dealt.where(first).withColumn("other", others).select("token", F.col("own").alias("i"), F.col("other").alias("j"), "id", "n", "label", "sketch", "place")
-    y = dealt.withColumn("other", others).select("token", F.col("other").alias("i"), F.col("own").alias("j"), "id", "n", "label", "sketch", "place")
+    x = dealt.where("label != main").withColumn("other", others).select("token", F.col("own").alias("i"), F.col("other").alias("j"), "id", "n", "label", "sketch", "place", "main")
+    y = dealt.withColumn("other", others).select("token", F.col("other").alias("i"), F.col("own").alias("j"), "id", "n", "label", "sketch", "place", "main")
     x, y = x.toDF("token", "i", "j", *[f"{c}_x" for c in x.columns[3:]]), y.toDF("token", "i", "j", *[f"{c}_y" for c in y.columns[3:]])
     left = F.expr(f"least(n_x - place_x, n_y - place_y) * {100 + percent} >= (n_x + n_y) * {percent}")
-    met = x.join(y, ["token", "i", "j"]).where("(n_x < n_y or (n_x = n_y and id_x < id_y)) and label_x != label_y").where((F.col("n_x") * 100 >= F.col("n_y") * percent) & left & _near("sketch_x", "sketch_y"))
+    # two sets beside the main label meet twice, and once is enough
+    met = x.join(y, ["token", "i", "j"]).where("label_x != label_y and (label_y = main_y or id_x < id_y)").where(_alike("n_x", "n_y", percent) & left & _near("sketch_x", "sketch_y"))
     swap = F.col("label_x") > F.col("label_y")
     of = lambda c: (F.when(swap, F.col(f"{c}_y")).otherwise(F.col(f"{c}_x")), F.when(swap, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y")))
     return met.select(of("id")[0].alias("a"), of("id")[1].alias("b"), of("label")[0].alias("la"), of("label")[1].alias("lb"), _apart("sketch_x", "sketch_y").alias("apart"))
@@ -216,27 +223,41 @@ def _rest_links(opened: DataFrame, reps: DataFrame, docs: DataFrame, n: int, per
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
-    """The pairs whose whole texts' exact shingle sets are similar enough. Only texts in some pair are moved."""
+    """The pairs whose whole texts' exact shingle sets are similar enough. Only texts in some pair are moved.
+
+    The pairs of a document `a` come to a task one after another, HUB of them about, and a's text before them, once for each such task.
+    """
     pairs = written(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     own = written(_texts(docs, ids, key, text), "texts")
-    # by a last, so that one task meets the pairs of a hub one after another
-    pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs
-    joined = own.toDF("b", "tb").join(pairs, "b").join(own.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+    few = pairs.count() <= BROADCAST_IDS
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("of"))
+    hubs = written(counts.where("of > 1"), "hubs")
+    of = F.broadcast(hubs) if hubs.count() <= BROADCAST_IDS else hubs
+    dealt = pairs.join(of, "a", "left").withColumn("part", F.when(F.col("of").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("of"))).cast("int")).drop("of")
+    second = own.toDF("b", "text").join(F.broadcast(dealt) if few else dealt, "b").select("a", "part", F.lit(1).alias("side"), "b", "text")
+    first = own.toDF("a", "text").join(dealt.select("a", "part").distinct(), "a").select("a", "part", F.lit(0).alias("side"), F.lit(None).cast("long").alias("b"), "text")
+    # as many tasks as the shuffles have, by the key that was dealt
+    met = first.unionByName(second).repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, set_a = None, set()
+        several: list[set] = []
+        last = None
         for batch in batches:
             keep = []
-            for ta, tb in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                if (ta := ta.as_py()) != last:
-                    last, set_a = ta, shingle_set(ta, n)
-                set_b = shingle_set(tb.as_py(), n)
-                both = len(set_a & set_b)
-                keep.append(100 * both >= percent * (len(set_a) + len(set_b) - both) and both > 0)
+            for at, side, x in zip(zip(batch.column("a").to_pylist(), batch.column("part").to_pylist(), strict=True), batch.column("side").to_pylist(), batch.column("text"), strict=True):
+                own = shingle_set(x.as_py(), n)
+                if at != last:
+                    last, several = at, []
+                if not side:  # an id may have several rows with texts of their own
+                    several.append(own)
+                    keep.append(False)
+                    continue
+                sizes = [(len(s & own), len(s)) for s in several]
+                keep.append(any(both > 0 and 100 * both >= percent * (size + len(own) - both) for both, size in sizes))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(run, "a long, b long")
 
 
 def _labelled(docs: DataFrame, n: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
