@@ -24,20 +24,31 @@ def _mixed(df: DataFrame, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *quoted, *[c.isNull() for c in quoted])
 
 
-def _spread_copies(rows: DataFrame, columns: list[str], mixed: str, size: str, most: int) -> DataFrame:
+def _spread_copies(rows: DataFrame, columns: list[str], mixed: str, size: str, most: int, whole: int) -> DataFrame:
     """rows, of which those that are equal in all columns and together over `most` bytes get a hash of their own each, by the copy's number.
 
-    Only hashes are counted for it; hot rows are then grouped, copies being summed before the shuffle, and dealt out again.
+    Only hashes are counted to find them. Each input task then counts its copies of a hot row, tasks get ranges of numbers one after
+    another, and each range is dealt out where it was counted, so no task handles more copies than an input task has.
+    Rows over a BROADCAST_BUCKETS-th of all bytes are that many at most and are broadcast; smaller ones too, if they are few.
     """
-    hot = written(rows.groupBy(mixed).agg(F.sum(size).alias("b"), F.count("*").alias("n")).where((F.col("b") > most) & (F.col("n") > 1)).select(mixed), "hot")
+    hot = written(rows.groupBy(mixed).agg(F.sum(size).alias("b"), F.count("*").alias("n")).where((F.col("b") > most) & (F.col("n") > 1)).select(mixed, "b"), "hot")
     if hot.isEmpty():
         return rows
-    hot = F.broadcast(hot) if hot.count() <= BROADCAST_BUCKETS else hot
-    copy = free_name(rows, "copy__")
+    parts = [F.broadcast(hot.select(mixed))] if hot.count() <= BROADCAST_BUCKETS else [F.broadcast(hot.where(F.col("b") > whole / BROADCAST_BUCKETS).select(mixed)), hot.where(F.col("b") <= whole / BROADCAST_BUCKETS).select(mixed)]
+    copy, task = free_name(rows, "copy__"), free_name(rows, "task__")
     names = [F.col(f"`{c}`") for c in columns]
-    counted = rows.join(hot, mixed, "left_semi").groupBy(*names, size, mixed).agg(F.count("*").alias(copy))
-    dealt = counted.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy)))).withColumn(mixed, F.xxhash64(mixed, copy)).drop(copy)
-    return rows.join(hot, mixed, "left_anti").select(dealt.columns).unionByName(dealt)
+    rest, out = rows, None
+    for part in parts:
+        counted = rows.join(part, mixed, "left_semi").groupBy(*names, size, mixed, F.spark_partition_id().alias(task)).agg(F.count("*").alias(copy))
+        counted = written(counted, "copies")  # once, as a task that is run again may get other rows
+        before = F.coalesce(F.sum(copy).over(Window.partitionBy(mixed).orderBy(task, *names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranges = counted.select(*names, size, mixed, task, copy, before.alias(first := free_name(rows, "first__")))
+        # ranges are dealt out by hot row and task, not by hot row
+        ranges = ranges.repartition(F.col(mixed), F.col(task))
+        dealt = ranges.withColumn(copy, F.explode(F.sequence(F.col(first) + 1, F.col(first) + F.col(copy)))).withColumn(mixed, F.xxhash64(mixed, copy)).drop(copy, task, first)
+        out = dealt if out is None else out.unionByName(dealt)
+        rest = rest.join(part, mixed, "left_anti")
+    return rest.select(out.columns).unionByName(out)
 
 
 def external_shuffle(df: DataFrame, n_shards: int, seed: int = 17, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -59,7 +70,7 @@ def external_shuffle(df: DataFrame, n_shards: int, seed: int = 17, key: str = "d
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = parts * max(1, -(-int(whole) * 3 // (2 * bucket_bytes * parts)))
     if not any(isinstance(f.dataType, T.MapType | T.VariantType) for f in df.schema.fields):
-        rows = _spread_copies(rows, df.columns, mixed, size, bucket_bytes // 8)
+        rows = _spread_copies(rows, df.columns, mixed, size, bucket_bytes // 8, int(whole))
     rows = rows.withColumn(bucket, F.pmod(F.col(mixed), F.lit(buckets)).cast("int"))
     # the first place of each bucket: sums of RUN buckets come to the driver, the rest is summed within a run
     counts = written(rows.groupBy(bucket).agg(F.count("*").alias("n")), "counts")
