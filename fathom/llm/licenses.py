@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 from pathlib import Path
 from typing import NamedTuple
 
@@ -165,13 +165,19 @@ class Scorer(NamedTuple):
         Runs hold `longest` terms at most. A run's squared cosine is at most the sum of its lines' bounds, so only runs with enough of them are scored.
         """
         top, name, at = least, None, None
+        sizes = [0, *accumulate(len(found) for _, found, _ in lines)]
+        sums = [0.0, *accumulate(bound for *_, bound in lines)]
+        end = 0
         for i, (line, found, bound) in enumerate(lines):
-            if not bound:
+            # a run from here ends before `end`, which only moves on; without bound enough up to there none is scored
+            end = max(end, i + 1)
+            while end < len(lines) and sizes[end + 1] - sizes[i] <= self.longest:
+                end += 1
+            if not bound or sums[end] - sums[i] + 1e-9 <= top * top:
                 continue
             run, total = list(found), bound
-            for _, more, own in lines[i + 1 :]:
-                if len(run) + len(more) > self.longest:
-                    break
+            for j in range(i + 1, end):
+                _, more, own = lines[j]
                 run += more
                 total += own
                 if own and total > top * top:
