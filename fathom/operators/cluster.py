@@ -106,35 +106,24 @@ def cut_clusters(nodes: DataFrame, tree: DataFrame, cut: float, least_size: int
     return labels.join(sizes, "label").select("id", F.when(F.col("n") >= least_size, F.col("label")).otherwise(-1).alias("cluster"))
 
 
-def silhouette(vectors: DataFrame, clusters: DataFrame, block: int = 2048) -> DataFrame:
-    """(id, cluster, silhouette) by cosine distance of vectors (id, v): noise left out; members of one-member clusters have 0.
+def silhouette(vectors: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(id, cluster, silhouette) by cosine distance of vectors (id, v): noise left out; members of one-member clusters have 0, and so do all if there is one cluster.
 
-    Blocks meet in cells, which leave a sum for each row and cluster instead of pairs.
+    A mean of cosine distances is one less the product with the mean of unit vectors, so clusters are summed once, and each row meets
+    clusters, in blocks, instead of rows.
     """
-    import numpy as np
-    import pandas as pd
-
-    from fathom.operators.retrieve import grid, matrix_cosine
-
-    live = vectors.join(clusters.where("cluster >= 0"), "id").select("id", "cluster", "v")
-    cells, _ = grid(live, block, half=False)
-
-    def sums(own: pd.DataFrame) -> pd.DataFrame:
-        p, q = own[own["part"] == 0], own[own["part"] == 1]
-        if not len(p) or not len(q):
-            return pd.DataFrame({"id": [], "cluster": [], "other": [], "s": [], "n": []})
-        a, b = p["id"].to_numpy(), q["id"].to_numpy()
-        d = np.round(1 - matrix_cosine(np.stack(p["v"].to_numpy()), np.stack(q["v"].to_numpy())), 6)
-        real = a[:, None] != b[None, :]
-        kinds, at = np.unique(q["cluster"].to_numpy(), return_inverse=True)
-        one = np.eye(len(kinds))[at]
-        s, n = np.where(real, d, 0) @ one, real.astype(float) @ one
-        return pd.DataFrame({"id": np.repeat(a, len(kinds)), "cluster": np.repeat(p["cluster"].to_numpy(), len(kinds)), "other": np.tile(kinds, len(a)), "s": s.ravel(), "n": n.ravel()})
-
-    means = cells.groupBy("cell").applyInPandas(sums, "id long, cluster long, other long, s double, n double").where("n > 0").groupBy("id", "cluster", "other").agg((F.sum("s") / F.sum("n")).alias("m"))
-    each = means.groupBy("id", "cluster").agg(F.max(F.when(F.col("cluster") == F.col("other"), F.col("m"))).alias("own"), F.min(F.when(F.col("cluster") != F.col("other"), F.col("m"))).alias("rest"))
+    from fathom.operators.retrieve import nearest_of
+
+    live = vectors.join(clusters.where("cluster >= 0"), "id").withColumn("norm", dense.norm("v"))
+    live = written(live.select("id", "cluster", F.transform("v", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0)).alias("u")), "units")
+    sums = written(features(live, "cluster", "u").select("cluster", "n", "ls"), "sums")
+    own = live.join(sums, "cluster").select("id", "cluster", F.when(F.col("n") > 1, 1 - (dense.dot("u", "ls") - dense.dot("u", "u")) / (F.col("n") - 1)).alias("own"))
+    means = sums.select(F.col("cluster").alias("id"), F.transform("ls", lambda x: x / F.col("n")).alias("u"))
+    near = nearest_of(live.select("id", "u"), means, "id", "u", lambda x, y: x @ y.T, 2, digits=12, loops=True)
+    rest = near.join(live.select(F.col("id").alias("a"), "cluster"), "a").where("b != cluster").groupBy("a").agg((1 - F.max("score")).alias("rest"))
+    each = own.join(rest.withColumnRenamed("a", "id"), "id", "left")
     value = F.when(F.col("own").isNull() | F.col("rest").isNull(), 0.0).otherwise((F.col("rest") - F.col("own")) / F.greatest("own", "rest"))
-    return each.select("id", "cluster", value.alias("silhouette"))
+    return each.select("id", "cluster", F.coalesce(value, F.lit(0.0)).alias("silhouette"))
 
 
 def features(df: DataFrame, by: str, vector: str) -> DataFrame:

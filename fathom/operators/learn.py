@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,11 +69,51 @@ def confidence(relevance: Column, diversity: Column, novelty: Column) -> Column:
     return dense.clamp(0.6 * relevance + 0.25 * diversity + 0.15 * novelty)
 
 
+def bounded_sums(df: DataFrame, by: str, order: list[str], step: Column, low: float = -1.0, high: float = 1.0, start: float = 0.0) -> DataFrame:
+    """(by, value, n): the fold x -> min(high, max(low, x + step)) over each group's rows in order, for groups of any size.
+
+    Such a step maps x to min(hi, max(lo, x + a)), and two of these maps make one of the same kind. Rows are dealt by ranges of
+    (by, order), so a group may lie in many tasks; each makes one map of its run, and a group's maps, one a task, are applied in turn.
+    Null steps count as 0.
+    """
+    rows = df.select(F.col(by).alias("g"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.coalesce(step.cast("double"), F.lit(0.0)).alias("step"))
+    keys = [f"o{i}" for i in range(len(order))]
+    dealt = rows.repartitionByRange("g", *keys).withColumn("run", F.spark_partition_id()).sortWithinPartitions("g", *keys)
+    kind = dict(rows.dtypes)["g"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            out = []
+            for g, number, x in zip(batch.column("g").to_pylist(), batch.column("run").to_pylist(), batch.column("step").to_pylist(), strict=True):
+                if held is None or g != held[0]:
+                    if held is not None:
+                        out.append(held)
+                    held = [g, number, 0.0, -math.inf, math.inf, 0]
+                held[2] += x
+                held[3] = min(high, max(low, held[3] + x))
+                held[4] = min(high, max(low, held[4] + x))
+                held[5] += 1
+            yield from _maps(out, batch.schema.field("g").type)
+        if held is not None:
+            yield from _maps([held], batch.schema.field("g").type)
+
+    maps = dealt.select("g", "run", "step").mapInArrow(run, f"g {kind}, run int, a double, lo double, hi double, n long")
+    each = maps.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("run", "a", "lo", "hi"))).alias("maps"), F.sum("n").alias("n"))  # one a task at most
+    value = F.aggregate("maps", F.lit(start), lambda x, m: F.least(m["hi"], F.greatest(m["lo"], x + m["a"])))
+    return each.select(F.col("g").alias(by), value.alias("value"), "n")
+
+
+def _maps(held: list[list], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    if held:
+        kinds = (kind, pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=["g", "run", "a", "lo", "hi", "n"])
+
+
 def learned_weights(feedback: DataFrame, query: str, order: list[str], verdict: str, rate: float = RATE) -> DataFrame:
     """(query, weight, updates): feedback (positive, negative, neutral) in its order, each step kept within -1..1."""
     delta = F.when(F.col(verdict) == "positive", rate).when(F.col(verdict) == "negative", -rate).otherwise(0.0)
-    rows = feedback.groupBy(query).agg(F.array_sort(F.collect_list(F.struct(*order, delta.alias("delta")))).alias("ds"))
-    return rows.select(query, F.aggregate("ds", F.lit(0.0), lambda a, x: dense.clamp(a + x["delta"], -1.0, 1.0)).alias("weight"), F.size("ds").cast("long").alias("updates"))
+    return bounded_sums(feedback, query, order, delta).withColumnsRenamed({"value": "weight", "n": "updates"})
 
 
 def query_edges(history: DataFrame, session: str, order: str) -> DataFrame:

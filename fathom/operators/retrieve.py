@@ -64,9 +64,11 @@ def grid(rows: DataFrame, block: int, half: bool) -> tuple[DataFrame, int]:
     return left.unionByName(right).drop("g", "h"), side
 
 
-def best_of(a: np.ndarray, b: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, score) of each a's k largest scores, by score, then b; its own id left out."""
-    found = np.where(a[:, None] == b[None, :], -np.inf, np.round(found, 6))
+def best_of(a: np.ndarray, b: np.ndarray, found: np.ndarray, k: int, digits: int = 6, loops: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, score) of each a's k largest scores, by score, then b; its own id left out, unless loops (a and b are ids of different things)."""
+    found = np.round(found, digits)
+    if not loops:
+        found = np.where(a[:, None] == b[None, :], -np.inf, found)
     n = min(k, len(b))
     order = np.lexsort((np.broadcast_to(b, found.shape), -found), axis=1)[:, :n]
     i, j = np.repeat(np.arange(len(a)), n), order.ravel()
@@ -75,8 +77,8 @@ def best_of(a: np.ndarray, b: np.ndarray, found: np.ndarray, k: int) -> tuple[np
     return a[i], b[j], found[i, j]
 
 
-def nearest_of(queries: DataFrame, df: DataFrame, key: str, vector: str, compare: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int, block: int = 4096) -> DataFrame:
-    """(a, b, score, rank): for each row of queries (a) the k best rows of df (b), its own id left out, by score, then id.
+def nearest_of(queries: DataFrame, df: DataFrame, key: str, vector: str, compare: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int, block: int = 4096, digits: int = 6, loops: bool = False) -> DataFrame:
+    """(a, b, score, rank): for each row of queries (a) the k best rows of df (b), its own id left out (unless loops), by score, then id.
 
     Both sides are dealt by hash to blocks of about `block` rows. Each pair of blocks meets in one task as one matrix product and
     leaves k rows for each of its queries; neither side is broadcast, whatever its size.
@@ -93,7 +95,7 @@ def nearest_of(queries: DataFrame, df: DataFrame, key: str, vector: str, compare
         if part.all() or not part.any():
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         x = np.stack(held.column("vec").to_pandas().to_numpy())
-        found = best_of(ids[part == 0], ids[part == 1], compare(x[part == 0], x[part == 1]), k)
+        found = best_of(ids[part == 0], ids[part == 1], compare(x[part == 0], x[part == 1]), k, digits, loops)
         return pa.table(dict(zip(("a", "b", "score"), found, strict=True)))
 
     pairs = left.unionByName(right).groupBy("g", "h").applyInArrow(meet, "a long, b long, score double")
@@ -130,6 +132,30 @@ def theta_pairs(df: DataFrame, key: str, vector: str, compare: Callable[[np.ndar
     return ranked.where(F.col("rank") <= best)
 
 
+def space_best(df: DataFrame, key: str, vector: str, spaces: dict[str, tuple[int, int]], best: int, block: int = 2048) -> DataFrame:
+    """(space, a, b, score, rank): the `best` of each row in each space, a part of the vector (start from 1, width), by (cosine + 1) / 2.
+
+    One grid serves all spaces: a cell holds two blocks of vectors and leaves `best` rows for each of its rows and spaces.
+    """
+    rows = df.select(F.col(key).alias("id"), dense.vec(vector).alias("vec")).where("id is not null and vec is not null")
+    cells, _ = grid(rows, block, half=False)
+
+    def scored(own: pa.Table) -> pa.Table:
+        part, ids = own.column("part").to_numpy(), own.column("id").to_numpy()
+        out = []
+        if part.any() and not part.all():
+            x = np.stack(own.column("vec").to_pandas().to_numpy())
+            for space, (lo, n) in spaces.items():
+                y = x[:, lo - 1 : lo - 1 + n]
+                a, b, score = best_of(ids[part == 0], ids[part == 1], matrix_cos01(y[part == 0], y[part == 1]), best)
+                out.append(pa.table({"space": pa.array([space] * len(a), pa.string()), "a": a, "b": b, "score": score}))
+        return pa.concat_tables(out) if out else pa.table({"space": pa.array([], pa.string()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+    pairs = cells.groupBy("cell").applyInArrow(scored, "space string, a long, b long, score double")
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("space", "a").orderBy(F.desc("score"), "b")))
+    return ranked.where(F.col("rank") <= best)
+
+
 def matrix_cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
     n = nx[:, None] * ny[None, :]

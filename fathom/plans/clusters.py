@@ -44,7 +44,7 @@ def gap_threshold_clusters(spark, d):
 
 
 @query(
-    f"with {_D}, c as (select id, id % 3 as cluster from v), p as (select dd.a, ca.cluster as ca, cb.cluster as cb, avg(d) as m from dd join c ca on ca.id = dd.a join c cb on cb.id = dd.b group by 1, 2, 3), e as (select a, ca, max(m) filter (ca = cb) as own, min(m) filter (ca <> cb) as other from p group by a, ca) select a as id, ca as cluster, round(case when own is null or other is null then 0 else (other - own) / greatest(own, other) end, 5) as silhouette from e"
+    f"with {V}, dd as (select a.id as a, b.id as b, 1 - list_cosine_similarity(a.v, b.v) as d from v a join v b on a.id <> b.id), c as (select id, id % 3 as cluster from v), p as (select dd.a, ca.cluster as ca, cb.cluster as cb, avg(d) as m from dd join c ca on ca.id = dd.a join c cb on cb.id = dd.b group by 1, 2, 3), e as (select a, ca, max(m) filter (ca = cb) as own, min(m) filter (ca <> cb) as other from p group by a, ca) select a as id, ca as cluster, round(case when own is null or other is null then 0 else (other - own) / greatest(own, other) end, 5) as silhouette from e"
 )
 def silhouette(spark, d):
     v = vectors(spark, d)

@@ -26,26 +26,36 @@ def knn_graph(spark, d):
     return knn_edges(spark, d)
 
 
-def space_pairs(spark, d, least: float = 0.75):
-    """(space, a, b, score) of pairs that a space finds near, from one grid over the whole vectors for each space."""
+#: Neighbours of a memory in each space that edges are made of (fixed value).
+EDGE_NEIGHBOURS = 20
+_BEST = f"{V}, {_SPACED}, s as (select space, t, a.id as a, b.id as b, round((list_cosine_similarity(a.v[lo:hi], b.v[lo:hi]) + 1) / 2, 6) as s from v a join v b on a.id <> b.id, sp), e as (select space, least(a, b) as a, greatest(a, b) as b, max(s) as s from (select *, row_number() over (partition by space, a order by s desc, b) as rank from s) where rank <= {EDGE_NEIGHBOURS} and s >= t group by 1, 2, 3)"
+
+
+def space_pairs(spark, d):
+    """(space, a, b, score), a < b, of each vector's nearest in each space, from one grid for all spaces."""
     from fathom.plans.registry import SPACES
 
-    parts = None
-    for space, (lo, n) in SPACES.items():
-        own = retrieve.theta_pairs(vectors(spark, d).withColumn("v", F.slice("v", lo, n)), "id", "v", retrieve.matrix_cos01, lambda s: s >= least)
-        own = own.select(F.lit(space).alias("space"), "a", "b", "score")
-        parts = own if parts is None else parts.unionByName(own)
-    return parts
+    best = retrieve.space_best(vectors(spark, d), "id", "v", SPACES, EDGE_NEIGHBOURS)
+    return best.groupBy("space", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))
 
 
 @query(
-    f"with {V}, {_SPACED}, e as (select space, a.id as a, b.id as b from v a join v b on a.id < b.id, sp where (list_cosine_similarity(a.v[lo:hi], b.v[lo:hi]) + 1) / 2 >= t), g as (select a, b, bool_or(space = 'E1') as e1, bool_or(space = 'E5') as e5, bool_or(space = 'E7') as e7, bool_or(space = 'E10') as e10 from e group by a, b) select a, b, (e1::int + e5::int + e7::int + e10::int)::double as agreement, round((e1::int + e5::int + e7::int + e10::int) / 8.5, 6) as weight, (e1::int + 16 * e5::int + 64 * e7::int + 512 * e10::int)::int as mask, case when e5 then 'causal_chain' when e7 then 'code_related' when e10 then 'paraphrase_aligned' else 'semantic_similar' end as edge_type from g where e1::int + e5::int + e7::int + e10::int >= 2"
+    f"with {_BEST}, g as (select a, b, bool_or(space = 'E1') as e1, bool_or(space = 'E5') as e5, bool_or(space = 'E7') as e7, bool_or(space = 'E10') as e10 from e group by a, b) select a, b, (e1::int + e5::int + e7::int + e10::int)::double as agreement, round((e1::int + e5::int + e7::int + e10::int) / 8.5, 6) as weight, (e1::int + 16 * e5::int + 64 * e7::int + 512 * e10::int)::int as mask, case when e5 then 'causal_chain' when e7 then 'code_related' when e10 then 'paraphrase_aligned' else 'semantic_similar' end as edge_type from g where e1::int + e5::int + e7::int + e10::int >= 2"
 )
 def typed_edges(spark, d):
+    """Edges of the pairs that spaces find among each other's nearest, as a k-NN graph of each space has them."""
     edges = graph.typed_edges(space_pairs(spark, d), dict.fromkeys(("E1", "E5", "E7", "E10"), 0.75), least=2.0)
     return edges.withColumn("weight", F.round("weight", 6))
 
 
+@query(f"with {_KNN} select a, b, score, rank::int as rank from k")
+def nn_descent_graph(spark, d):
+    """The same graph by NN-descent: up to a leaf's 1,024 vectors it is exact, beyond nearly (the recall is measured in tests)."""
+    from fathom.operators.descent import nn_descent
+
+    return nn_descent(vectors(spark, d), "id", "v", 5)
+
+
 _UNI = f"with {V}, sp(space, lo, hi, w) as (values ('E1', 1, 16, 0.4), ('E5', 17, 32, 0.25), ('E7', 33, 48, 0.2), ('E10', 49, 64, 0.15)), s as (select space, w, v.id, round((list_cosine_similarity(v.v[lo:hi], q.v[lo:hi]) + 1) / 2, 6) as score from v, q, sp where v.id <> 0), r as (select *, row_number() over (partition by space order by score desc, id) as rank from s) select id, round(sum(w / (60 + rank)), 8) as score, count(*) as contributions from r where rank <= 20 group by id order by score desc, id limit 10"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fathom.functions import dense, profiles
 from fathom.operators import cluster, curate, fuse, graph, learn, retrieve, sparse
 from fathom.operators.tables import written
-from fathom.plans.graphs import _KNN, _SPACED, knn_edges, space_pairs
+from fathom.plans.graphs import _BEST, _KNN, knn_edges, space_pairs
 from fathom.plans.registry import SPACES, Registry, S, V
 from fathom.plans.retrieval import POSTINGS, long_scores, query_of, vectors
 from fathom.sources.tables import table
@@ -88,7 +88,7 @@ def asymmetric_knn(spark, d):
 
 
 @query(
-    f"with {V}, {_SPACED}, e as (select space, a.id as a, b.id as b, (list_cosine_similarity(a.v[lo:hi], b.v[lo:hi]) + 1) / 2 as s from v a join v b on a.id < b.id, sp where (list_cosine_similarity(a.v[lo:hi], b.v[lo:hi]) + 1) / 2 >= t), g as (select a, b, count(*) as agreeing, avg(s) as mean, max(s) filter (space = 'E7') as e7, max(s) filter (space = 'E5') as e5, max(s) filter (space = 'E10') as e10, max(s) filter (space = 'E1') as e1 from e group by a, b) "
+    f"with {_BEST}, g as (select a, b, count(*) as agreeing, avg(s) as mean, max(s) filter (space = 'E7') as e7, max(s) filter (space = 'E5') as e5, max(s) filter (space = 'E10') as e10, max(s) filter (space = 'E1') as e1 from e group by a, b) "
     "select a, b, agreeing, case when agreeing >= 3 then 'multi_agreement' when e7 is not null then 'code_related' when e5 is not null then 'causal_chain' when e10 is not null then 'paraphrase_aligned' else 'semantic_similar' end as edge_type, round(case when agreeing >= 3 then mean else coalesce(e7, e5, e10, e1) end, 6) as weight from g"
 )
 def edges_by_count(spark, d):

@@ -140,7 +140,7 @@ def kendall_tau(spark, d):
     df = vectors(spark, d)
     q = retrieve.one_vector(df, "id = 0", "v")
     own = df.where("id > 0").select("id", dense.cosine(F.slice("v", 1, 16), F.slice(q, 1, 16)).alias("x"), dense.cosine(F.slice("v", 33, 16), F.slice(q, 33, 16)).alias("y"))
-    return metrics.kendall(own, "x", "y", "id").select(F.round("tau", 6).alias("tau"))
+    return metrics.kendall(own, "x", "y").select(F.round("tau", 6).alias("tau"))
 
 
 @query("with e as (select n_chars as s, quality as y from documents join labels using (doc_id)), r as (select y, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2 as r from e) select round((sum(r) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2) / (count(*) filter (y = 1) * count(*) filter (y = 0)), 6) as auc from r")
