@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fathom.functions import dense, sets
 from fathom.operators import cluster, retrieve
 from fathom.operators.tables import written
-from fathom.plans.registry import Registry, S, V
+from fathom.plans.registry import SPACES, WEIGHTS, Registry, S, V
 from fathom.plans.retrieval import long_scores, vectors
 from fathom.sources.tables import table
 
@@ -37,12 +37,55 @@ def mutual_reachability(spark, d):
 
 @query()
 def gap_threshold_clusters(spark, d):
-    """Density clusters: minimum spanning forest of mutual reachability over nearest vectors, cut at its largest gap."""
-    own = written(nearest(spark, d), "nearest")
-    tree = written(cluster.spanning_tree(cluster.mutual_reachability(own, cluster.core_distances(own))), "tree")
+    """Density clusters: the least spanning tree of mutual reachability over all pairs, cut at its largest gap."""
+    tree = cluster.exact_tree(vectors(spark, d).select("id", "v"), cluster.vector_distance)
     return cluster.cut_clusters(vectors(spark, d).select("id"), tree, cluster.gap_threshold(tree))
 
 
+def _fingerprints(spark, d):
+    """Each vector's parts as spaces; those of one label lack E10."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+    parts = {s: F.slice("v", lo, n) for s, (lo, n) in SPACES.items()}
+    return rows.select("id", *[(F.when(F.col("label") != 3, c) if s == "E10" else c).alias(s) for s, c in parts.items()])
+
+
+_FP = f"{V}, sp(space, lo, hi, w) as (values ('E1', 1, 16, 0.4), ('E5', 17, 32, 0.25), ('E7', 33, 48, 0.2), ('E10', 49, 64, 0.15)), f as (select a.id as a, b.id as b, sum(w * (list_cosine_similarity(a.v[lo:hi], b.v[lo:hi]) + 1) / 2) / sum(w) as s from v a join v b on a.id <> b.id, sp where space <> 'E10' or (a.label <> 3 and b.label <> 3) group by a.id, b.id)"
+
+
+@query(f"with {_FP} select id, round(d, 6) as core from (select a as id, round(1 - s, 6) as d, row_number() over (partition by a order by round(1 - s, 6), b) as n from f) where n = 2")
+def fingerprint_core(spark, d):
+    """Distance to the second nearest over all spaces that two fingerprints have, by weight."""
+    rows = _fingerprints(spark, d)
+    return cluster.core_by(rows, cluster.fingerprint_distance(WEIGHTS))
+
+
+@query()
+def fingerprint_clusters(spark, d):
+    """Density clusters over the distance of whole fingerprints."""
+    rows = _fingerprints(spark, d)
+    tree = cluster.exact_tree(rows, cluster.fingerprint_distance(WEIGHTS))
+    return cluster.cut_clusters(rows, tree, cluster.gap_threshold(tree))
+
+
+@query()
+def detect_topics(spark, d):
+    """Each vector's topic over three parts of the vectors as spaces, clustered by density; null without mates. Components over 2/5 of all are parted again."""
+    rows = vectors(spark, d).select("id", "v")
+    spaces = {"E1": (1, 22), "E5": (23, 21), "E7": (44, 21)}
+
+    def clusters(ids, space):
+        own = rows.join(ids, "id", "left_semi").select("id", F.slice("v", *spaces[space]).alias("v"))
+        tree = cluster.exact_tree(own, cluster.vector_distance)
+        return cluster.cut_clusters(own, tree, cluster.gap_threshold(tree))
+
+    parts = None
+    for space in spaces:
+        own = clusters(rows.select("id"), space).select("id", F.lit(space).alias("space"), "cluster")
+        parts = own if parts is None else parts.unionByName(own)
+    topics = cluster.synthesized_topics(written(parts, "memberships"), clusters, least=2.0)
+    return rows.select("id").join(topics, "id", "left")
+
+
 @query(
     f"with {V}, dd as (select a.id as a, b.id as b, 1 - list_cosine_similarity(a.v, b.v) as d from v a join v b on a.id <> b.id), c as (select id, id % 3 as cluster from v), p as (select dd.a, ca.cluster as ca, cb.cluster as cb, avg(d) as m from dd join c ca on ca.id = dd.a join c cb on cb.id = dd.b group by 1, 2, 3), e as (select a, ca, max(m) filter (ca = cb) as own, min(m) filter (ca <> cb) as other from p group by a, ca) select a as id, ca as cluster, round(case when own is null or other is null then 0 else (other - own) / greatest(own, other) end, 5) as silhouette from e"
 )

@@ -173,3 +173,21 @@ def similarity_bands(spark, d):
 def unbiased_sample(spark, d):
     """A sampling operator: its limit is the feature."""
     return table(spark, d, "documents").where("lang = 'en'").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(50).select("doc_id", "lang", "source")
+
+
+@query()
+def ivfpq_search(spark, d):
+    """The ten nearest of every hundredth vector by residual product codes in lists, reranked exactly; eight lists are probed."""
+    from fathom.operators.vector_indexes import CodedIndex
+
+    df = vectors(spark, d)
+    return CodedIndex.build(df, "id", "v").search(df.where("id % 100 = 0"), "id", "v", 10)
+
+
+@query()
+def hnsw_search(spark, d):
+    """The ten nearest of every hundredth vector by beams through layered graphs of shards."""
+    from fathom.operators.vector_indexes import LayeredIndex
+
+    df = vectors(spark, d)
+    return LayeredIndex.build(df, "id", "v").search(df.where("id % 100 = 0"), "id", "v", 10)

@@ -168,3 +168,121 @@ def test_bounded_sums_of_a_hot_user(spark):
         for _, s in own:
             x = min(1.0, max(-1.0, x + (s or 0.0)))
         assert got[g] == (pytest.approx(x), len(own))
+
+
+# density trees and topics
+
+
+def components_of(n, edges):
+    up = list(range(n))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    return [root(i) for i in range(n)]
+
+
+def tree_by_hand(d, k=2):
+    n = len(d)
+    d = np.round(d, 6)
+    own = np.where(np.eye(n) > 0, np.inf, d)
+    core = np.sort(own, axis=1)[:, k - 1]
+    m = np.maximum(np.maximum(d, core[:, None]), core[None, :])
+    out, up = [], list(range(n))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for w, i, j in sorted((m[i, j], i, j) for i in range(n) for j in range(i)):
+        if root(i) != root(j):
+            up[root(i)] = root(j)
+            out.append(w)
+    return out, m
+
+
+@pytest.mark.parametrize("block", [1024, 17])
+def test_exact_tree_over_all_pairs(spark, block, monkeypatch):
+    """Far groups are tied together, too, whatever the nearest are; one block and many, forests that meet in rounds."""
+    monkeypatch.setattr(cluster, "MEETING", 2)
+    x = np.concatenate([low_rank(40, seed=1), low_rank(40, seed=2) + 9])
+    df = table_of(spark, x)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want, m = tree_by_hand(1 - np.round(u @ u.T, 6))
+    got = cluster.exact_tree(df, cluster.vector_distance, block=block).collect()
+    assert sorted(r.d for r in got) == pytest.approx(sorted(want), abs=2e-6) and len(got) == 79
+    cut = sorted(want)[60]
+    i, j = np.nonzero(m <= cut + 1e-9)
+    assert components_of(80, [(r.a, r.b) for r in got if r.d <= cut + 1e-9]) == components_of(80, zip(i.tolist(), j.tolist()))
+    assert cluster.exact_tree(df.where("id = 1"), cluster.vector_distance).count() == 0
+
+
+def test_fingerprints_with_missing_spaces(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(30, 5)), rng.normal(size=(30, 3))
+    rows = [(i, [float(c) for c in x[i]] if i % 7 else None, [float(c) for c in y[i]] if i % 5 else None) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, E1 array<double>, E7 array<double>")
+    w = {"E1": 0.7, "E7": 0.3}
+    d = np.ones((30, 30))
+    for i in range(30):
+        for j in range(30):
+            parts = [(w[s], (np.dot(v[i], v[j]) / np.linalg.norm(v[i]) / np.linalg.norm(v[j]) + 1) / 2) for s, v, k in (("E1", x, 7), ("E7", y, 5)) if i % k and j % k]
+            if parts:
+                d[i, j] = 1 - sum(a * b for a, b in parts) / sum(a for a, _ in parts)
+    want, _ = tree_by_hand(d)
+    for block in (1024, 8):
+        assert sorted(r.d for r in cluster.exact_tree(df, cluster.fingerprint_distance(w), block=block).collect()) == pytest.approx(sorted(want), abs=2e-6)
+
+
+def test_mates_by_keys_equal_all_pairs(spark):
+    rng = random.Random(4)
+    weights = {"E1": 1.0, "E5": 1.0, "E7": 1.0, "E8": 0.5, "E11": 0.5, "E2": 0.0}
+    rows = [(i, s, rng.choice([-1, 0, 0, 1, 2])) for i in range(60) for s in weights if rng.random() < 0.9] + [(i, "E10", 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, space string, cluster long")
+    own = {}
+    for i, s, c in rows:
+        if c >= 0 and s != "E10":
+            own.setdefault(i, {})[s] = c
+    want = {}
+    for i in range(60):
+        for j in range(i + 1, 60):
+            w = sum(weights[s] for s in own.get(i, {}) if own.get(j, {}).get(s) == own[i][s])
+            if w >= 2.5:
+                want[i, j] = w
+    for block in (4096, 5):
+        assert {(r.a, r.b): r.agreement for r in cluster.topic_mates(df, block=block).collect()} == want
+    links = [(r.a, r.b) for r in cluster.topic_links(df).collect()]
+    assert components_of(60, links) == components_of(60, want) and set(links) <= set(want)
+
+
+def test_least_sets():
+    assert cluster.least_sets({"a": 1.0, "b": 1.0, "c": 0.5, "d": 0.0}, 2.0) == [["a", "b"]]
+    assert cluster.least_sets({"a": 1.0, "b": 1.0, "c": 0.5}, 2.5) == [["a", "b", "c"]] and cluster.least_sets({"a": 1.0}, 2.5) == []
+
+
+def test_a_chained_component_is_parted(spark):
+    """All memories chain into one component; one space parts it, its noise leaves, and other topics stay."""
+    rows = []
+    for i in range(20):
+        rows += [(i, "E1", i // 2), (i, "E5", (i + 1) // 2), (i, "E7", 0 if i < 30 else 1)]
+    rows += [(i, s, 99) for i in (30, 31) for s in ("E1", "E5", "E7")]
+    df = spark.createDataFrame(rows, "id long, space string, cluster long")
+    asked = []
+
+    def recluster(ids, space):
+        asked.append(space)
+        parts = {"E1": F.lit(0), "E5": F.when(F.col("id") < 9, 0).when(F.col("id") < 18, 1).otherwise(-1), "E7": F.lit(0)}
+        return ids.select("id", parts[space].cast("long").alias("cluster"))
+
+    got = {r.id: r.topic for r in cluster.synthesized_topics(df, recluster, least=2.0).collect()}
+    assert got == {i: 0 for i in range(9)} | {i: 9 for i in range(9, 18)} | {30: 30, 31: 30}
+    # of 22 memories, nine are over 2/5 (8): the parts are tried again in every space, in vain
+    assert set(asked) == {"E1", "E5", "E7"}
+    whole = {r.id: r.topic for r in cluster.synthesized_topics(df, lambda ids, s: ids.select("id", F.lit(-1).alias("cluster")), least=2.0).collect()}
+    assert whole == {i: 0 for i in range(20)} | {30: 30, 31: 30}
