@@ -24,7 +24,7 @@ CELLS = 1 << 18
 #: Sets that share a prefix shingle beyond which they are dealt to blocks.
 MANY = 2048
 #: Pairs of one document that a task verifies one after another; the pairs of a document with more are dealt to several.
-HUB = 512
+HUB = 128
 #: Rows up to which ids and pairs are broadcast (16 bytes each at most); beyond it they are joined by shuffle.
 BROADCAST_IDS = 200_000
 _SEED = 20240
