@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -67,30 +68,62 @@ def maintain(stream: DataFrame, checkpoint: str, work, every: str | None = None)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-class EdgeBuilder:
+def _kept(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A folder's rows; none where nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+class _Upkeep:
+    """Batches are counted in the folder, not in the driver: what waited before a restart still waits after it, and a batch that is repeated replaces itself."""
+
+    def __init__(self, path: str, least: int):
+        self.path, self.least = path, least
+
+    def _waiting(self, spark: SparkSession, number: int, rows: int) -> int | None:
+        """Notes a batch's rows and gives the last batch that was worked off before it, or -1; None while too few rows wait."""
+        spark.createDataFrame([(rows,)], "n long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/counts/batch={number}")
+        done = _kept(spark, f"{self.path}/done", "n long, batch long").where(F.col("batch") < number).agg(F.max("batch")).first()[0]
+        done = -1 if done is None else done
+        held = _kept(spark, f"{self.path}/counts", "n long, batch long").where((F.col("batch") > done) & (F.col("batch") <= number)).agg(F.sum("n")).first()[0] or 0
+        return done if held >= self.least else None
+
+    def _done(self, spark: SparkSession, number: int) -> None:
+        spark.createDataFrame([(1,)], "n long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/done/batch={number}")
+
+
+class EdgeBuilder(_Upkeep):
     """Batches of new memories, kept until there are `least` of them, then linked to the nearest of all memories; for maintain()."""
 
     def __init__(self, memories, build, path: str, least: int = 10):
-        """memories() gives all memories so far; build(new, all) gives edges (a, b, ...); edges are appended under their batch's number."""
-        self.memories, self.build, self.path, self.least, self.waiting = memories, build, path, least, []
+        """memories() gives all memories so far; build(new, all) gives edges (a, b, ...); edges are written under their batch's number."""
+        super().__init__(path, least)
+        self.memories, self.build = memories, build
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        self.waiting.append(number)
+        spark, schema = batch.sparkSession, batch.schema
         batch.write.mode("overwrite").parquet(f"{self.path}/new/batch={number}")
-        new = batch.sparkSession.read.parquet(*[f"{self.path}/new/batch={n}" for n in self.waiting])
-        if new.count() >= self.least:
-            self.build(new, self.memories()).write.mode("overwrite").parquet(f"{self.path}/edges/batch={number}")
-            self.waiting = []
+        new = spark.read.schema(schema).parquet(f"{self.path}/new/batch={number}")
+        done = self._waiting(spark, number, new.count())
+        if done is not None:
+            every = spark.read.schema(f"{schema.toDDL()}, batch long").parquet(f"{self.path}/new")
+            waited = every.where((F.col("batch") > done) & (F.col("batch") <= number)).drop("batch")
+            self.build(waited, self.memories()).write.mode("overwrite").parquet(f"{self.path}/edges/batch={number}")
+            self._done(spark, number)
 
 
-class Reclusterer:
+class Reclusterer(_Upkeep):
     """Counts memories by micro-batch and clusters anew after every `every` of them; for maintain()."""
 
     def __init__(self, cluster, path: str, every: int = 100):
-        self.cluster, self.path, self.every, self.seen = cluster, path, every, 0
+        super().__init__(path, every)
+        self.cluster = cluster
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        self.seen += batch.count()
-        if self.seen >= self.every:
+        if self._waiting(batch.sparkSession, number, batch.count()) is not None:
             self.cluster().write.mode("overwrite").parquet(f"{self.path}/clusters/batch={number}")
-            self.seen = 0
+            self._done(batch.sparkSession, number)
