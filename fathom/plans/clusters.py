@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import dense, sets
 from fathom.operators import cluster, retrieve
+from fathom.operators.birch import cf_tree
 from fathom.operators.tables import written
 from fathom.plans.registry import SPACES, WEIGHTS, Registry, S, V
 from fathom.plans.retrieval import long_scores, vectors
@@ -167,3 +168,11 @@ def best_topic(spark, d):
     centers = cluster.centroid(cluster.features(table(spark, d, "embeddings"), "label", "embedding")).select(F.col("cluster").alias("topic"), "centroid")
     scored = rows.crossJoin(F.broadcast(centers)).select("id", "topic", F.round(dense.cos01("v", "centroid"), 6).alias("score"))
     return scored.groupBy("id").agg(F.max(F.struct("score", -F.col("topic"))).alias("m")).select("id", (-F.col("m.col2")).cast("int").alias("topic"), F.col("m.score").alias("score"))
+
+
+@query(f"with {V}, t as (select generate_subscripts(v, 1) as pos, unnest(v) as x from v) select pos::int as pos, count(*) as n, round(sum(x), 5) + 0.0 as total, true as bounded from t group by pos")
+def birch_sums(spark, d):
+    """A tree's leaves add up to the table in each dimension, and none is over its radius."""
+    leaves = cf_tree(vectors(spark, d), "v")
+    each = leaves.select("n", (F.col("radius") <= F.col("threshold") + 1e-9).alias("ok"), F.posexplode("ls").alias("pos", "x"))
+    return each.groupBy((F.col("pos") + 1).alias("pos")).agg(F.sum("n").alias("n"), (F.round(F.sum("x"), 5) + 0.0).alias("total"), F.every("ok").alias("bounded"))
