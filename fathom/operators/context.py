@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.dense import col
@@ -81,3 +81,45 @@ def summary(text: Column | str, words: int = 20) -> Column:
 def time_ago(age: Column) -> Column:
     part = lambda unit, name: F.concat(F.floor(age / unit).cast("string"), F.lit(f"{name} ago"))
     return F.when(age < 60, "just now").when(age < 3600, part(60, "m")).when(age < 86400, part(3600, "h")).otherwise(part(86400, "d"))
+
+
+#: Tokens of a brief context, and words of a summary (fixed values).
+BRIEF, SUMMARY = 200, 20
+
+
+def ranked_candidates(found: DataFrame, age: Column) -> DataFrame:
+    """found with category, tokens and priority; memories that agree too little are left out.
+
+    found has id, content, relevance, agreement and what age needs; priority is relevance times the factors of recency and diversity.
+    """
+    kind = category(F.col("agreement"))
+    rows = found.withColumns({"age": age, "category": kind, "tokens": token_estimate("content")}).where("category != 'none'")
+    return rows.withColumn("priority", F.col("relevance") * recency_factor(F.col("age")) * diversity_bonus(F.col("agreement")))
+
+
+def selected(candidates: DataFrame, total: int = 1200) -> DataFrame:
+    """Of ranked candidates those that the budget and its shares hold, by category, then priority, then id, with place from 1."""
+    first = F.when(F.col("category") == "cluster", 0).otherwise(1)
+    kept = budget(candidates.withColumn("one", F.lit(1)), "one", [first, -F.col("priority")], "tokens", total, "category")
+    rows = candidates.join(kept.select("id"), "id")
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(first, F.desc("priority"), "id")))  # as many rows as the budget has tokens
+
+
+def full_context(chosen: DataFrame, alerts: DataFrame) -> DataFrame:
+    """One row (text, tokens, memories): sections of related work, of what may be related, and of spaces that shifted; an empty text without any."""
+    lines = chosen.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("category") == "cluster", F.concat(F.lit("- **"), time_ago(F.col("age")), F.lit("**: "), summary("content", SUMMARY))).otherwise(F.concat(F.lit("- "), summary("content", SUMMARY), F.lit(" ("), time_ago(F.col("age")), F.lit(")"))).alias("line")))).alias("ls"))
+    part = lambda kind: F.max(F.when(F.col("category") == kind, F.array_join(F.transform("ls", lambda x: x["line"]), "\n")))
+    own = lines.agg(part("cluster").alias("cluster"), part("single").alias("single"))
+    ids = chosen.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("memories"))
+    shifts = alerts.agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("- "), F.col("space"), F.lit(": "), F.col("severity")))), "\n").alias("shifts"))  # 13 spaces at most
+    section = lambda title, body: F.when(body.isNotNull() & (body != ""), F.concat(F.lit(f"### {title}\n"), body))
+    body = F.concat_ws("\n\n", section("Recent Related Work", F.col("cluster")), section("Potentially Related", F.col("single")), section("Note: Activity Shift Detected", F.col("shifts")))
+    joined = own.crossJoin(ids).crossJoin(shifts).withColumn("text", F.when(body != "", F.concat(F.lit("## Relevant Context\n\n"), body)).otherwise(""))  # one row each
+    return joined.select("text", token_estimate("text").alias("tokens"), "memories")
+
+
+def brief_context(chosen: DataFrame) -> DataFrame:
+    """One row (text, tokens, memories): the summaries side by side."""
+    own = chosen.agg(F.array_sort(F.collect_list(F.struct("place", "id", summary("content", SUMMARY).alias("s")))).alias("rows"))
+    text = F.when(F.size("rows") > 0, F.concat(F.lit("Related: "), F.array_join(F.transform("rows", lambda x: x["s"]), "; "))).otherwise("")
+    return own.select(text.alias("text"), token_estimate(text).alias("tokens"), F.transform("rows", lambda x: x["id"]).alias("memories"))

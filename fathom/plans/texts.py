@@ -199,3 +199,21 @@ def pq8(spark, d):
     from fathom.operators.encoders import product_codes
 
     return product_codes(vectors(spark, d), "id", "v", parts=8)
+
+
+@query("select doc_id as id, 0 as first, length(text) as last, 0 as gaps from documents where text <> ''")
+def code_chunk_extents(spark, d):
+    """Chunks by nesting of every text cover it from end to end, each beginning where the one before stops."""
+    from fathom.operators.code import code_chunks
+
+    before = F.lag("stop", 1, 0).over(Window.partitionBy("id").orderBy("chunk"))
+    own = code_chunks(table(spark, d, "documents"), "doc_id", "text").withColumn("gap", (F.col("start") != before).cast("long"))
+    return own.groupBy("id").agg(F.min("start").alias("first"), F.max("stop").cast("long").alias("last"), F.sum("gap").alias("gaps"))
+
+
+@query()
+def document_chunks(spark, d):
+    """Sections of every document in chunks of 2,000 characters with an overlap of 200."""
+    from fathom.operators import code
+
+    return code.document_chunks(table(spark, d, "documents"), "doc_id", "text")

@@ -127,3 +127,33 @@ class Reclusterer(_Upkeep):
         if self._waiting(batch.sparkSession, number, batch.count()) is not None:
             self.cluster().write.mode("overwrite").parquet(f"{self.path}/clusters/batch={number}")
             self._done(batch.sparkSession, number)
+
+
+class CodeWatcher:
+    """Chunks of files kept up to date, for maintain() over rows (path, text): a file whose content is new replaces its chunks, a null text takes them away.
+
+    Each batch writes its chunks, and the paths it settled, under its number; a repeated batch replaces itself. chunks() reads a path's last batch.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        from fathom.operators.code import code_chunks
+
+        hashed = batch.groupBy("path").agg(F.max_by("text", "ts").alias("text")).select("path", "text", F.sha2("text", 256).alias("hash"))
+        known = self.files(batch.sparkSession, number).select("path", F.col("hash").alias("had"))
+        new = hashed.join(known, "path", "left").where(~F.col("hash").eqNullSafe(F.col("had"))).drop("had")
+        new.write.mode("overwrite").parquet(f"{self.path}/files/batch={number}")
+        own = batch.sparkSession.read.schema(new.schema).parquet(f"{self.path}/files/batch={number}").withColumn("id", F.xxhash64("path"))
+        cut = code_chunks(own, "id", "text").join(own, "id")
+        cut.select("path", "chunk", "kind", "name", "parent", "signature", F.expr("substring(text, start + 1, stop - start)").alias("code"), "first_line", "last_line").write.mode("overwrite").parquet(f"{self.path}/chunks/batch={number}")
+
+    def files(self, spark: SparkSession, before: int = 1 << 62) -> DataFrame:
+        """(path, hash, batch) of each path's last batch before a number."""
+        rows = _kept(spark, f"{self.path}/files", "path string, text string, hash string, batch long").where(F.col("batch") < before)
+        return rows.groupBy("path").agg(F.max_by("hash", "batch").alias("hash"), F.max("batch").alias("batch"))
+
+    def chunks(self, spark: SparkSession) -> DataFrame:
+        rows = _kept(spark, f"{self.path}/chunks", "path string, chunk int, kind string, name string, parent string, signature string, code string, first_line int, last_line int, batch long")
+        return rows.join(self.files(spark).select("path", "batch"), ["path", "batch"])

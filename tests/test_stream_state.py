@@ -83,3 +83,16 @@ def test_reclustering_counts_over_a_restart(spark, tmp_path):
     for number, n in enumerate((4, 4, 4, 9, 0, 1)):
         make()(spark.range(n), number)
     assert len(runs) == 2
+
+
+def test_watched_code_is_replaced(spark, tmp_path):
+    frame = lambda rows: spark.createDataFrame(rows, "path string, text string, ts timestamp")
+    watch = lambda rows, number: jobs.CodeWatcher(str(tmp_path))(frame(rows), number)
+    state = lambda: sorted((r.path, r.name, r.code) for r in jobs.CodeWatcher(str(tmp_path)).chunks(spark).collect())
+    watch([("a.rs", "fn a() {}", at(0)), ("b.py", "def b():\n    pass\n", at(0))], 0)
+    assert state() == [("a.rs", "a", "fn a() {}"), ("b.py", "b", "def b():\n    pass\n")]
+    watch([("a.rs", "fn old() {}", at(1)), ("a.rs", "fn c() {}", at(2)), ("b.py", "def b():\n    pass\n", at(2))], 1)
+    watch([("a.rs", "fn old() {}", at(1)), ("a.rs", "fn c() {}", at(2)), ("b.py", "def b():\n    pass\n", at(2))], 1)
+    assert state() == [("a.rs", "c", "fn c() {}"), ("b.py", "b", "def b():\n    pass\n")]
+    watch([("b.py", None, at(3))], 2)
+    assert state() == [("a.rs", "c", "fn c() {}")]
