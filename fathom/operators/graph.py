@@ -101,6 +101,60 @@ def cheapest(edges: DataFrame, source: int, rounds: int) -> DataFrame:
     return best
 
 
+def _lower_bounds(edges: DataFrame, nodes: DataFrame, goal: list[float]) -> DataFrame:
+    """(id, h): what a path from a node to the goal costs at least: the distance of their points times the least that any edge costs for the distance it spans."""
+    p = nodes.select("id", dense.vec("point").alias("p"))
+    spans = edges.join(p.withColumnsRenamed({"id": "a", "p": "pa"}), "a").join(p.withColumnsRenamed({"id": "b", "p": "pb"}), "b").select("w", dense.poincare_distance("pa", "pb").alias("d")).where("d > 0")
+    ratio = spans.agg(F.min(F.col("w") / F.col("d"))).first()[0] or 0.0
+    return p.select("id", (F.lit(ratio) * dense.poincare_distance("p", F.lit(goal).cast("array<double>"))).alias("h"))
+
+
+def informed_path(edges: DataFrame, nodes: DataFrame, source: int, target: int, two_sided: bool = False, ahead: float = 0.25, rounds: int = 1000) -> tuple[float | None, int]:
+    """Least cost, sum of 1/(weight + 0.001), from source to target over edges (a, b, weight), and how many nodes were expanded for it; cost None if there is no path.
+
+    nodes (id, point) lie in the unit ball; hyperbolic distance to the goal bounds from below what is left. A round expands the open nodes whose cost
+    and bound are within `ahead` (a share) of the least, by one join, and drops all that can't beat the best path found. It ends when no open
+    node can. two_sided: a second search goes back from the target, the sides take turns by the number of open nodes, and paths are
+    found where they meet. Nodes without a point are bounded by 0.
+    """
+    spark = edges.sparkSession
+    cost = written(edges.select("a", "b", (1 / (F.col("weight") + 0.001)).alias("w")).where("a is not null and b is not null and w > 0"), "costs")
+    ends = {r.id: [float(x) for x in r.p] for r in nodes.where(F.col("id").isin(source, target)).select("id", dense.vec("point").alias("p")).collect()}
+    sides = []
+    for start, goal, own in ((source, target, cost), (target, source, cost.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))):
+        bound = written(_lower_bounds(cost, nodes, ends[goal]), "bounds") if goal in ends else None
+        best = spark.createDataFrame([(start, 0.0, True)], "id long, cost double, open boolean")
+        sides.append({"goal": goal, "edges": own, "bound": bound, "best": best})
+    sides = sides if two_sided else sides[:1]
+    least, expanded = (0.0 if source == target else float("inf")), 0
+
+    def waiting(side: dict) -> DataFrame:
+        rows = side["best"].where("open")
+        rows = rows.withColumn("f", F.col("cost")) if side["bound"] is None else rows.join(side["bound"], "id", "left").withColumn("f", F.col("cost") + F.coalesce("h", F.lit(0.0))).drop("h")
+        return rows.where(F.col("f") < least - 1e-12)
+
+    for _ in range(rounds):
+        views = [written(waiting(s), "open") for s in sides]
+        sizes = [tuple(v.agg(F.count("*"), F.min("f")).first()) for v in views]
+        # one side with nothing left to try is enough: no better path crosses it
+        if not all(n for n, _ in sizes):
+            break
+        at = min(range(len(sides)), key=lambda i: sizes[i][0])
+        side, (_, low) = sides[at], sizes[at]
+        chosen = written(views[at].where(F.col("f") <= low * (1 + ahead) + 1e-12).select("id", "cost"), "chosen")
+        expanded += chosen.count()
+        step = side["edges"].join(chosen.withColumnsRenamed({"id": "a", "cost": "c"}), "a").groupBy(F.col("b").alias("id")).agg(F.min(F.col("c") + F.col("w")).alias("cost"))
+        had = side["best"].join(chosen.select("id", F.lit(True).alias("done")), "id", "left").select("id", "cost", (F.col("open") & F.col("done").isNull()).alias("open"))
+        both = had.unionByName(step.select("id", "cost", F.lit(True).alias("open")))
+        side["best"] = written(both.groupBy("id").agg(F.min(F.struct("cost", "open")).alias("m")).select("id", "m.cost", "m.open"), "best")
+        if two_sided:
+            found = sides[0]["best"].select("id", F.col("cost").alias("x")).join(sides[1]["best"].select("id", F.col("cost").alias("y")), "id").agg(F.min(F.col("x") + F.col("y"))).first()[0]
+        else:
+            found = side["best"].where(F.col("id") == target).agg(F.min("cost")).first()[0]
+        least = min(least, found) if found is not None else least
+    return (None if least == float("inf") else least), expanded
+
+
 def expand(found: DataFrame, edges: DataFrame, per_node: int = 5, total: int = 150, least: float = 0.4, factor: float = 0.8) -> DataFrame:
     """(id, score, via): neighbours of found (id, score) that are not found themselves: score * weight * factor, the best few of each node, then of all."""
     strong = edges.where(F.col("weight") >= least)
