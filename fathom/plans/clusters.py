@@ -125,20 +125,20 @@ def topic_entropy(spark, d):
     return cluster.entropy(sizes).select(F.round("entropy", 6).alias("entropy"), "groups")
 
 
-_DAYS = "s as (select ts::date as day, list_sort(list(distinct user_id % 40)) as topics from events where event_type = 'purchase' group by 1), p as (select day, topics, lag(topics) over (order by day) as before from s)"
+_DAYS = "s as (select ts::date as day, list_sort(list(distinct user_id % 1000)) as topics from events group by 1), p as (select day, topics, lag(topics) over (order by day) as before from s)"
 _CHURN = "round(1 - len(list_intersect(topics, before)) / len(list_distinct(list_concat(topics, before))), 6)"
 
 
 def _snapshots(spark, d):
-    rows = table(spark, d, "events").where("event_type = 'purchase'")
-    days = rows.groupBy(F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_set(F.col("user_id") % 40)).alias("topics"))
+    rows = table(spark, d, "events")
+    days = rows.groupBy(F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_set(F.col("user_id") % 1000)).alias("topics"))
     w = Window.orderBy("day")
     return days.withColumn("before", F.lag("topics").over(w)).withColumn("churn", F.when(F.col("before").isNotNull(), F.round(cluster.churn(F.col("topics"), F.col("before")), 6)))
 
 
 @query(f"with {_DAYS} select day, case when before is not null then {_CHURN} end as churn from p")
 def churn(spark, d):
-    """Daily snapshots of the topics that purchases touch, each against the day before. A window over days: 30 rows."""
+    """Daily snapshots of the topics (a thousand at most) that events touch, each against the day before. A window over days: 30 rows."""
     return _snapshots(spark, d).select("day", "churn")
 
 
@@ -163,11 +163,10 @@ def session_overlap(spark, d):
 
 @query(f"with {V}, c as (select label, generate_subscripts(v, 1) as pos, unnest(v) as x from v), m as (select label, pos, avg(x) as x from c group by 1, 2), l as (select label, list(x order by pos) as c from m group by label), t as (select v.id, l.label as topic, round((list_cosine_similarity(v.v, l.c) + 1) / 2, 6) as score from v, l) select id, topic, score from (select *, row_number() over (partition by id order by score desc, topic) as n from t) where n = 1")
 def best_topic(spark, d):
-    """Each vector's nearest label centroid; the centroids are a broadcast of one row a label."""
-    rows = vectors(spark, d)
-    centers = cluster.centroid(cluster.features(table(spark, d, "embeddings"), "label", "embedding")).select(F.col("cluster").alias("topic"), "centroid")
-    scored = rows.crossJoin(F.broadcast(centers)).select("id", "topic", F.round(dense.cos01("v", "centroid"), 6).alias("score"))
-    return scored.groupBy("id").agg(F.max(F.struct("score", -F.col("topic"))).alias("m")).select("id", (-F.col("m.col2")).cast("int").alias("topic"), F.col("m.score").alias("score"))
+    """Each vector's nearest label centroid; vectors and centroids meet in blocks."""
+    centers = cluster.centroid(cluster.features(table(spark, d, "embeddings"), "label", "embedding")).select(F.col("cluster").alias("id"), F.col("centroid").alias("v"))
+    near = retrieve.nearest_of(vectors(spark, d), centers, "id", "v", retrieve.matrix_cos01, 1, loops=True)
+    return near.select(F.col("a").alias("id"), F.col("b").cast("int").alias("topic"), "score")
 
 
 @query(f"with {V}, t as (select generate_subscripts(v, 1) as pos, unnest(v) as x from v) select pos::int as pos, count(*) as n, round(sum(x), 5) + 0.0 as total, true as bounded from t group by pos")

@@ -54,9 +54,9 @@ def soft_delete_view(spark, d):
     return curate.alive(table(spark, d, "documents"), table(spark, d, "labels").where("toxic = 1"), "doc_id").select("doc_id", "lang")
 
 
-@query("select event_id, user_id from events where event_type = 'error' and epoch_us(timestamp '2024-01-31') - epoch_us(ts) > 604800000000")
+@query("select event_id, user_id from events where epoch_us(timestamp '2024-01-31') - epoch_us(ts) > 604800000000")
 def gc_expired(spark, d):
-    return curate.expired(table(spark, d, "events").where("event_type = 'error'"), "ts", "2024-01-31 00:00:00").select("event_id", "user_id")
+    return curate.expired(table(spark, d, "events"), "ts", "2024-01-31 00:00:00").select("event_id", "user_id")
 
 
 @query("select doc_id, round(least(1, greatest(0, n_chars / 5000 + case when quality = 1 then 0.2 else -0.3 end)), 6) as importance from documents join labels using (doc_id)")

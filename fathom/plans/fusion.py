@@ -161,3 +161,14 @@ def group_aggregates(spark, d):
 def coverage_hints(spark, d):
     c = F.when((F.col("E1") < 0.5) & (F.greatest("E5", "E10") >= 0.6), "blind_spot").otherwise("covered")
     return all_scores(spark, d).select("id", F.col("E1").alias("e1"), c.alias("coverage"))
+
+
+@query()
+def tucker_similarity(spark, d):
+    """Cosine of each vector's core with vector 0's: four spaces of sixteen dimensions, cores of three by eight."""
+    from fathom.operators.tucker import core_similarity, tucker_core, tucker_factors
+
+    df = vectors(spark, d)
+    u, v = tucker_factors(df, "v", (4, 16), (3, 8))
+    core = retrieve.one_vector(df.where("id = 0").select("id", tucker_core("v", (4, 16), u, v).alias("c")), "id = 0", "c")
+    return df.where("id <> 0").select("id", F.round(core_similarity(tucker_core("v", (4, 16), u, v), core), 6).alias("score"))

@@ -156,3 +156,12 @@ def cone_membership(spark, d):
     df = vectors(spark, d)
     out = df.where("id <> 0").select("id", dense.cone_angle(query_of(df), "v").alias("angle"))
     return out.select("id", F.round("angle", 5).alias("angle"), F.round(dense.cone_membership(F.col("angle"), 2.0), 5).alias("membership"))
+
+
+@query()
+def informed_path(spark, d):
+    """Least cost of a path from vector 0 to vector 7 over nearest neighbours, by a search from both sides with hyperbolic bounds, and the nodes it expanded."""
+    rows = vectors(spark, d)
+    edges = knn_edges(spark, d).select("a", "b", F.col("score").alias("weight"))
+    cost, expanded = graph.informed_path(edges, rows.select("id", dense.ball("v").alias("point")), 0, 7, two_sided=True)
+    return spark.createDataFrame([(cost, expanded)], "cost double, expanded long")

@@ -127,9 +127,9 @@ def daily_counts(spark, d):
     return table(spark, d, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
 
 
-@query("with x as (select user_id, event_id, ts from events where event_type = 'error'), t as (select a.event_id as a, b.event_id as b, abs(epoch_us(a.ts) - epoch_us(b.ts)) / 1e6 as seconds from x a join x b on a.user_id = b.user_id and a.event_id < b.event_id) select a, b, seconds from t where seconds < 3600")
+@query("with x as (select user_id, event_id, ts from events), t as (select a.event_id as a, b.event_id as b, abs(epoch_us(a.ts) - epoch_us(b.ts)) / 1e6 as seconds from x a join x b on a.user_id = b.user_id and a.event_id < b.event_id) select a, b, seconds from t where seconds < 3600")
 def consolidation_temporal(spark, d):
-    rows = table(spark, d, "events").where("event_type = 'error'")
+    rows = table(spark, d, "events")
     return curate.close_in_time(rows, "event_id", "ts", ["user_id"], hours=1.0).select("a", "b", "seconds")
 
 

@@ -87,7 +87,7 @@ def _evaluated(spark, d, k: int = 10):
     found = retrieve.theta_pairs(df, "id", "v", retrieve.matrix_cos01, best=k)
     labels = df.select("id", "label")
     of = labels.groupBy("label").agg((F.count("*") - 1).alias("n_relevant"))
-    n = labels.join(F.broadcast(of), "label").select(F.col("id").alias("query_id"), "n_relevant")
+    n = labels.join(of, "label").select(F.col("id").alias("query_id"), "n_relevant")
     ranked = found.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").select(F.col("a").alias("query_id"), "rank", (F.col("la") == F.col("lb")).cast("int").alias("relevant"))
     return metrics.at_k(ranked, n, k)
 
