@@ -18,9 +18,13 @@ SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 BATCH_BYTES = 8 << 20
 
 
+#: Where written tables lie while a scope holds.
+SCOPE = "fathom.llm.scope"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir. Where that is unset, a local session (tests) gets a folder of this machine; on a cluster that is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A new folder under spark.checkpoint.dir, or under the scope's. Where that is unset, a local session (tests) gets a folder of this machine; on a cluster that is an error."""
+    root = spark.conf.get(SCOPE, None) or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -36,6 +40,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """While it holds, written tables lie in one folder, which is deleted at its end: results must be written elsewhere, or counted, inside. Scopes nest."""
+    before, folder = spark.conf.get(SCOPE, None), shared_dir(spark)
+    spark.conf.set(SCOPE, folder)
+    try:
+        yield folder
+    finally:
+        spark.conf.unset(SCOPE) if before is None else spark.conf.set(SCOPE, before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, size: int = BATCH_BYTES):
     """While it holds, jobs hand rows to Python in Arrow batches of about that many bytes; for jobs that run inside only."""

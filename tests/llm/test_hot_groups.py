@@ -239,3 +239,18 @@ def test_inheritance_equals_brute_force(spark):
                     break
         want.append((p or "", k or "", *hit))
     assert out == sorted(want, key=str)
+
+
+# written tables
+
+
+def test_scopes_delete_what_an_operator_wrote(spark, tmp_path):
+    import os
+
+    from fathom.llm.common import scope
+
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "vec_id long, embedding array<float>")
+    with scope(spark) as folder:
+        exact_top_k(df, df.where("vec_id < 2")).write.parquet(str(tmp_path / "out"))
+        assert len(os.listdir(folder)) > 3
+    assert not os.path.exists(folder) and spark.read.parquet(str(tmp_path / "out")).count() == 10
