@@ -165,3 +165,12 @@ def informed_path(spark, d):
     edges = knn_edges(spark, d).select("a", "b", F.col("score").alias("weight"))
     cost, expanded = graph.informed_path(edges, rows.select("id", dense.ball("v").alias("point")), 0, 7, two_sided=True)
     return spark.createDataFrame([(cost, expanded)], "cost double, expanded long")
+
+
+@query(f"with {V}, s as (select v.id, round((list_cosine_similarity(v.v, q.v) + 1) / 2, 6) as sim from v, q where v.id <> 0), t as (select id, round((sim * 0.7 + (id % 5) / 4 * 0.3) * case when id % 2 = 0 then 1.2 else 1.0 end, 6) as score from s order by score desc, id limit 20) select id, score from t")
+def connectivity_rank(spark, d):
+    """Candidates for a question that seeks sources: similarity blended with a context's overlap, sources 1.2 times."""
+    df = vectors(spark, d)
+    sim = F.round(dense.cos01("v", query_of(df)), 6)
+    score = graph.by_connectivity(sim, (F.col("id") % 5) / 4, 0.3, F.lit(True), F.col("id") % 2 == 0)
+    return retrieve.knn(df.where("id <> 0"), score, 20, "id").select("id", "score")

@@ -138,3 +138,10 @@ def temporal_badges(spark, d):
     badge = lambda c, name: F.when(c, name)
     own = F.array(badge(F.to_date("ts") == F.lit("2024-01-30").cast("date"), "same_day"), badge(F.hour("ts") == 12, "same_hour"), badge(F.col("ts") >= F.lit("2024-01-30").cast("timestamp"), "recent"))
     return table(spark, d, "events").select("event_id", F.array_compact(own).alias("badges"))
+
+
+@query("select l_orderkey, l_linenumber, round(0.4 * (l_discount * 10) + 0.3 * (1 - l_tax * 10) + 0.3 * least(l_quantity / 40, 1.0), 6) as score from lineitem")
+def consolidation_score(spark, d):
+    """Importance, what is forgotten, and the rate of access, for every line."""
+    score = t.consolidation(F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_quantity") / 40)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(score, 6).alias("score"))
