@@ -67,3 +67,11 @@ def test_intents_of_long_texts_take_one_pass(spark):
     rows = long_texts(spark)
     assert seconds(rows.select(text.intent("t").alias("i"))) < 20
     assert rows.groupBy(text.intent("t").alias("i")).count().collect() == [("cause", 2000)]
+
+
+def test_routes_of_long_texts_take_one_pass(spark):
+    rows = long_texts(spark).withColumn("t", F.concat("t", F.element_at(F.array(F.lit(" a Class"), F.lit(" who"), F.lit(" subclass")), (F.col("id") % 3 + 1).cast("int"))))
+    rows = rows.withColumn("t", F.when(F.col("id") % 2 == 0, F.replace("t", F.lit("Why did it fail?"), F.lit("No why "))).otherwise(F.col("t")))
+    assert seconds(rows.select(text.route("t").alias("kind"))) < 30
+    found = {(r.k, r.kind): r["count"] for r in rows.groupBy((F.col("id") % 6).alias("k"), text.route("t").alias("kind")).count().collect()}
+    assert {k: kind for k, kind in found} == {0: "code", 1: "causal", 2: "general", 3: "code", 4: "entity", 5: "causal"}
