@@ -75,3 +75,10 @@ def test_routes_of_long_texts_take_one_pass(spark):
     assert seconds(rows.select(text.route("t").alias("kind"))) < 30
     found = {(r.k, r.kind): r["count"] for r in rows.groupBy((F.col("id") % 6).alias("k"), text.route("t").alias("kind")).count().collect()}
     assert {k: kind for k, kind in found} == {0: "code", 1: "causal", 2: "general", 3: "code", 4: "entity", 5: "causal"}
+
+
+def test_expansions_of_long_texts_take_one_pass(spark):
+    rows = long_texts(spark).withColumn("t", F.when(F.col("id") % 2 == 0, F.replace("t", F.lit("Why did it fail?"), F.lit("Diagnose it."))).otherwise(F.col("t")))
+    more = rows.select("id", F.expr("length(t)").alias("n"), F.length(text.expanded("t", text.intent("t"))).alias("m"))
+    assert seconds(more) < 20
+    assert {(r.even, r.longer) for r in more.select((F.col("id") % 2 == 0).alias("even"), (F.col("m") - F.col("n")).alias("longer")).distinct().collect()} == {(True, len(" cause reason root source")), (False, 0)}
